@@ -47,10 +47,17 @@ def cut(df: DataFrame) -> DataFrame:
     """Compute df once, write it to the shared checkpoint folder and cut its lineage.
 
     The copy survives lost executors, and Spark's cleaner removes it with its last reference where
-    spark.cleaner.referenceTracking.cleanCheckpoints is on.
+    spark.cleaner.referenceTracking.cleanCheckpoints is on. Constraints aren't carried over: in an iteration they would
+    double with every join, until planning takes longer than running.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    before = spark.conf.get("spark.sql.constraintPropagation.enabled")
+    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.constraintPropagation.enabled", before)
 
 
 def small_or_not(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
