@@ -12,9 +12,12 @@ from scantable.common import cut
 RATE = 0.2
 
 
-def _shift(v: Column, level: int) -> Column:
-    """Exponentially distributed head start of a vertex, from its hash: the same in every task and on every run."""
-    unit = (F.xxhash64(F.lit(level), v).bitwiseAND(F.lit((1 << 52) - 1)).cast("double") + 0.5) / float(1 << 52)
+def _shift(v: Column, level: Column) -> Column:
+    """Exponentially distributed head start of a vertex, from its hash: the same in every task and on every run.
+
+    level is a column, not a literal: so all levels run the same generated code.
+    """
+    unit = (F.xxhash64(level, v).bitwiseAND(F.lit((1 << 52) - 1)).cast("double") + 0.5) / float(1 << 52)
     return -F.log(unit) / RATE
 
 
@@ -32,16 +35,16 @@ def component_roots(edges: DataFrame, src: str = "src", dst: str = "dst", growth
     No edges give no rows. A cluster is joined by real edges only, so stopping its growth early costs levels, never results.
     """
     pairs = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b"))
-    live = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    live = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(0).cast("long").alias("level")).distinct())
     maps: list[DataFrame] = []
-    for level in range(max_levels):
-        both = live.select(F.col("a").alias("v"), F.col("b").alias("u")).union(live.select(F.col("b").alias("v"), F.col("a").alias("u")))
+    for _ in range(max_levels):
+        both = live.select(F.col("a").alias("v"), F.col("b").alias("u"), "level").union(live.select(F.col("b").alias("v"), F.col("a").alias("u"), "level"))
         # step 1: each vertex hears its neighbours' start times, and its own
-        heard = both.select("v", F.explode(F.array(F.struct((1.0 - _shift(F.col("u"), level)).alias("t"), F.col("u").alias("c")), F.struct((-_shift(F.col("v"), level)).alias("t"), F.col("v").alias("c")))).alias("m"))
+        heard = both.select("v", F.explode(F.array(F.struct((1.0 - _shift(F.col("u"), F.col("level"))).alias("t"), F.col("u").alias("c")), F.struct((-_shift(F.col("v"), F.col("level"))).alias("t"), F.col("v").alias("c")))).alias("m"))
         state = heard.groupBy("v").agg(F.min("m").alias("m"))
         for _ in range(growth - 1):
             state = cut(state)
-            told = both.where("v <> u").join(state.select(F.col("v").alias("u"), F.col("m").alias("mu")), "u")
+            told = both.where("v <> u").select("v", "u").join(state.select(F.col("v").alias("u"), F.col("m").alias("mu")), "u")
             told = told.select("v", F.struct((F.col("mu.t") + 1.0).alias("t"), F.col("mu.c").alias("c")).alias("m"))
             state = state.union(told).groupBy("v").agg(F.min("m").alias("m"))
         mapped = cut(state.select("v", F.col("m.c").alias("c")))
@@ -49,7 +52,7 @@ def component_roots(edges: DataFrame, src: str = "src", dst: str = "dst", growth
         ends = mapped.select(F.col("v").alias("b"), F.col("c").alias("cb"))
         next_live = live.where("a <> b").join(mapped.select(F.col("v").alias("a"), F.col("c").alias("ca")), "a").join(ends, "b")
         # a cluster may bear the name of a vertex that itself went elsewhere: the name is a super-vertex only
-        next_live = next_live.where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
+        next_live = next_live.where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), (F.col("level") + 1).alias("level")).distinct()
         live = cut(next_live)
         if live.isEmpty():
             break

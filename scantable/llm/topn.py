@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,7 +68,7 @@ def _changes(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
     for name in names:
         col = batch.column(name)
         a, b = col.slice(0, n - 1), col.slice(1)
-        same = pa.compute.fill_null(pa.compute.equal(a, b), False).to_numpy(zero_copy_only=False)
+        same = pc.fill_null(pc.equal(a, b), False).to_numpy(zero_copy_only=False)
         nulls = col.is_null().to_numpy(zero_copy_only=False)
         new[1:] |= ~(same | (nulls[1:] & nulls[:-1]))
     return np.flatnonzero(new)
