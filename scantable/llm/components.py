@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +14,8 @@ from scantable.common import cut
 #: Rate of the exponential shifts: on average a cluster gets a start 1 / RATE steps before the last one, which bounds its
 #: radius by O(log n / RATE) and cuts a share of about RATE of the edges.
 RATE = 0.2
+#: Recursion goes on inside one task once so few edges are left (2.4 MB), after at least so many distributed levels.
+BASE_EDGES, LEAST_LEVELS = 100_000, 3
 
 
 def _shift(v: Column, level: Column) -> Column:
@@ -21,6 +27,32 @@ def _shift(v: Column, level: Column) -> Column:
     return -F.log(unit) / RATE
 
 
+def _decompose(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(vertices, roots) of a small graph: the same recursion in memory, clusters growing until nobody is reached earlier."""
+    ids, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    label = np.arange(len(ids))
+    level = 0
+    while len(x):
+        rng = np.random.default_rng(1000 + level)
+        time = -rng.exponential(1 / RATE, len(ids))
+        centre = np.arange(len(ids))
+        while True:
+            to, told, whose = np.concatenate([x, y]), np.concatenate([time[y], time[x]]) + 1, np.concatenate([centre[y], centre[x]])
+            first = np.full(len(ids), np.inf)
+            np.minimum.at(first, to, told)
+            take = (told == first[to]) & (told < time[to])
+            if not take.any():
+                break
+            centre[to[take]], time[to[take]] = whose[take], told[take]
+        label = centre[label]
+        x, y = centre[x], centre[y]
+        pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)])[:, x != y], axis=1)
+        x, y = pairs
+        level += 1
+    return ids, ids[label]
+
+
 def component_roots(edges: DataFrame, src: str = "src", dst: str = "dst", growth: int = 2, max_levels: int = 60) -> DataFrame:
     """(v, root): vertices have the same root if and only if they are linked over undirected edges. Vertices are BIGINT.
 
@@ -28,7 +60,7 @@ def component_roots(edges: DataFrame, src: str = "src", dst: str = "dst", growth
     reaches it first (growth steps, each one edge long; the first needs no join, as a start time is a hash of
     the vertex). Clusters are contracted to super-vertices, edges inside a cluster vanish, the others are
     de-duplicated and the next level decomposes them. When no edge is left, assignments are composed from the
-    last level back to the first. Each level is written to the shared checkpoint folder: nothing is collected, and
+    last level back to the first. The last levels, of a few edges, run in one task by the same method. Each level is written to the shared checkpoint folder: nothing is collected, and
     messages to a vertex are combined before they are shuffled, so hubs don't gather in one task.
 
     An edge with a null end is no edge. A loop only says that its vertex exists. Repeated edges change nothing.
@@ -37,7 +69,13 @@ def component_roots(edges: DataFrame, src: str = "src", dst: str = "dst", growth
     pairs = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b"))
     live = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(0).cast("long").alias("level")).distinct())
     maps: list[DataFrame] = []
-    for _ in range(max_levels):
+    for level in range(max_levels):
+        left = live.count()
+        if left == 0 and level:
+            break
+        if left <= BASE_EDGES and level >= LEAST_LEVELS:
+            maps.append(cut(live.coalesce(1).mapInArrow(_rest, "v long, c long")))
+            break
         both = live.select(F.col("a").alias("v"), F.col("b").alias("u"), "level").union(live.select(F.col("b").alias("v"), F.col("a").alias("u"), "level"))
         # step 1: each vertex hears its neighbours' start times, and its own
         heard = both.select("v", F.explode(F.array(F.struct((1.0 - _shift(F.col("u"), F.col("level"))).alias("t"), F.col("u").alias("c")), F.struct((-_shift(F.col("v"), F.col("level"))).alias("t"), F.col("v").alias("c")))).alias("m"))
@@ -54,8 +92,6 @@ def component_roots(edges: DataFrame, src: str = "src", dst: str = "dst", growth
         # a cluster may bear the name of a vertex that itself went elsewhere: the name is a super-vertex only
         next_live = next_live.where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), (F.col("level") + 1).alias("level")).distinct()
         live = cut(next_live)
-        if live.isEmpty():
-            break
     else:
         raise RuntimeError(f"edges are left after {max_levels} levels")
     # compose: names of the last level are roots; walk back, a super-vertex without an edge of its own is a root too
@@ -69,6 +105,13 @@ def component_roots(edges: DataFrame, src: str = "src", dst: str = "dst", growth
     return roots
 
 
+def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [(x.column("a").to_numpy(), x.column("b").to_numpy()) for x in batches]
+    if parts:
+        v, root = _decompose(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+        yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(root)], names=["v", "c"])
+
+
 def connected_groups(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(vertex, group): the smallest vertex linked to each vertex, see component_roots."""
     roots = cut(component_roots(edges, src, dst))
