@@ -35,8 +35,8 @@ def overlap_pairs(a: DataFrame, b: DataFrame, block: list[str], a_id: str, b_id:
 
 def best_match(pairs: DataFrame, left: DataFrame, keys: list[str], other: str, by: str = "iou") -> DataFrame:
     """Every row of left with its best partner: the largest by, then the smallest other; id -1 and 0 without one."""
-    best = pairs.groupBy(*keys).agg(F.max_by(F.struct(F.col(other).alias("o"), F.col(by).alias("v")), F.struct(F.col(by), -F.col(other))).alias("best"))
-    return left.select(*keys).join(best, keys, "left").select(*keys, F.coalesce("best.o", F.lit(-1)).cast("long").alias(other), F.coalesce("best.v", F.lit(0.0)).alias(by))
+    best = pairs.groupBy(*keys).agg(F.max_by(F.struct(F.col(other).alias("o"), F.col(by).alias("v")), F.struct(F.col(by), -F.col(other))).alias("__best"))
+    return left.select(*keys).join(best, keys, "left").select(*keys, F.coalesce("__best.o", F.lit(-1)).cast("long").alias(other), F.coalesce("__best.v", F.lit(0.0)).alias(by))
 
 
 def partition_overlap(rows: DataFrame, block: list[str], ref: str, cmp: str) -> DataFrame:
@@ -45,12 +45,12 @@ def partition_overlap(rows: DataFrame, block: list[str], ref: str, cmp: str) ->
     (block, reference_segments, compared_segments, split_reference_segments, split_reference_points, merged_compared_segments,
     merged_compared_points, point_count). A row with a null cell is left out.
     """
-    cells = rows.where(F.col(ref).isNotNull() & F.col(cmp).isNotNull()).groupBy(*block, ref, cmp).agg(F.count(F.lit(1)).alias("n"))
-    side = lambda key, names: cells.groupBy(*block, key).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).groupBy(*block).agg(
-        F.count(F.lit(1)).alias(names[0]), F.count_if(F.col("k") > 1).alias(names[1]), F.sum(F.when(F.col("k") > 1, F.col("n")).otherwise(0)).alias(names[2]), F.sum("n").alias(names[3])
+    cells = rows.where(F.col(ref).isNotNull() & F.col(cmp).isNotNull()).groupBy(*block, ref, cmp).agg(F.count(F.lit(1)).alias("__n"))
+    side = lambda key, names: cells.groupBy(*block, key).agg(F.count(F.lit(1)).alias("__k"), F.sum("__n").alias("__n")).groupBy(*block).agg(
+        F.count(F.lit(1)).alias(names[0]), F.count_if(F.col("__k") > 1).alias(names[1]), F.sum(F.when(F.col("__k") > 1, F.col("__n")).otherwise(0)).alias(names[2]), F.sum("__n").alias(names[3])
     )
     refs = side(ref, ("reference_segments", "split_reference_segments", "split_reference_points", "point_count"))
-    cmps = side(cmp, ("compared_segments", "merged_compared_segments", "merged_compared_points", "__n")).drop("__n")
+    cmps = side(cmp, ("compared_segments", "merged_compared_segments", "merged_compared_points", "__m")).drop("__m")
     return refs.join(cmps, block) if block else refs.crossJoin(F.broadcast(cmps))
 
 
@@ -60,11 +60,11 @@ def purity(rows: DataFrame, block: list[str], segment: str, target: str, thresho
     Negative and null targets count in n but can't be the majority; a tie goes to the smallest. Without a majority the label is
     -1 and the share 0.
     """
-    counts = rows.groupBy(*block, segment, target).agg(F.count(F.lit(1)).alias("c"))
-    best = F.max_by(F.struct(F.col(target).alias("t"), F.col("c")), F.when(F.col(target) >= 0, F.struct("c", -F.col(target))))
-    out = counts.groupBy(*block, segment).agg(F.sum("c").alias("n"), best.alias("b"))
-    share = F.coalesce(F.col("b.c"), F.lit(0)) / F.col("n")
-    out = out.select(*block, segment, "n", F.coalesce("b.t", F.lit(-1)).alias("majority_label"), share.alias("majority_share"))
+    counts = rows.groupBy(*block, segment, target).agg(F.count(F.lit(1)).alias("__c"))
+    best = F.max_by(F.struct(F.col(target).alias("t"), F.col("__c").alias("c")), F.when(F.col(target) >= 0, F.struct("__c", -F.col(target))))
+    out = counts.groupBy(*block, segment).agg(F.sum("__c").alias("n"), best.alias("__b"))
+    share = F.coalesce(F.col("__b.c"), F.lit(0)) / F.col("n")
+    out = out.select(*block, segment, "n", F.coalesce("__b.t", F.lit(-1)).alias("majority_label"), share.alias("majority_share"))
     return out.withColumn("is_mixed", F.col("majority_share") < threshold)
 
 
@@ -98,25 +98,25 @@ def segment_coverage(rows: DataFrame, segments: DataFrame, keys: list[str], segm
 
 def weighted_jaccard(a: DataFrame, b: DataFrame, keys: list[str], cell: str, weight: str) -> DataFrame:
     """(keys, overlap_mass, union_mass, jaccard): sums of the smaller and larger weight per cell over both sides."""
-    x = a.groupBy(*keys, cell).agg(F.sum(weight).alias("wa"))
-    y = b.groupBy(*keys, cell).agg(F.sum(weight).alias("wb"))
-    both = x.join(y, [*keys, cell], "full").select(*keys, F.coalesce("wa", F.lit(0.0)).alias("wa"), F.coalesce("wb", F.lit(0.0)).alias("wb"))
-    out = both.groupBy(*keys).agg(F.sum(F.least("wa", "wb")).alias("overlap_mass"), F.sum(F.greatest("wa", "wb")).alias("union_mass"))
+    x = a.groupBy(*keys, cell).agg(F.sum(weight).alias("__wa"))
+    y = b.groupBy(*keys, cell).agg(F.sum(weight).alias("__wb"))
+    both = x.join(y, [*keys, cell], "full").select(*keys, F.coalesce("__wa", F.lit(0.0)).alias("__wa"), F.coalesce("__wb", F.lit(0.0)).alias("__wb"))
+    out = both.groupBy(*keys).agg(F.sum(F.least("__wa", "__wb")).alias("overlap_mass"), F.sum(F.greatest("__wa", "__wb")).alias("union_mass"))
     return out.withColumn("jaccard", F.col("overlap_mass") / F.nullif(F.col("union_mass"), F.lit(0.0)))
 
 
 def own_segments(claims: DataFrame, keys: list[str], owner: str, weight: str, ratio: float = 0.9) -> DataFrame:
     """(keys, owner): who owns each cell - the largest claim, nobody if the second comes within the ratio of it."""
     by = Window.partitionBy(*keys).orderBy(F.col(weight).desc(), F.col(owner))
-    ranked = claims.select(*keys, owner, weight, F.row_number().over(by).alias("place")).where("place <= 2")
-    two = ranked.groupBy(*keys).agg(F.max(F.when(F.col("place") == 1, F.col(weight))).alias("w1"), F.max(F.when(F.col("place") == 2, F.col(weight))).alias("w2"), F.max(F.when(F.col("place") == 1, F.col(owner))).alias(owner))
-    return two.where(F.col("w2").isNull() | (F.col("w2") < F.col("w1") * ratio)).select(*keys, owner)
+    ranked = claims.select(*keys, owner, weight, F.row_number().over(by).alias("__place")).where("__place <= 2")
+    two = ranked.groupBy(*keys).agg(F.max(F.when(F.col("__place") == 1, F.col(weight))).alias("__w1"), F.max(F.when(F.col("__place") == 2, F.col(weight))).alias("__w2"), F.max(F.when(F.col("__place") == 1, F.col(owner))).alias(owner))
+    return two.where(F.col("__w2").isNull() | (F.col("__w2") < F.col("__w1") * ratio)).select(*keys, owner)
 
 
 def shared_cells(rows: DataFrame, frame: list[str], cell: list[str], track: str, least: int) -> DataFrame:
     """rows without the cells that two or more tracks share in a frame, where the frame has at least so many of them."""
-    crowded = rows.groupBy(*frame, *cell).agg(F.count_distinct(track).alias("k")).where("k >= 2")
-    total = crowded.groupBy(*frame).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= least)
+    crowded = rows.groupBy(*frame, *cell).agg(F.count_distinct(track).alias("__k")).where("__k >= 2")
+    total = crowded.groupBy(*frame).agg(F.count(F.lit(1)).alias("__m")).where(F.col("__m") >= least)
     return rows.join(crowded.join(total, frame, "left_semi").select(*frame, *cell), [*frame, *cell], "left_anti")
 
 

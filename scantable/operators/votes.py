@@ -11,16 +11,16 @@ def class_vote(votes: DataFrame, key: list[str], label: str, background: int) ->
 
     A tie goes to the smallest label; without any label it is background, share 0.
     """
-    counts = votes.groupBy(*key, label).agg(F.count(F.lit(1)).alias("c"))
-    best = F.max_by(F.struct(F.col(label).alias("l"), F.col("c")), F.when(F.col(label) >= 0, F.struct("c", -F.col(label))))
-    out = counts.groupBy(*key).agg(F.sum("c").alias("n"), best.alias("b"))
-    return out.select(*key, F.coalesce("b.l", F.lit(background)).alias(label), F.coalesce(F.col("b.c") / F.col("n"), F.lit(0.0)).alias("share"))
+    counts = votes.groupBy(*key, label).agg(F.count(F.lit(1)).alias("__c"))
+    best = F.max_by(F.struct(F.col(label).alias("l"), F.col("__c").alias("c")), F.when(F.col(label) >= 0, F.struct("__c", -F.col(label))))
+    out = counts.groupBy(*key).agg(F.sum("__c").alias("__n"), best.alias("__b"))
+    return out.select(*key, F.coalesce("__b.l", F.lit(background)).alias(label), F.coalesce(F.col("__b.c") / F.col("__n"), F.lit(0.0)).alias("share"))
 
 
 def label_distribution(votes: DataFrame, key: list[str], label: str) -> DataFrame:
     """(key, label, weight): counts of labels from 0 over the largest count of the key."""
-    counts = votes.where(F.col(label) >= 0).groupBy(*key, label).agg(F.count(F.lit(1)).alias("c"))
-    return counts.select(*key, label, (F.col("c") / F.max("c").over(Window.partitionBy(*key))).alias("weight"))
+    counts = votes.where(F.col(label) >= 0).groupBy(*key, label).agg(F.count(F.lit(1)).alias("__c"))
+    return counts.select(*key, label, (F.col("__c") / F.max("__c").over(Window.partitionBy(*key))).alias("weight"))
 
 
 def label_consensus(evidence: DataFrame, key: list[str], label: str, value: str, target: str) -> DataFrame:
@@ -30,19 +30,19 @@ def label_consensus(evidence: DataFrame, key: list[str], label: str, value: str,
     share of evidence for the target, the rest, lead over the strongest other label, and the entropy of the shares over log(max(2, labels)).
     Keys without positive evidence give no row. A tie of conflicts goes to the smallest label.
     """
-    each = evidence.groupBy(*key, target, label).agg(F.sum(value).alias("e"))
+    each = evidence.groupBy(*key, target, label).agg(F.sum(value).alias("__e"))
     w = Window.partitionBy(*key)
-    each = each.withColumn("total", F.sum("e").over(w)).where("total > 0").withColumn("p", F.col("e") / F.col("total"))
+    each = each.withColumn("__total", F.sum("__e").over(w)).where("__total > 0").withColumn("__p", F.col("__e") / F.col("__total"))
     other = F.col(label) != F.col(target)
     out = each.groupBy(*key).agg(
-        F.sum(F.when(~other, F.col("e")).otherwise(0.0)).alias("t"), F.first("total").alias("total_evidence"), F.count(F.lit(1)).alias("k"),
-        F.sum(-F.col("p") * F.log(F.greatest("p", F.lit(1e-12)))).alias("h"), F.max_by(F.struct(F.col(label).alias("l"), F.col("e")), F.when(other, F.struct("e", -F.col(label)))).alias("c"),
+        F.sum(F.when(~other, F.col("__e")).otherwise(0.0)).alias("__t"), F.first("__total").alias("total_evidence"), F.count(F.lit(1)).alias("__k"),
+        F.sum(-F.col("__p") * F.log(F.greatest("__p", F.lit(1e-12)))).alias("__h"), F.max_by(F.struct(F.col(label).alias("l"), F.col("__e").alias("e")), F.when(other, F.struct("__e", -F.col(label)))).alias("__c"),
     )
-    consensus = F.col("t") / F.col("total_evidence")
-    against = F.coalesce(F.col("c.e"), F.lit(0.0))
+    consensus = F.col("__t") / F.col("total_evidence")
+    against = F.coalesce(F.col("__c.e"), F.lit(0.0))
     return out.select(
-        *key, consensus.alias("label_consensus_score"), F.greatest(F.lit(0.0), 1 - consensus).alias("label_conflict_score"), ((F.col("t") - against) / F.col("total_evidence")).alias("label_margin"),
-        (F.col("h") / F.log(F.greatest(F.lit(2), F.col("k")).cast("double"))).alias("label_entropy"), "total_evidence", F.col("c.l").alias("top_conflict"), against.alias("top_conflict_evidence"),
+        *key, consensus.alias("label_consensus_score"), F.greatest(F.lit(0.0), 1 - consensus).alias("label_conflict_score"), ((F.col("__t") - against) / F.col("total_evidence")).alias("label_margin"),
+        (F.col("__h") / F.log(F.greatest(F.lit(2), F.col("__k")).cast("double"))).alias("label_entropy"), "total_evidence", F.col("__c.l").alias("top_conflict"), against.alias("top_conflict_evidence"),
     )
 
 
@@ -57,9 +57,9 @@ def rescore(best: DataFrame, key: list[str], label: str, value: str, current: st
     Reasons in order: keep_same (it is the best), weak (best below least), margin (lead over the second too small), replace.
     """
     by = Window.partitionBy(*key).orderBy(F.col(value).desc(), F.col(label))
-    two = best.withColumn("place", F.row_number().over(by)).where("place <= 2")
+    two = best.withColumn("__place", F.row_number().over(by)).where("__place <= 2")
     out = two.groupBy(*key, current).agg(
-        F.max(F.when(F.col("place") == 1, F.col(label))).alias("best_label"), F.max(F.when(F.col("place") == 1, F.col(value))).alias("best"), F.coalesce(F.max(F.when(F.col("place") == 2, F.col(value))), F.lit(0.0)).alias("second")
+        F.max(F.when(F.col("__place") == 1, F.col(label))).alias("best_label"), F.max(F.when(F.col("__place") == 1, F.col(value))).alias("best"), F.coalesce(F.max(F.when(F.col("__place") == 2, F.col(value))), F.lit(0.0)).alias("second")
     )
     decision = F.when(F.col("best_label") == F.col(current), "keep_same").when(F.col("best") < least, "weak").when(F.col("best") - F.col("second") < margin, "margin").otherwise("replace")
     return out.withColumn("decision", decision)
