@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scantable.common import cut
+from scantable.common import cut, small_or_not
 
 #: Share of common candidates whose values must be equal for a rename; it must be exceeded.
 MOST = 0.5
 
 
 def parsed_fields(rows: DataFrame) -> DataFrame:
-    """(file_id, line_no, cand, field, type, val): one row per member of every line that is a JSON object.
+    """(file_id, line_no, cand, field, type, value): one row per member of every line that is a JSON object.
 
-    type: string, number, boolean, array, object or NULL for null; val: comparable text of the value (numbers by value,
-    objects regardless of the order of members). cand: the digits of candidate_id, NULL without. Lines that don't parse give no rows.
+    type: string, number, boolean, array, object or NULL for null; value: VARIANT. cand: the digits of candidate_id, NULL
+    without. Lines that don't parse give no rows.
     """
     lines = rows.select("file_id", "line_no", F.try_parse_json("raw_record").alias("v")).where("v is not null")
     lines = lines.where(F.schema_of_variant("v").startswith("OBJECT"))
@@ -27,10 +27,13 @@ def parsed_fields(rows: DataFrame) -> DataFrame:
         F.when(shape == "VOID", None).when(shape == "STRING", "string").when(shape == "BOOLEAN", "boolean")
         .when(shape.startswith("ARRAY"), "array").when(shape.startswith("OBJECT"), "object").otherwise("number")
     )
+    return each.select("file_id", "line_no", "cand", "field", kind.alias("type"), "value")
+
+
+def comparable() -> Column:
+    """Text of a parsed field that is equal for equal values: numbers by value, objects regardless of the order of members."""
     number = F.expr("try_variant_get(value, '$', 'double')").cast("string")
-    return each.select("file_id", "line_no", "cand", "field", kind.alias("type"), "value").withColumn(
-        "val", F.when(F.col("type") == "number", number).when(F.col("type").isNotNull(), F.to_json("value"))
-    )
+    return F.when(F.col("type") == "number", number).when(F.col("type").isNotNull(), F.to_json("value"))
 
 
 def file_fields(fields: DataFrame) -> DataFrame:
@@ -76,7 +79,8 @@ def schema_changes(files: DataFrame, rows: DataFrame) -> DataFrame:
 
     wanted = gone.select(F.col("prev_id").alias("file_id"), "field", F.col("file_id").alias("pair"), F.lit("old").alias("side"))
     wanted = cut(wanted.union(came.select("file_id", "field", F.col("file_id").alias("pair"), F.lit("new").alias("side"))))
-    values = fields.where("cand is not null").join(wanted, ["file_id", "field"])
+    # as a rule few fields come or go: their list goes to the lines if it is small, else both are joined by a shuffle
+    values = fields.where("cand is not null").join(small_or_not(wanted), ["file_id", "field"]).withColumn("val", comparable())
     values = values.groupBy("pair", "side", "cand", "field").agg(F.min_by("val", "line_no").alias("val")).where("val is not null")
     old = values.where("side = 'old'").select("pair", "cand", F.col("field").alias("old_field"), F.col("val").alias("old_val"))
     new = values.where("side = 'new'").select("pair", "cand", F.col("field").alias("new_field"), F.col("val").alias("new_val"))
