@@ -163,7 +163,8 @@ def top_n(df: DataFrame, group: list[str], order: list[tuple[str, bool]], n: int
                 continue
             tab = pa.Table.from_batches([batch])
             rest = tab if rest is None else pa.concat_tables([rest, tab])
-            final = int(_changes(batch, group)[-1]) + rest.num_rows - batch.num_rows
+            rest = rest.combine_chunks()
+            final = int(_changes(rest.to_batches()[0], group)[-1])
             if final:  # the last group may go on in the next batch
                 yield from flush(rest.slice(0, final))
                 rest = rest.slice(final)
