@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = ("raw_records", "scalars", "evidence", "structure")
+_MODULES = ("raw_records", "scalars", "evidence", "structure", "tracks")
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
