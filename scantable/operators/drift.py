@@ -81,7 +81,7 @@ def schema_changes(files: DataFrame, rows: DataFrame) -> DataFrame:
     wanted = cut(wanted.union(came.select("file_id", "field", F.col("file_id").alias("pair"), F.lit("new").alias("side"))))
     # as a rule few fields come or go: their list goes to the lines if it is small, else both are joined by a shuffle
     values = fields.where("cand is not null").join(small_or_not(wanted), ["file_id", "field"]).withColumn("val", comparable())
-    values = values.groupBy("pair", "side", "cand", "field").agg(F.min_by("val", "line_no").alias("val")).where("val is not null")
+    values = cut(values.groupBy("pair", "side", "cand", "field").agg(F.min_by("val", "line_no").alias("val")).where("val is not null"))
     old = values.where("side = 'old'").select("pair", "cand", F.col("field").alias("old_field"), F.col("val").alias("old_val"))
     new = values.where("side = 'new'").select("pair", "cand", F.col("field").alias("new_field"), F.col("val").alias("new_val"))
     fits = old.join(new, ["pair", "cand"]).groupBy("pair", "old_field", "new_field").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("old_val") == F.col("new_val")).alias("same"))
