@@ -36,41 +36,56 @@ def match(good: DataFrame, instances: DataFrame, pairs: DataFrame, region: int,
 
     Instances in order of id take predictions in order of id that overlap by more than the threshold and weren't taken; a second one for
     the same instance makes the lower score a false positive and stays free. Predictions that overlap no instance enough are false
-    positives unless void points and points of small instances make up more than the threshold of them. Greedy in a fixed
-    order, so a scene and class is one kernel call; it gets pairs, not points.
+    positives unless void points and points of small instances make up more than the threshold of them. As instances are
+    disjoint, a prediction rarely reaches two of them, never from a threshold of 0.5 on: where none does, an instance's best
+    score is the match and the others are false positives, by aggregation. Only scenes and classes with such a conflict go to
+    the ordered kernel.
     """
-    schema = "class_id int, overlap double, score double, positive int, hit long"
-    keyed = pairs.select("scene", "class_id", "gt_id", "pred_id", "score", "iou", "gt_n")
-    lone = instances.where(F.col("gt_n") >= region).select("scene", "class_id", "gt_id", F.lit(None).cast("long").alias("pred_id"), F.lit(None).cast("double").alias("score"), F.lit(0.0).alias("iou"), "gt_n")
+    grid = good.sparkSession.createDataFrame([(float(o),) for o in overlaps], "overlap double")
+    whole = pairs.where(F.col("gt_n") >= region)
+    reached = F.filter(F.array(*[F.lit(float(o)) for o in overlaps]), lambda o: o < F.col("iou"))
+    hits = whole.select("scene", "class_id", "gt_id", "pred_id", "score", F.explode(reached).alias("overlap"))
+    key = ["scene", "class_id", "overlap"]
+    torn = hits.groupBy(*key, "pred_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(*key).distinct()
+    ranked = hits.join(torn, key, "left_anti").groupBy(*key, "gt_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s"))
+    easy = ranked.select(*key, "gt_id", F.posexplode("s").alias("at", "score")).select(*key, "gt_id", "score", (F.col("at") == 0).cast("int").alias("positive"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[pdf.gt_n >= region].sort_values(["gt_id", "pred_id"])
+        pdf = pdf.sort_values(["gt_id", "pred_id"])
+        taken: set = set()
+        held: dict = {}
         out = []
-        for th in overlaps:
-            taken: set = set()
-            for gt, rows in pdf.groupby("gt_id", sort=True):
-                score = None
-                for p, s, iou in zip(rows.pred_id, rows.score, rows.iou):
-                    if pd.isna(p) or p in taken or not iou > th:
-                        continue
-                    if score is None:
-                        score = s
-                        taken.add(p)
-                    else:
-                        out.append((th, min(score, s), 0, None))
-                        score = max(score, s)
-                out.append((th, score, 1, int(gt)))
-        res = pd.DataFrame(out, columns=["overlap", "score", "positive", "hit"])
-        res.insert(0, "class_id", int(pdf.class_id.iloc[0]) if len(pdf) else 0)
-        return res.astype({"hit": "Int64", "positive": "int32", "class_id": "int32"})
-
-    matched = keyed.unionByName(lone).groupBy("scene", "class_id").applyInPandas(run, schema).drop("hit")
-    grid = good.sparkSession.createDataFrame([(float(o),) for o in overlaps], "overlap double")
+        for gt, p, s in zip(pdf.gt_id, pdf.pred_id, pdf.score):
+            if p in taken:
+                continue
+            if gt not in held:
+                held[gt] = s
+                taken.add(p)
+            else:
+                out.append((gt, min(held[gt], s), 0))
+                held[gt] = max(held[gt], s)
+        out += [(gt, s, 1) for gt, s in held.items()]
+        res = pd.DataFrame(out, columns=["gt_id", "score", "positive"])
+        for at, k in enumerate(key):
+            res.insert(at, k, pdf[k].iloc[0])
+        return res
+
+    id_type = instances.schema["gt_id"].dataType.simpleString()
+    class_type = instances.schema["class_id"].dataType.simpleString()
+    scene_type = instances.schema["scene"].dataType.simpleString()
+    hard = hits.join(torn, key, "left_semi").groupBy(*key).applyInPandas(run, f"scene {scene_type}, class_id {class_type}, overlap double, gt_id {id_type}, score double, positive int")
+    outcomes = easy.unionByName(hard)
+    matched = outcomes.where("positive = 1").select("scene", "gt_id", "overlap")
+    lone = instances.where(F.col("gt_n") >= region).select("scene", "class_id", "gt_id").crossJoin(F.broadcast(grid)).join(matched, ["scene", "gt_id", "overlap"], "left_anti")
     enough = pairs.groupBy("scene", "pred_id").agg(F.max("iou").alias("best"), F.sum(F.when(F.col("gt_n") < region, F.col("inter")).otherwise(0)).alias("small"))
     rest = good.join(enough, ["scene", "pred_id"], "left").crossJoin(F.broadcast(grid))
     ignored = (F.col("void") + F.coalesce("small", F.lit(0))) / F.col("n")
     wrong = rest.where((F.coalesce("best", F.lit(0.0)) <= F.col("overlap")) & (ignored <= F.col("overlap")))
-    return matched.unionByName(wrong.select(F.col("class_id").cast("int").alias("class_id"), "overlap", "score", F.lit(0).alias("positive")))
+    return (
+        outcomes.select("class_id", "overlap", "score", "positive")
+        .unionByName(lone.select("class_id", "overlap", F.lit(None).cast("double").alias("score"), F.lit(1).alias("positive")))
+        .unionByName(wrong.select("class_id", "overlap", "score", F.lit(0).alias("positive")))
+    )
 
 
 def precision_recall(outcomes: DataFrame, key: list[str]) -> DataFrame:
@@ -117,7 +132,8 @@ def voc_ap(rows: DataFrame, key: list[str], score: str, positive: str, id_col: s
     order = Window.partitionBy(*key).orderBy(F.col(score).desc_nulls_last(), id_col)
     run = order.rowsBetween(Window.unboundedPreceding, 0)
     curve = rows.select(*key, score, id_col, positive, F.sum(positive).over(run).alias("tp"), F.row_number().over(order).alias("n"), F.sum(positive).over(Window.partitionBy(*key)).alias("all"))
-    best = F.max(F.col("tp") / F.col("n")).over(Window.partitionBy(*key).orderBy("n").rowsBetween(0, Window.unboundedFollowing))
+    # from the end on, as a running maximum: a frame that reaches to the end would be read anew for every row
+    best = F.max(F.col("tp") / F.col("n")).over(Window.partitionBy(*key).orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0))
     return curve.withColumn("best", best).groupBy(*key).agg(F.coalesce(F.sum(F.when(F.col(positive) == 1, F.col("best"))) / F.nullif(F.max("all"), F.lit(0)), F.lit(0.0)).alias("ap"))
 
 

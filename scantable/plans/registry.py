@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import functools
 import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scantable.plans.rounded import COLUMNS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = ("raw_records", "scalars", "evidence", "structure", "tracks")
+DIGITS = 9
+_MODULES = ("raw_records", "scalars", "evidence", "structure", "tracks", "reports")
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
@@ -31,13 +36,22 @@ def _load() -> None:
         importlib.import_module(f"scantable.plans.{name}")
 
 
+def _rounded(f: Query, columns: tuple[str, ...]) -> Query:
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(spark, sf_dir).withColumns({c: F.round(c, DIGITS) for c in columns})
+
+    return run
+
+
 def queries() -> dict[str, Query]:
     """Name -> query."""
     _load()
-    return dict(_QUERIES)
+    return {name: _rounded(f, COLUMNS[name]) if name in COLUMNS else f for name, f in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     """Name -> SQL."""
     _load()
-    return dict(_SQL)
+    shown = {name: ", ".join(f"round({c}, {DIGITS}) AS {c}" for c in columns) for name, columns in COLUMNS.items()}
+    return {name: f"SELECT * REPLACE ({shown[name]}) FROM ({sql})" if name in shown else sql for name, sql in _SQL.items()}

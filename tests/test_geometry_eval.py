@@ -101,3 +101,49 @@ def test_matching_rules(spark):
     )
     out = sorted(((r.score, r.positive) for r in evaluate.match(good, inst, pairs, 5, (0.5,)).collect()), key=repr)
     assert out == sorted([(0.9, 1), (0.6, 0), (None, 1), (0.4, 0)], key=repr)
+
+
+def test_matching_with_conflicts_equals_the_loop(spark):
+    rng = random.Random(3)
+    pts, preds, gt, gts = [], [], [], []
+    for scene in range(6):
+        for i in range(60):
+            gt.append((f"s{scene}", i, i // 6))
+        gts += [(f"s{scene}", g, 0) for g in range(10)]
+        for p in range(14):
+            a = rng.randrange(50)
+            pts += [(f"s{scene}", p, x) for x in range(a, a + rng.randrange(4, 13))]
+            preds.append((f"s{scene}", p, 0, round(rng.random(), 1)))
+    good, inst, pairs = evaluate.assign(
+        spark.createDataFrame(pts, "scene string, pred_id long, point long"), spark.createDataFrame(preds, "scene string, pred_id long, class_id int, score double"),
+        spark.createDataFrame(gt, "scene string, point long, gt_id long"), spark.createDataFrame(gts, "scene string, gt_id long, class_id int"), spark.createDataFrame([(0,)], "class_id int"), 3,
+    )
+    got = sorted(((r.overlap, r.score, r.positive) for r in evaluate.match(good, inst, pairs, 3, (0.25, 0.5)).collect()), key=repr)
+    size, own = {}, {}
+    for s, p, x in pts:
+        size[s, p] = size.get((s, p), 0) + 1
+        if x < 60:
+            own[s, p, x // 6] = own.get((s, p, x // 6), 0) + 1
+    iou = lambda s, p, g: own.get((s, p, g), 0) / (6 + size[s, p] - own.get((s, p, g), 0))
+    want = []
+    for th in (0.25, 0.5):
+        for scene in range(6):
+            s, taken = f"s{scene}", set()
+            score = {p: v for q, p, _, v in preds if q == s}
+            for g in range(10):
+                held = None
+                for p in range(14):
+                    if p in taken or not iou(s, p, g) > th:
+                        continue
+                    if held is None:
+                        held = score[p]
+                        taken.add(p)
+                    else:
+                        want.append((th, min(held, score[p]), 0))
+                        held = max(held, score[p])
+                want.append((th, held, 1))
+            for p in range(14):
+                void = size[s, p] - sum(own.get((s, p, g), 0) for g in range(10))
+                if all(iou(s, p, g) <= th for g in range(10)) and void / size[s, p] <= th:
+                    want.append((th, score[p], 0))
+    assert got == sorted(want, key=repr)
