@@ -12,10 +12,10 @@ from scantable.plans.registry import query
 from scantable.plans.views import cand, links, obs, pts, vec, with_views
 
 
-def _seed_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Seeds with the class, score and size: those of the candidate's last record with a score."""
+def _seed_scores(spark: SparkSession, d: str, points: DataFrame | None = None) -> DataFrame:
+    """Seeds with the class, score and size: those of the candidate's last record. points: pts() if it is there already."""
     last = cand(spark, d).groupBy("scene_name", "candidate_id").agg(F.max_by(F.struct("class_id", "score"), "record_id").alias("l"))
-    size = pts(spark, d).groupBy("scene_name", "candidate_id").agg(F.count(F.lit(1)).alias("n"))
+    size = (pts(spark, d) if points is None else points).groupBy("scene_name", "candidate_id").agg(F.count(F.lit(1)).alias("n"))
     return size.join(last, ["scene_name", "candidate_id"], "left").select("scene_name", "candidate_id", "n", F.col("l.class_id").alias("class_id"), F.coalesce("l.score", F.lit(0.0)).alias("score"))
 
 
@@ -249,13 +249,14 @@ def o12_diverse_views(spark: SparkSession, d: str) -> DataFrame:
 def _outcomes(spark: SparkSession, d: str) -> DataFrame:
     """Seeds as predictions, held against instances: each point with the smallest seed of a base class over it."""
     classes = table(spark, d, "classes")
-    s = cut(_seed_scores(spark, d).where("class_id is not null"))
+    p = cut(pts(spark, d))
+    s = cut(_seed_scores(spark, d, p).where("class_id is not null"))
     base = s.join(F.broadcast(classes.where("is_base").select("class_id")), "class_id", "left_semi")
-    owned = sets.smallest_owner(pts(spark, d).join(base.select("scene_name", "candidate_id", "n"), ["scene_name", "candidate_id"]), ["scene_name", "item"], "n", "candidate_id")
+    owned = sets.smallest_owner(p.join(base.select("scene_name", "candidate_id", "n"), ["scene_name", "candidate_id"]), ["scene_name", "item"], "n", "candidate_id")
     gt_points = cut(owned.select(F.col("scene_name").alias("scene"), F.col("item").alias("point"), F.col("candidate_id").alias("gt_id")))
     gts = base.select(F.col("scene_name").alias("scene"), F.col("candidate_id").alias("gt_id"), "class_id").join(gt_points.select("scene", "gt_id").distinct(), ["scene", "gt_id"], "left_semi")
     preds = s.select(F.col("scene_name").alias("scene"), F.col("candidate_id").alias("pred_id"), "class_id", "score")
-    points = pts(spark, d).toDF("scene", "pred_id", "point")
+    points = p.toDF("scene", "pred_id", "point")
     good, instances, pairs = evaluate.assign(points, preds, gt_points, gts, classes.select("class_id"), 20)
     return evaluate.match(cut(good), cut(instances), cut(pairs), 20)
 
