@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scantable.operators.greedy import grouped_kernel
 from scantable.operators.sets import overlap_pairs
 
 #: fixed values: IoU thresholds of the benchmark; the first is reported alone and not averaged
@@ -73,7 +74,7 @@ def match(good: DataFrame, instances: DataFrame, pairs: DataFrame, region: int,
     id_type = instances.schema["gt_id"].dataType.simpleString()
     class_type = instances.schema["class_id"].dataType.simpleString()
     scene_type = instances.schema["scene"].dataType.simpleString()
-    hard = hits.join(torn, key, "left_semi").groupBy(*key).applyInPandas(run, f"scene {scene_type}, class_id {class_type}, overlap double, gt_id {id_type}, score double, positive int")
+    hard = grouped_kernel(hits.join(torn, key, "left_semi"), key, f"scene {scene_type}, class_id {class_type}, overlap double, gt_id {id_type}, score double, positive int", run)
     outcomes = easy.unionByName(hard)
     matched = outcomes.where("positive = 1").select("scene", "gt_id", "overlap")
     lone = instances.where(F.col("gt_n") >= region).select("scene", "class_id", "gt_id").crossJoin(F.broadcast(grid)).join(matched, ["scene", "gt_id", "overlap"], "left_anti")

@@ -14,7 +14,7 @@ from scantable.plans.rounded import COLUMNS
 Query = Callable[[SparkSession, str], DataFrame]
 
 DIGITS = 9
-_MODULES = ("raw_records", "scalars", "evidence", "structure", "tracks", "reports")
+_MODULES = ("raw_records", "scalars", "evidence", "structure", "tracks", "reports", "ordered")
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
