@@ -58,7 +58,8 @@ def poisson_mix(sizes: DataFrame, targets: DataFrame, id_col: str, source_col: s
     are calibrated: a weighted quantile over the records' critical rates finds, per source, the rate whose realised tokens
     come nearest the target (counts grow with the rate), so shares hold for the draws made, not only on average. No
     record is used more than max_repeats times. total: tokens aimed at; by default as many as the scarcest source
-    allows with every record at max_repeats. A target without any text can't be met; the others keep their
+    allows with every record at max_repeats; of a larger total, scarce sources give what they have at max_repeats and
+    fall short of their share, which shares reports. A target without any text can't be met; the others keep their
     proportions, and shares reports it with 0. Sources without a target, and null sources, have no part. Records of
     size 0 or null have no part. The rows are shuffled globally: ordered by a hash of (seed, id, copy).
     Repeated ids are drawn alike. A target share of null or 0 asks for nothing.
@@ -89,7 +90,7 @@ def poisson_mix(sizes: DataFrame, targets: DataFrame, id_col: str, source_col: s
         empty = base.limit(0).select("id", "source", "n_tokens", F.lit(0).alias("copy"), F.lit(0).cast("long").alias("position_key"))
         return Mixture(empty, _shares(goal, empty), 0.0)
     limit = min(have[s] * most * shares / share for s, (share, most) in want.items())
-    aim = min(limit, total) if total is not None else limit
+    aim = limit if total is None else total
     target = {s: aim * share / shares for s, (share, _) in want.items()}
 
     def lookup(values: dict[str, float]) -> Column:

@@ -70,6 +70,10 @@ def test_mixture(spark):
     assert mixing.poisson_mix(df.limit(0), targets, "id", "source", "n").rows.count() == 0
     less = mixing.poisson_mix(df, targets, "id", "source", "n", total=20_000)
     assert abs(sum(r.n_tokens for r in less.rows.collect()) - 20_000) < 900
+    more = mixing.poisson_mix(df, targets, "id", "source", "n", total=3 * mix.total)
+    assert max(r.copy for r in more.rows.where("source = 'a'").collect()) == 0
+    short = {r.source: r.actual_share - r.target_share for r in more.shares.collect()}
+    assert min(short, key=short.get) in ("a", "none") and more.rows.count() > len(out)
 
 
 def test_critical_rates_invert_the_distribution():
