@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scantable.plans.rounded import COLUMNS
+from scantable.plans.rounded import CASTS, COLUMNS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,5 +53,9 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     """Name -> SQL."""
     _load()
-    shown = {name: ", ".join(f"round({c}, {DIGITS}) AS {c}" for c in columns) for name, columns in COLUMNS.items()}
-    return {name: f"SELECT * REPLACE ({shown[name]}) FROM ({sql})" if name in shown else sql for name, sql in _SQL.items()}
+    out = {}
+    for name, sql in _SQL.items():
+        kind, cast = CASTS.get(name, ("", ()))
+        shown = [f"round({c}, {DIGITS}) AS {c}" for c in COLUMNS.get(name, ())] + [f"CAST({c} AS {kind}) AS {c}" for c in cast]
+        out[name] = f"SELECT * REPLACE ({', '.join(shown)}) FROM ({sql})" if shown else sql
+    return out

@@ -56,3 +56,20 @@ COLUMNS: dict[str, tuple[str, ...]] = {
     "q3_semantics": ("first_agrees", "last_agrees", "best_agrees"),
     "v8_interpolation": ("z_interpolated",),
 }
+
+#: Columns whose SQL type is wider than Spark's: sums of whole numbers, and decimal literals.
+CASTS: dict[str, tuple[str, tuple[str, ...]]] = {
+    "a14_purity": ("BIGINT", ("mixed_points",)),
+    "a15_partition_overlap": ("BIGINT", ("split_reference_points", "point_count", "merged_compared_points")),
+    "a5_merged_consensus": ("BIGINT", ("n",)),
+    "a6_label_statistics": ("BIGINT", ("label_vote_count",)),
+    "f28_clamped_boxes": ("DOUBLE", ("ax", "ay", "bx", "by_")),
+    "f2_score_modes": ("DOUBLE", ("uniform_score",)),
+    "f5_rule_lookup": ("DOUBLE", ("factor",)),
+    "g13_refinement": ("BIGINT", ("points",)),
+    "g14_partition_outcomes": ("BIGINT", ("nodes",)),
+    "geo_dominant_bin": ("BIGINT", ("kept",)),
+    "q12_methods": ("BIGINT", ("max_size",)),
+    "q21_refined_candidates": ("BIGINT", ("points",)),
+    "q7_unreliable": ("BIGINT", ("points",)),
+}

@@ -197,7 +197,7 @@ def geo_seen_box(spark: SparkSession, d: str) -> DataFrame:
     return geometry.seen_box(_proj(spark, d), ["scene", "frame_id"], 2.0, 2.0)
 
 
-@query(with_views("obs", f"SELECT a.observation_id AS a, b.observation_id AS b, {IOU.replace('nullif(', 'greatest(').replace(', 0)', ', 1.0)') if False else IOU} AS iou FROM obs a JOIN obs b ON a.scene_name = b.scene_name AND a.frame_index = b.frame_index AND a.class_id = b.class_id AND a.observation_id < b.observation_id"))
+@query(with_views("obs", f"SELECT a.observation_id AS a, b.observation_id AS b, {IOU} AS iou FROM obs a JOIN obs b ON a.scene_name = b.scene_name AND a.frame_index = b.frame_index AND a.class_id = b.class_id AND a.observation_id < b.observation_id"))
 def geo_class_boxes(spark: SparkSession, d: str) -> DataFrame:
     """Box IoU of all pairs of a frame and class."""
     return box_pairs(spark, d).where("a_class_id = b_class_id").select(F.col("a_observation_id").alias("a"), F.col("b_observation_id").alias("b"), "iou")
