@@ -17,6 +17,10 @@ from scantable.common import cut
 
 #: Words of a shingle, hash functions, and rows of a band: a pair of similarity 0.8 shares a band with probability 0.9998.
 SHINGLE, HASHES, ROWS = 5, 64, 4
+#: Whole words before a text's last one that a longer copy must hold, and the fewest of a shorter text.
+TAIL, LEAST_TAIL = 8, 3
+#: Bits of the bitmap that spares runs of words nobody asks for the way through Spark.
+SIEVE = 1 << 24
 #: Copies of this similarity or more are aligned.
 SIMILAR = 0.8
 #: A text whose closing word ends fewer than this share of the lines that get as far as that word isn't at its end.
@@ -89,8 +93,24 @@ def shape(text: str) -> str:
     return "closed" if _CLOSER.search(last) else "open"
 
 
-def _signature(tokens: list[str], cache: dict[str, int], mult: np.ndarray, add: np.ndarray) -> np.ndarray:
-    ids = np.fromiter((cache.get(w) or cache.setdefault(w, zlib.crc32(w.encode("utf-8", "surrogatepass")) + 1) for w in tokens), np.uint64, len(tokens))
+def _ids(tokens: list[str], cache: dict[str, int]) -> np.ndarray:
+    if len(cache) > 1_000_000:
+        cache.clear()
+    return np.fromiter((cache.get(w) or cache.setdefault(w, zlib.crc32(w.encode("utf-8", "surrogatepass")) + 1) for w in tokens), np.uint64, len(tokens))
+
+
+def _runs(ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(k, numbers) for k up to TAIL: a stable 64-bit number of each run of k words that another word follows."""
+    h = np.full(len(ids), 0x9E3779B97F4A7C15, dtype=np.uint64)
+    for k in range(1, min(TAIL, len(ids) - 1) + 1):
+        h = (h[: len(ids) - k] ^ ids[k - 1 : -1]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        if k >= LEAST_TAIL:
+            out = (h ^ np.uint64(k)) * np.uint64(0xBF58476D1CE4E5B9)
+            yield k, (out ^ (out >> np.uint64(32))).view(np.int64)
+
+
+def _signature(ids: np.ndarray, mult: np.ndarray, add: np.ndarray) -> np.ndarray:
     k = min(SHINGLE, len(ids))
     h = np.zeros(len(ids) - k + 1, dtype=np.uint64)
     for i in range(k):
@@ -109,10 +129,10 @@ def _constants() -> tuple[np.ndarray, np.ndarray]:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per text: name, length, shape, contexts and closing word, its last words, bands of its signature."""
+    """One row per text: name, length, shape, contexts and closing word, number of its last words but one, last word, bands of its signature."""
     mult, add = _constants()
     cache: dict[str, int] = {}
-    names = ["doc_id", "source", "name", "n", "octets", "shape", "kind", "ctx2", "ctx1", "ctx0", "word", "tail", "bands"]
+    names = ["doc_id", "source", "name", "n", "octets", "shape", "kind", "ctx2", "ctx1", "ctx0", "word", "tail", "half", "bands"]
     for batch in batches:
         rows: list[tuple] = []
         for doc_id, source, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "source", "text"))):
@@ -123,15 +143,15 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             line, kind = _stems(words(last.rstrip())), _kind(last, "\n" not in body)
             sentence = _sentence(line)
             raw = _WORD.findall(body)
-            if len(cache) > 1_000_000:
-                cache.clear()
-            low = _signature(raw, cache, mult, add)
+            ids = _ids(raw, cache)
+            low = _signature(ids, mult, add)
+            tail = next((int(runs[0]) for k, runs in _runs(ids[-TAIL - 1 :]) if len(runs) == 1), None)
             bands = [zlib.crc32(low[i : i + ROWS].tobytes()) << 20 | i for i in range(0, HASHES, ROWS)]
             octets = text.encode("utf-8", "surrogatepass")
             name = hashlib.blake2b(octets, digest_size=8).digest()
-            rows.append((doc_id, source, int.from_bytes(name, "big", signed=True), len(text), len(octets), shape(text), kind, _context(kind, sentence[:-1], 2), _context(kind, sentence[:-1], 1), _context(kind, [], 0), line[-1] if line else "", " ".join(raw[-9:]), bands))
+            rows.append((doc_id, source, int.from_bytes(name, "big", signed=True), len(text), len(octets), shape(text), kind, _context(kind, sentence[:-1], 2), _context(kind, sentence[:-1], 1), _context(kind, [], 0), line[-1] if line else "", tail, raw[-1], bands))
         cols = list(zip(*rows)) if rows else [[] for _ in names]
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64())]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.list_(pa.int64())]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
 
@@ -186,10 +206,46 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _sieve(tails: DataFrame) -> np.ndarray:
+    """A bitmap of the numbers in tails by their last bits: 2 MB at most, whatever their number, and no number is missed."""
+    low = F.col("tail").bitwiseAND(F.lit(SIEVE - 1))
+    rows = tails.groupBy(F.shiftright(low, 15).alias("part")).agg(F.bitmap_construct_agg(low.bitwiseAND(F.lit(32767))).alias("bits")).collect()
+    out = np.zeros(SIEVE >> 3, dtype=np.uint8)
+    for r in rows:
+        out[r.part << 12 : (r.part + 1) << 12] = np.frombuffer(r.bits, dtype=np.uint8)
+    return out
+
+
+def _places(batches: Iterator[pa.RecordBatch], sieve: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(tail, name, at, then, next, more): where a text holds words that may be asked for and the word behind them starts, that word, and whether more follow."""
+    cache: dict[str, int] = {}
+    for batch in batches:
+        rows: list[tuple] = []
+        seen: set[int] = set()
+        for text in batch.column("text").to_pylist():
+            if text is None or not text.strip():
+                continue
+            tokens = _WORD.findall(text)
+            hits = []
+            for k, runs in _runs(_ids(tokens, cache)):
+                low = runs & (SIEVE - 1)
+                hits += [(int(runs[i]), int(i), k) for i in np.flatnonzero(sieve[low >> 3] >> (low & 7).astype(np.uint8) & 1)]
+            if not hits:
+                continue
+            name = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+            if name in seen:
+                continue
+            seen.add(name)
+            starts = [m.start() for m in _WORD.finditer(text)]
+            rows += [(tail, name, starts[i], starts[i + k], tokens[i + k], i + k + 1 < len(tokens)) for tail, i, k in hits]
+        kinds = {"tail": pa.int64(), "name": pa.int64(), "at": pa.int64(), "then": pa.int64(), "next": pa.string(), "more": pa.bool_()}
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * len(kinds), kinds.values())], names=list(kinds))
+
+
 def goes_on(tail: str, text: str, n: int) -> bool:
     """Whether text holds the last words of a shorter copy (of n characters) near the same place, and goes on behind them.
 
-    The copy's very last word may be half of one there.
+    The copy's very last word may be half of one there. The rule for one pair, in plain form; _ends_early() joins by it.
     """
     parts = tail.split(" ")
     if len(parts) < 4:
@@ -208,9 +264,9 @@ def cut_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, evidence) of the texts that were cut: evidence is 'shape', 'limit', 'copy' or 'closing'.
 
     1. Shape: what a text shows by itself, see shape(). Texts that end at a stop or closer are whole.
-    2. Copies: texts get minhash signatures over five-word shingles; per band, a text meets the longest text of its
-       length class and of the next ones (maxima, combined before the shuffle, so a group of copies of any size stays linear).
-       Pairs of similarity 0.8 or more over the signature are aligned; the copy whose alignment ends inside the other is cut.
+    2. Copies: texts get minhash signatures over five-word shingles; a text meets all texts of its
+       bands that hold its last words and go on behind them, of its length class and the next two (see _ends_early()).
+       With a signature 0.8 similar, the text that ends inside the other is cut.
     3. Closing words: how many of the lines that get as far as the text's last word, in the same context, end there.
        Counted over all lines of all documents, final lines once per different text, the text itself left out. Under
        TERMINAL it is cut, see _unclosed().
@@ -219,12 +275,12 @@ def cut_texts(docs: DataFrame) -> DataFrame:
        texts of that length that don't end at a stop are cut.
 
     Null, empty and blank texts are no cases. Equal texts get the same answer. Rows with a null doc_id are left out.
-    Texts themselves are only read, except those of long copies; what is shuffled is a row of numbers per text.
+    Texts themselves are only read; what is shuffled is a row of numbers per text, and its runs of words that end another.
     """
     docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text", "source")
-    kinds = "doc_id long, source string, name long, n long, octets long, shape string, kind string, ctx2 long, ctx1 long, ctx0 long, word string, tail string, bands array<long>"
+    kinds = "doc_id long, source string, name long, n long, octets long, shape string, kind string, ctx2 long, ctx1 long, ctx0 long, word string, tail long, half string, bands array<long>"
     read = cut(docs.mapInArrow(_read, kinds))
-    texts = cut(read.groupBy("name").agg(*[F.min_by(c, "doc_id").alias(c) for c in ("source", "n", "octets", "shape", "kind", "ctx2", "ctx1", "ctx0", "word", "tail", "bands")], F.min("doc_id").alias("doc_id")))
+    texts = cut(read.groupBy("name").agg(*[F.min_by(c, "doc_id").alias(c) for c in ("source", "n", "octets", "shape", "kind", "ctx2", "ctx1", "ctx0", "word", "tail", "half", "bands")], F.min("doc_id").alias("doc_id")))
     open_ones = texts.where("shape = 'open'")
 
     by_copy = _ends_early(docs, texts, open_ones)
@@ -289,23 +345,31 @@ def _at_limit(texts: DataFrame, sure: DataFrame) -> DataFrame:
 
 
 def _ends_early(docs: DataFrame, texts: DataFrame, open_ones: DataFrame) -> DataFrame:
-    """(name, evidence) of open-ended texts that a verified longer copy goes beyond."""
+    """(name, evidence) of open-ended texts that a verified longer copy goes beyond.
+
+    A text meets all places where a text of one of its bands holds its last words and goes on, see goes_on(): band and
+    words are one join key, so no partner is left out and the rest of a group of copies isn't looked at. A semi-join
+    stops at the first place that fits.
+    """
     grade = F.floor(F.log2(F.col("n").cast("double")) * 4)  # length classes a factor of 1.19 wide
-    banded = texts.select("name", "n", "doc_id", F.col("bands"), grade.alias("grade"), F.explode("bands").alias("band"))
-    longest = banded.groupBy("band", "grade").agg(F.max(F.struct("n", "doc_id", "name")).alias("top"), F.max_by("bands", F.struct("n", "doc_id", "name")).alias("their"))
-    asks = open_ones.select("name", "n", "tail", "bands", F.explode("bands").alias("band"), grade.alias("own")).select("*", F.explode(F.sequence(F.col("own"), F.col("own") + 2)).alias("grade"))
-    met = asks.join(longest, ["band", "grade"]).where(F.col("top.n") > F.col("n"))
+    asks = open_ones.where("tail is not null").select("name", "n", "tail", "half", "bands", grade.alias("own"))
+    # of the words behind a place only beginnings as long as asked for are formed
+    sizes = asks.select("tail", F.length("half").alias("size")).distinct()
+    sieve = _sieve(asks)
+    places = docs.select("text").mapInArrow(lambda batches: _places(batches, sieve), "tail long, name long, at long, then long, next string, more boolean")
+    longer = (F.length("next") > F.col("size")) | ((F.length("next") == F.col("size")) & F.col("more"))
+    places = places.join(sizes, "tail").where(longer).select("tail", F.expr("substring(next, 1, size)").alias("half"), F.col("name").alias("their"), "at", "then")
+    places = places.join(asks.select("tail", "half").distinct(), ["tail", "half"], "left_semi").distinct()
+    whole = texts.select(F.col("name").alias("their"), F.col("n").alias("their_n"), F.col("bands").alias("their_bands"), grade.alias("grade"))
+    held = places.join(whole, "their").withColumn("band", F.explode("their_bands"))
     # the share of equal bands bounds the similarity: at least one in three at 0.8 (0.8**4 = 0.41 expected)
-    alike = F.size(F.array_intersect("bands", "their")) >= 3
-    pairs = met.where(alike).groupBy("name", F.col("top.doc_id").alias("doc_id")).agg(F.first("n").alias("n"), F.first("tail").alias("tail"))
-
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("name", "tail", "n", "text")))
-            yield pa.RecordBatch.from_arrays([pa.array([name for name, tail, n, text in rows if goes_on(tail, text, n)], pa.int64())], names=["name"])
-
-    aligned = docs.join(pairs, "doc_id").select("name", "tail", "n", "text").mapInArrow(align, "name long")
-    return aligned.distinct().select("name", F.lit("copy").alias("evidence"))
+    alike = F.size(F.array_intersect("bands", "their_bands")) >= 3
+    near = (F.col("at") >= F.floor(F.col("n") * 0.7) - 200) & (F.col("then") < F.floor(F.col("n") * 1.3) + 200)
+    fits = (F.col("their_n") > F.col("n")) & F.col("grade").between(F.col("own"), F.col("own") + 2) & near & alike
+    asked = asks.withColumn("band", F.explode("bands")).alias("a")
+    held = held.alias("h")
+    same = (F.col("a.band") == F.col("h.band")) & (F.col("a.tail") == F.col("h.tail")) & (F.col("a.half") == F.col("h.half"))
+    return asked.join(held, same & fits, "left_semi").select("name", F.lit("copy").alias("evidence")).distinct()
 
 
 def cut_rates(docs: DataFrame, found: DataFrame) -> DataFrame:
