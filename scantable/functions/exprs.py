@@ -99,9 +99,10 @@ def calibration(quality_z: Column, new: Column, label: Column, quality_weight: f
 
 def softmax(values: Column) -> Column:
     """Softmax of an array, shifted by its maximum; an empty array stays empty."""
-    e = F.transform(values, lambda x: F.exp(x - F.array_max(values)))
-    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(e, lambda x: x / total)
+    # a lambda's argument is computed once, an outer expression once per element
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    shares = lambda e: once(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(e, lambda x: x / total))
+    return once(values, lambda v: once(F.array_max(v), lambda top: once(F.transform(v, lambda x: F.exp(x - top)), shares)))
 
 
 def token_jaccard(a: ColumnLike, b: ColumnLike) -> Column:

@@ -37,6 +37,7 @@ COLUMNS: dict[str, tuple[str, ...]] = {
     "f23_features": ("mean_iou_std",),
     "f29_normalised": ("nx", "ny", "nz", "red"),
     "f30_softmax": ("first_p", "top_p"),
+    "f30_softmax_whole": ("first_p", "top_p"),
     "f40_log_metrics": ("mean_ap",),
     "f9_novelty": ("novelty",),
     "g5_neighbour_weights": ("weight",),

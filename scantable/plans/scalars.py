@@ -191,6 +191,14 @@ def f30_softmax(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", p.alias("p")).select("vec_id", F.get("p", F.lit(0)).alias("first_p"), F.array_max("p").alias("top_p"))
 
 
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: exp(CAST(v AS DOUBLE) - CAST(list_max(embedding) AS DOUBLE))) AS e FROM embeddings)
+    SELECT vec_id, e[1] / list_sum(e) AS first_p, list_max(e) / list_sum(e) AS top_p FROM e""")
+def f30_softmax_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Softmax over all numbers of a vector."""
+    p = X.softmax(F.transform("embedding", lambda v: v.cast("double")))
+    return table(spark, d, "embeddings").select("vec_id", p.alias("p")).select("vec_id", F.get("p", F.lit(0)).alias("first_p"), F.array_max("p").alias("top_p"))
+
+
 @query("""WITH u AS (SELECT vec_id, unnest(range(0, 64)) AS k, unnest(embedding) AS v FROM embeddings), r AS (SELECT vec_id, k, v, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, k) AS n FROM u)
     SELECT vec_id, max(k) FILTER (WHERE n = 1) AS best, max(k) FILTER (WHERE n = 2) AS second, CAST(max(v) FILTER (WHERE n = 1) AS DOUBLE) - CAST(max(v) FILTER (WHERE n = 2) AS DOUBLE) AS margin FROM r GROUP BY 1""")
 def f31_top_two(spark: SparkSession, d: str) -> DataFrame:
