@@ -125,6 +125,22 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir).shares
 
 
+def _corpus_mixture(spark: SparkSession, sf_dir: str) -> Mixture:
+    sizes = _sizes(spark, sf_dir, ["doc_id", "source"])
+    total = sizes.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first().n
+    return poisson_mix(sizes, table(spark, sf_dir, "mix_targets"), "doc_id", "source", "n_tokens", total=float(total))
+
+
+def p9_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen texts of a mixture that aims at as many tokens as all documents have: scarce sources stop at max_repeats."""
+    return _corpus_mixture(spark, sf_dir).rows.withColumnRenamed("id", "doc_id")
+
+
+def p9_corpus_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual shares of that mixture: scarce sources fall short."""
+    return _corpus_mixture(spark, sf_dir).shares
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose text was cut."""
     return cut_texts(table(spark, sf_dir, "documents")).select("doc_id")
@@ -138,7 +154,7 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> query."""
-    return {f.__name__: f for f in (p1_found, p1_outvoted, p3_found, p3_nested, p3_shares, p5_found, p5_links, p6_found, p7_found, p8_packed, p8_fill, p9_mixed, p9_shares, p10_found, p10_rates)}
+    return {f.__name__: f for f in (p1_found, p1_outvoted, p3_found, p3_nested, p3_shares, p5_found, p5_links, p6_found, p7_found, p8_packed, p8_fill, p9_mixed, p9_shares, p9_corpus, p9_corpus_shares, p10_found, p10_rates)}
 
 
 _NAME = r"nullif(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]', '', 'g'), '')"
