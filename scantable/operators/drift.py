@@ -87,8 +87,15 @@ def schema_changes(files: DataFrame, rows: DataFrame) -> DataFrame:
     fits = old.join(new, ["pair", "cand"]).groupBy("pair", "old_field", "new_field").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("old_val") == F.col("new_val")).alias("same"))
     fits = cut(fits.where(F.col("same") > F.col("n") * MOST))
     order = [(F.col("same") / F.col("n")).desc(), F.col("n").desc(), F.col("old_field"), F.col("new_field")]
-    ranked = fits.select("*", F.row_number().over(Window.partitionBy("pair", "old_field").orderBy(*order)).alias("a"), F.row_number().over(Window.partitionBy("pair", "new_field").orderBy(*order)).alias("b"))
-    renames = cut(ranked.where("a = 1 and b = 1").select(F.col("pair").alias("file_id"), "old_field", "new_field"))
+    renames: DataFrame | None = None
+    while True:  # each round settles at least the best fit left of every pair of files; as a rule there is one round
+        ranked = fits.select("*", F.row_number().over(Window.partitionBy("pair", "old_field").orderBy(*order)).alias("a"), F.row_number().over(Window.partitionBy("pair", "new_field").orderBy(*order)).alias("b"))
+        best = cut(ranked.where("a = 1 and b = 1").select(F.col("pair").alias("file_id"), "old_field", "new_field"))
+        renames = best if renames is None else renames.union(best)
+        used = best.withColumnRenamed("file_id", "pair")
+        fits = cut(fits.join(used.select("pair", "old_field"), ["pair", "old_field"], "left_anti").join(used.select("pair", "new_field"), ["pair", "new_field"], "left_anti"))
+        if fits.isEmpty():
+            break
 
     removed = gone.select("file_id", F.col("field").alias("old_field")).join(renames, ["file_id", "old_field"], "left_anti")
     added = came.select("file_id", F.col("field").alias("new_field")).join(renames, ["file_id", "new_field"], "left_anti")
