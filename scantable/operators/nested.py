@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Bytes indexed at once; a longer text is indexed alone.
@@ -20,25 +21,53 @@ _BLANK[np.frombuffer(b" \t\r\n", dtype=np.uint8)] = True
 _OPEN, _CLOSE = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
 _OPEN[[ord("{"), ord("[")]] = True
 _CLOSE[[ord("}"), ord("]")]] = True
+_HEX, _ESCAPE = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_HEX[np.frombuffer(b"0123456789abcdefABCDEF", dtype=np.uint8)] = True
+_ESCAPE[np.frombuffer(b'"\\/bfnrtu', dtype=np.uint8)] = True
+#: fixed values: scalars of JSON that aren't strings, and the names of numbers that aren't finite
+_PLAIN = r"^(-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?|true|false|null|NaN|-?Infinity)$"
 
 
-def structure(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(position, depth, text number, sound) of the structural characters of texts that lie behind one another in data.
+@dataclass
+class Bitmaps:
+    """Structural characters of texts that lie behind one another in data[offsets[i]:offsets[i + 1]].
+
+    position, depth (of the container a character belongs to) and text of each; inside: bytes of strings with their opening
+    quote; quote: quotes that aren't escaped; escape: backslashes that escape the byte behind them; sound: per text, quotes and
+    brackets are balanced.
+    """
+
+    data: np.ndarray
+    offsets: np.ndarray
+    position: np.ndarray
+    depth: np.ndarray
+    text: np.ndarray
+    inside: np.ndarray
+    quote: np.ndarray
+    escape: np.ndarray
+    sound: np.ndarray
+
+
+def structure(data: np.ndarray, offsets: np.ndarray) -> Bitmaps:
+    """Index of the structural characters.
 
     Bitmaps of backslashes give the escaped characters, those of the other quotes by their running parity the insides of
     strings; brackets, commas and colons outside are structural, and the prefix sum of opening less closing brackets is
-    the depth (that of the container a character belongs to). sound: per text, quotes and brackets are balanced.
+    the depth.
     """
     n, texts = len(data), len(offsets) - 1
     lengths = np.diff(offsets)
     slash = data == 0x5C
+    escape = np.zeros(n, dtype=bool)
     escaped = np.zeros(n + 1, dtype=bool)
     if slash.any():
         at = np.flatnonzero(slash)
         first = np.ones(len(at), dtype=bool)
         first[1:] = (at[1:] != at[:-1] + 1) | np.isin(at[1:], offsets, assume_unique=False)
         begin = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
-        escaped[at[(np.arange(len(at)) - begin) % 2 == 0] + 1] = True
+        active = at[(np.arange(len(at)) - begin) % 2 == 0]
+        escape[active] = True
+        escaped[active + 1] = True
         escaped[offsets] = False
     quote = (data == 0x22) & ~escaped[:n]
     count = np.zeros(n + 1, dtype=np.int64)
@@ -58,7 +87,104 @@ def structure(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
         lowest = np.full(texts, 0)
         np.minimum.at(lowest, text, total[1:] - total[edge[:-1]][text])
         sound &= lowest >= 0
-    return position, depth, text, sound
+    return Bitmaps(data, offsets, position, depth, text, inside, quote, escape, sound)
+
+
+def spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.BinaryArray:
+    """data[start[i]:end[i]] of all i as one array."""
+    size = end - start
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    at = np.arange(offsets[-1]) + np.repeat(start - offsets[:-1], size)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[at]))])
+
+
+def grammatical(maps: Bitmaps) -> np.ndarray:
+    """Per text, whether it is JSON: decided over the bitmaps, so depth costs nothing and no text is parsed.
+
+    Between two neighbouring structural characters lies at most one scalar. Which neighbours may follow one another, with
+    or without a scalar between them, depends on the two and on the kind of their container only; scalars are checked all together.
+    """
+    data, offsets, good = maps.data, maps.offsets, maps.sound.copy()
+    texts = len(offsets) - 1
+    if not texts:
+        return good
+    # a byte 1 and 2 stand for the begin and the end of each text
+    edges = np.arange(texts)
+    p = np.concatenate([offsets[:-1] - 1, maps.position, offsets[1:]])
+    t = np.concatenate([edges, maps.text, edges])
+    role = np.concatenate([np.full(texts, 0), np.full(len(maps.position), 1), np.full(texts, 2)])
+    order = np.lexsort((p, role, t))
+    p, t, role = p[order], t[order], role[order]
+    k = np.where(role == 1, data[np.clip(p, 0, max(0, len(data) - 1))] if len(data) else 0, role + 1)
+    k[role == 0] = 1
+    k[role == 2] = 2
+    # kind of the container of every structural character: that of the opening bracket at its depth before it
+    mine = np.lexsort((maps.position, maps.depth, maps.text))
+    kinds = data[maps.position][mine] if len(mine) else np.zeros(0, dtype=np.uint8)
+    seq = np.arange(len(mine))
+    opened = np.maximum.accumulate(np.where(_OPEN[kinds], seq, 0)) if len(mine) else seq
+    curly = np.zeros(len(mine), dtype=bool)
+    curly[mine] = kinds[opened] == ord("{")
+    in_object = np.zeros(len(p), dtype=bool)
+    in_object[role == 1] = curly
+    deep = np.ones(len(p), dtype=bool)
+    deep[role == 1] = maps.depth >= 1
+
+    solid = np.flatnonzero(~_BLANK[data])
+    a, b = slice(0, len(p) - 1), slice(1, len(p))
+    pair = t[a] == t[b]
+    first = np.searchsorted(solid, p[a] + 1)
+    last = np.searchsorted(solid, p[b]) - 1
+    has = (first <= last) & pair
+    x, y, obj = k[a], k[b], in_object[a]
+    closing = (y == ord("}")) | (y == ord("]"))
+    opening = (y == ord("{")) | (y == ord("["))
+    value = np.where(has, (y == ord(",")) | closing, opening)  # what may follow where a value is due
+    ok = np.select(
+        [x == 1, x == ord("{"), x == ord("["), x == ord(":"), (x == ord(",")) & obj, x == ord(","), (x == ord("}")) | (x == ord("]"))],
+        [
+            np.where(has, y == 2, opening),
+            np.where(has, y == ord(":"), y == ord("}")),
+            value | (~has & (y == ord("]"))),
+            value,
+            has & (y == ord(":")),
+            value,
+            ~has & ((y == ord(",")) | closing | (y == 2)),
+        ],
+        default=False,
+    )
+    # a bracket closes one of its own kind, a colon is in an object, nothing structural is outside the root
+    ok &= ~((y == ord("}")) & ~in_object[b]) & ~((y == ord("]")) & in_object[b]) & ~((y == ord(":")) & ~in_object[b]) & deep[b]
+    good[t[a][pair & ~ok]] = False
+
+    # scalars: one span each
+    at = np.flatnonzero(has)
+    start, end, of = solid[first[at]], solid[last[at]] + 1, t[a][at]
+    quotes = np.concatenate([[0], np.cumsum(maps.quote)])
+    n_quotes = quotes[end] - quotes[start]
+    string = (data[start] == 0x22) & maps.quote[end - 1] & (n_quotes == 2) & (end - start >= 2)
+    plain = np.flatnonzero(~string)
+    if len(plain):
+        fits = pc.match_substring_regex(spans(data, start[plain], end[plain]), _PLAIN).to_numpy(zero_copy_only=False)
+        good[of[plain[~fits]]] = False
+    named = at[y[at] == ord(":")]
+    good[t[a][named[~string[np.searchsorted(at, named)]]]] = False
+    # strings: no control characters, escapes that exist, four hexadecimal digits behind a u
+    control = np.flatnonzero(maps.inside & (data < 0x20))
+    text_of = lambda where: np.searchsorted(offsets, where, side="right") - 1
+    good[text_of(control)] = False
+    slash = np.flatnonzero(maps.escape)
+    good[text_of(slash[~maps.inside[slash]])] = False
+    slash = slash[(slash + 1 < len(data))]
+    good[text_of(slash[~_ESCAPE[data[slash + 1]]])] = False
+    u = slash[data[slash + 1] == ord("u")]
+    if len(u):
+        digits = u[:, None] + np.arange(2, 6)
+        within = digits[:, -1] < len(data)
+        hexed = np.zeros(len(u), dtype=bool)
+        hexed[within] = _HEX[data[digits[within]]].all(axis=1)
+        good[text_of(u[~hexed])] = False
+    return good
 
 
 @dataclass
@@ -73,19 +199,20 @@ class Nodes:
     key_start: np.ndarray
     key_end: np.ndarray
     place: np.ndarray
+    depth: np.ndarray
     roots: np.ndarray
 
     def kind(self, nodes: np.ndarray) -> np.ndarray:
         """First byte of each value."""
         return self.data[self.start[nodes]]
 
-    def raw(self, node: int) -> str:
-        """JSON text of a value."""
-        return self.data[self.start[node] : self.end[node]].tobytes().decode("utf-8", "replace")
+    def raw(self, nodes: np.ndarray) -> pa.Array:
+        """JSON texts of values."""
+        return _text(spans(self.data, self.start[nodes], self.end[nodes]))
 
-    def key(self, node: int) -> str:
-        """Name of a member."""
-        return json.loads(self.data[self.key_start[node] : self.key_end[node]].tobytes())
+    def keys(self, nodes: np.ndarray) -> list[str]:
+        """Names of members."""
+        return unquoted(self.data, self.key_start[nodes], self.key_end[nodes])
 
     def named(self, name: str) -> np.ndarray:
         """Whether each value is a member of that name, compared over the key's bytes."""
@@ -129,11 +256,37 @@ class Nodes:
         return own, slot[self.parent[own]]
 
 
+def _text(array: pa.Array) -> pa.Array:
+    """Bytes as text; what isn't UTF-8 is replaced."""
+    try:
+        return array.cast(pa.large_string()).cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([x.as_py().decode("utf-8", "replace") for x in array], pa.string())
+
+
+def unquoted(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[str]:
+    """Contents of the string spans; only those with a backslash are decoded one by one."""
+    texts = _text(spans(data, start + 1, end - 1)).to_pylist()
+    slashes = np.concatenate([[0], np.cumsum(data == 0x5C)])
+    for i in np.flatnonzero(slashes[end] > slashes[start]):
+        texts[i] = json.loads(data[start[i] : end[i]].tobytes(), strict=False)
+    return texts
+
+
+def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(data, offsets) of texts behind one another."""
+    return np.frombuffer(b"".join(texts), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+
+
 def index(texts: list[bytes]) -> Nodes:
+    """Spans of all values of valid JSON texts, see values()."""
+    return values(structure(*joined(texts)))
+
+
+def values(maps: Bitmaps) -> Nodes:
     """Spans of all values of valid JSON texts: keys, values, parents and places in their containers."""
-    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    position, depth, text, _ = structure(data, offsets)
+    data, offsets = maps.data, maps.offsets
+    position, depth, text = maps.position, maps.depth, maps.text
     kind = data[position] if len(position) else np.zeros(0, dtype=np.uint8)
     solid = np.flatnonzero(~_BLANK[data])
     # within one text and depth, in order: open, (key, colon,) value, comma, ..., close, open, ...
@@ -179,24 +332,28 @@ def index(texts: list[bytes]) -> Nodes:
     return Nodes(
         data, np.concatenate([t[value], full]), start, end, np.concatenate([holder, pad]),
         np.concatenate([key_start, pad]), np.concatenate([key_end, pad]), np.concatenate([place, np.zeros(len(full), dtype=np.int64)]),
-        np.arange(len(value), len(value) + len(full)),
+        np.concatenate([d[value], np.zeros(len(full), dtype=np.int64)]).astype(np.int32), np.arange(len(value), len(value) + len(full)),
     )
 
 
-def chunks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-    """(row numbers, texts) of the rows whose text is JSON, about CHUNK bytes at a time.
+def only(maps: Bitmaps, good: np.ndarray) -> Bitmaps:
+    """The index of the texts marked good, without the others' bytes."""
+    if good.all():
+        return maps
+    lengths = np.diff(maps.offsets)
+    return structure(maps.data[np.repeat(good, lengths)], np.concatenate([[0], np.cumsum(lengths[good])]).astype(np.int64))
 
-    Quotes and brackets are checked over the structure first; what is balanced is then held against a parser.
-    """
+
+def chunks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[np.ndarray, Bitmaps]]:
+    """(row numbers, index) of the rows whose text is JSON, about CHUNK bytes at a time."""
     texts = batch.column(column).cast(pa.binary()).to_pylist()
     rows, held, size = [], [], 0
 
-    def valid() -> Iterator[tuple[np.ndarray, list[bytes]]]:
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in held])]).astype(np.int64)
-        sound = structure(np.frombuffer(b"".join(held), dtype=np.uint8), offsets)[3]
-        good = [i for i in np.flatnonzero(sound) if parses(held[i])]
-        if good:
-            yield np.array([rows[i] for i in good]), [held[i] for i in good]
+    def valid() -> Iterator[tuple[np.ndarray, Bitmaps]]:
+        maps = structure(*joined(held))
+        good = grammatical(maps)
+        if good.any():
+            yield np.array(rows)[good], only(maps, good)
 
     for i, x in enumerate(texts):
         if not x or not x.strip():
@@ -211,48 +368,42 @@ def chunks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[np.ndarray, lis
         yield from valid()
 
 
-def parses(text: bytes) -> bool:
-    """Whether a text is JSON."""
-    try:
-        json.loads(text)
-    except (ValueError, RecursionError):
-        return False
-    return True
-
-
 def shred(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Every value of every JSON text as a row, linked to its container.
 
     (id, node_id, parent_id, depth, key, place, kind, value): node_id counts within its text, the root is 0 and has parent
     -1; place counts from 0 in the container; kind is object, array, string, number, boolean or null; value is the JSON text of a
-    scalar, NULL for containers. Texts that are null, blank or no JSON give no rows.
+    scalar, NULL for containers. Texts that are null, blank or no JSON give no rows; depth is not limited.
     """
     id_type = df.schema[id_col].dataType.simpleString()
-    names = {ord("{"): "object", ord("["): "array", ord('"'): "string", ord("t"): "boolean", ord("f"): "boolean", ord("n"): "null"}
+    names = np.full(256, "number", dtype=object)
+    for first, name in {"{": "object", "[": "array", '"': "string", "t": "boolean", "f": "boolean", "n": "null"}.items():
+        names[ord(first)] = name
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, texts in chunks(batch, text_col):
-                nodes = index(texts)
+            for rows, maps in chunks(batch, text_col):
+                nodes = values(maps)
                 order = np.lexsort((-nodes.end, nodes.start, nodes.text))  # containers before what they hold
                 number = np.empty(len(order), dtype=np.int64)
-                first = np.searchsorted(nodes.text[order], np.arange(len(texts)))
+                first = np.searchsorted(nodes.text[order], np.arange(len(rows)))
                 number[order] = np.arange(len(order)) - first[nodes.text[order]]
-                depth = np.zeros(len(order), dtype=np.int32)
-                for i in order:
-                    if nodes.parent[i] >= 0:
-                        depth[i] = depth[nodes.parent[i]] + 1
-                kinds = [names.get(c, "number") for c in nodes.kind(order)]
+                kind = nodes.kind(order)
+                scalar = ~_OPEN[kind]
+                keyed = nodes.key_start[order] >= 0
+                # what has no key or no value of its own becomes an index behind the end, and so a null
+                keys = pa.array(nodes.keys(order[keyed]), pa.string()).take(pa.array(np.cumsum(keyed) - 1, mask=~keyed))
+                texts = nodes.raw(order[scalar]).take(pa.array(np.cumsum(scalar) - 1, mask=~scalar))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(id_col).take(pa.array(rows[nodes.text[order]])),
                         pa.array(number[order]),
                         pa.array(np.where(nodes.parent[order] >= 0, number[nodes.parent[order]], -1)),
-                        pa.array(depth[order]),
-                        pa.array([nodes.key(i) if nodes.key_start[i] >= 0 else None for i in order], pa.string()),
+                        pa.array(nodes.depth[order]),
+                        keys,
                         pa.array(nodes.place[order].astype(np.int32)),
-                        pa.array(kinds),
-                        pa.array([nodes.raw(i) if k not in ("object", "array") else None for i, k in zip(order, kinds)], pa.string()),
+                        pa.array(names[kind], pa.string()),
+                        texts,
                     ],
                     names=["id", "node_id", "parent_id", "depth", "key", "place", "kind", "value"],
                 )
@@ -267,15 +418,24 @@ class _Held:
     nodes: Nodes
     lists: np.ndarray
     row: np.ndarray
-    scene: list[str | None]
+    scene: np.ndarray
+
+
+def _strings(nodes: Nodes, at: np.ndarray) -> np.ndarray:
+    """Texts of string values, None for -1, empty ones and other kinds."""
+    out = np.full(len(at), None, dtype=object)
+    text = np.flatnonzero((at >= 0) & (nodes.data[nodes.start[at]] == ord('"'))) if len(at) else np.zeros(0, dtype=np.int64)
+    if len(text):
+        out[text] = [x or None for x in unquoted(nodes.data, nodes.start[at[text]], nodes.end[at[text]])]
+    return out
 
 
-def _strings(nodes: Nodes, at: np.ndarray) -> list[str | None]:
-    """Texts of string values, None for -1 and other kinds."""
-    out: list[str | None] = []
-    for i in at:
-        text = json.loads(nodes.raw(i)) if i >= 0 and nodes.data[nodes.start[i]] == ord('"') else None
-        out.append(text or None)
+def _first(*choices: np.ndarray) -> np.ndarray:
+    """Per place the first of the choices that isn't None."""
+    out = choices[0].copy()
+    for other in choices[1:]:
+        lost = np.flatnonzero(np.equal(out, None))
+        out[lost] = other[lost]
     return out
 
 
@@ -294,15 +454,19 @@ def _unfold(held: _Held) -> Iterator[tuple[Nodes, np.ndarray, np.ndarray, np.nda
         yield held.nodes, held.lists[single], np.zeros(len(single), dtype=np.int64), single
     quoted = np.flatnonzero(kind == ord('"'))
     if len(quoted):
-        inner = [json.loads(held.nodes.raw(i)).strip().encode("utf-8", "surrogatepass") for i in held.lists[quoted]]
-        good = [i for i, x in enumerate(inner) if x and parses(x)]
-        plain = np.array([quoted[i] for i, x in enumerate(inner) if x and not parses(x)], dtype=np.int64)
+        lists = held.lists[quoted]
+        inner = [x.strip().encode("utf-8", "surrogatepass") for x in unquoted(held.nodes.data, held.nodes.start[lists], held.nodes.end[lists])]
+        real = np.array([bool(x) for x in inner])
+        quoted, inner = quoted[real], [x for x in inner if x]
+        maps = structure(*joined(inner))
+        good = grammatical(maps) if inner else np.zeros(0, dtype=bool)
+        plain = quoted[~good]
         if len(plain):
             yield held.nodes, held.lists[plain], np.zeros(len(plain), dtype=np.int64), plain
-        if good:
-            deeper = index([inner[i] for i in good])
-            for nodes, found, places, of in _unfold(_Held(deeper, deeper.roots, deeper.text[deeper.roots], [None] * len(good))):
-                yield nodes, found, places, quoted[np.array(good)[of]]
+        if good.any():
+            deeper = values(only(maps, good))
+            for nodes, found, places, of in _unfold(_Held(deeper, deeper.roots, deeper.text[deeper.roots], np.full(len(deeper.roots), None, dtype=object))):
+                yield nodes, found, places, quoted[good][of]
 
 
 def candidate_views(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -312,70 +476,62 @@ def candidate_views(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     element of its support_views that isn't null. Members may be missing or null, stand one object deeper, and lists may
     be written as an array, something single (place 0) or as a JSON text. Reports of scene_reports are a list, an object
     keyed by scene or a single report. scene_name is the item's own, else its report's, else the file's; NULL if none
-    says it. Texts that aren't JSON give nothing.
+    says it. Texts that aren't JSON give nothing. All steps work on columns of spans; depth is not limited.
     """
     id_type = df.schema[id_col].dataType.simpleString()
 
     def items(held: _Held, section: str) -> Iterator[tuple]:
+        """Columns (row, scene, section, item, view) of items and views."""
         for nodes, found, places, of in _unfold(held):
             real = nodes.kind(found) != ord("n")
             found, places, of = found[real], places[real], of[real]
-            own = _strings(nodes, nodes.child(found, "scene_name"))
-            rows = held.row[of]
-            scenes = [s or held.scene[i] for s, i in zip(own, of)]
-            for r, s, place in zip(rows, scenes, places):
-                yield r, s, section, place, -1
+            rows, scenes = held.row[of], _first(_strings(nodes, nodes.child(found, "scene_name")), held.scene[of])
+            yield rows, scenes, section, places, np.full(len(rows), -1)
             views = nodes.find(found, "support_views")
             has = np.flatnonzero(views >= 0)
-            inner = _Held(nodes, views[has], rows[has], [scenes[i] for i in has])
+            inner = _Held(nodes, views[has], rows[has], scenes[has])
             for deep, view, at, whose in _unfold(inner):
                 keep = deep.kind(view) != ord("n")
-                for a, w in zip(at[keep], whose[keep]):
-                    yield inner.row[w], inner.scene[w], section, places[has[w]], a
+                yield inner.row[whose[keep]], inner.scene[whose[keep]], section, places[has[whose[keep]]], at[keep]
 
-    def reports(nodes: Nodes, tops: np.ndarray, row: np.ndarray, scene: list[str | None]) -> Iterator[tuple]:
-        outer = _Held(nodes, tops, row, scene)
-        for deep, found, _, of in _unfold(outer):
+    def reports(nodes: Nodes, tops: np.ndarray, row: np.ndarray, scene: np.ndarray) -> Iterator[tuple]:
+        for deep, found, _, of in _unfold(_Held(nodes, tops, row, scene)):
             # an object that is no report itself holds reports by scene
             alone = (deep.child(found, "applied") >= 0) | (deep.child(found, "scene_name") >= 0) | (deep.child(found, "fusion") >= 0)
             is_object = deep.kind(found) == ord("{")
-            keyed = np.flatnonzero(is_object & ~alone & (nodes.kind(tops)[of] != ord("[")))
-            one = np.flatnonzero(is_object & ~np.isin(np.arange(len(found)), keyed))
-            named = [(found[i], of[i], None) for i in one]
-            if len(keyed):
-                inner, whose = deep.elements(found[keyed])
-                named += [(x, of[keyed[w]], deep.key(x)) for x, w in zip(inner, whose)]
-            if not named:
+            keyed = is_object & ~alone & (nodes.kind(tops)[of] != ord("["))
+            one = np.flatnonzero(is_object & ~keyed)
+            inner, whose = deep.elements(found[keyed])
+            report = np.concatenate([found[one], inner])
+            if not len(report):
                 continue
-            report = np.array([x for x, _, _ in named])
-            own = _strings(deep, deep.find(report, "scene_name"))
-            scenes = [s or key or scene[w] for s, (_, w, key) in zip(own, named)]
+            above = np.concatenate([of[one], of[keyed][whose]])
+            by_key = np.full(len(report), None, dtype=object)
+            by_key[len(one) :] = [k or None for k in deep.keys(inner)]
+            scenes = _first(_strings(deep, deep.find(report, "scene_name")), by_key, scene[above])
             applied = deep.find(report, "applied")
             has = np.flatnonzero(applied >= 0)
-            yield from items(_Held(deep, applied[has], np.array([row[named[i][1]] for i in has], dtype=np.int64), [scenes[i] for i in has]), "applied")
+            yield from items(_Held(deep, applied[has], row[above[has]], scenes[has]), "applied")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, texts in chunks(batch, text_col):
-                nodes = index(texts)
+            for rows, maps in chunks(batch, text_col):
+                nodes = values(maps)
                 roots = nodes.roots
                 row = rows[nodes.text[roots]]
                 scene = _strings(nodes, nodes.find(roots, "scene_name"))
-                out: list[tuple] = []
                 for name, section in (("candidates", "candidates"), ("scene_reports", "applied")):
                     lists = nodes.find(roots, name)
                     has = np.flatnonzero(lists >= 0)
-                    known = [scene[i] for i in has]
                     if section == "candidates":
-                        out += items(_Held(nodes, lists[has], row[has], known), section)
+                        out = items(_Held(nodes, lists[has], row[has], scene[has]), section)
                     else:
-                        out += reports(nodes, lists[has], row[has], known)
-                if not out:
-                    continue
-                r, s, section, item, view = zip(*out)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(id_col).take(pa.array(np.array(r))), pa.array(s, pa.string()), pa.array(section), pa.array(np.array(item, dtype=np.int32)), pa.array(np.array(view, dtype=np.int32))],
-                    names=["id", "scene_name", "section", "item_pos", "view_pos"],
-                )
+                        out = reports(nodes, lists[has], row[has], scene[has])
+                    for r, s, of, item, view in out:
+                        if len(r):
+                            yield pa.RecordBatch.from_arrays(
+                                [batch.column(id_col).take(pa.array(r)), pa.array(s, pa.string()), pa.array([of] * len(r), pa.string()), pa.array(item.astype(np.int32)), pa.array(view.astype(np.int32))],
+                                names=["id", "scene_name", "section", "item_pos", "view_pos"],
+                            )
 
     return df.select(id_col, text_col).mapInArrow(run, f"id {id_type}, scene_name string, section string, item_pos int, view_pos int")

@@ -69,6 +69,32 @@ def test_index_holds_every_value(values, indent, plain):
         assert sorted(map(repr, got)) == sorted(map(repr, _flat(value, [])))
 
 
+_PIECES = st.lists(st.sampled_from(['{', '}', '[', ']', ',', ':', '"a"', '"', '\\', '\\u00e9', '\\ud8', '1', '-0', '01', '1.5e3', '1.', 'true', 'null', 'nul', 'NaN', '-Infinity', ' ', '\n', '\t', 'x', '"b\\n"', '\x01', 'é', '{"k": 1}', '[2]']), max_size=9).map("".join)
+
+
+def _is_json(text):
+    try:
+        json.loads(text)
+    except ValueError:
+        return False
+    return True
+
+
+@settings(max_examples=800, deadline=None)
+@given(st.lists(st.one_of(_PIECES, _JSON.map(json.dumps), st.tuples(_JSON.map(json.dumps), st.integers(0, 30)).map(lambda x: x[0][: x[1]])), min_size=1, max_size=6))
+def test_grammar_agrees_with_a_parser(texts):
+    good = nested.grammatical(nested.structure(*nested.joined([t.encode() for t in texts])))
+    assert list(good) == [_is_json(t) for t in texts]
+
+
+def test_depth_is_not_limited(spark, rows):
+    deep = 100_000
+    item = '{"a": ' * deep + "[" * deep + "]" * deep + "}" * deep
+    df = spark.createDataFrame([(1, '{"candidates": [%s, {"support_views": [1]}], "scene_name": "s"}' % item), (2, "[" * deep)], "id long, t string")
+    assert rows(nested.candidate_views(df, "id", "t")) == [(1, "s", "candidates", 0, -1), (1, "s", "candidates", 1, -1), (1, "s", "candidates", 1, 0)]
+    assert nested.shred(df, "id", "t").agg({"depth": "max"}).first()[0] == 2 * deep + 1
+
+
 def test_shred_links(spark):
     df = spark.createDataFrame([(1, '{"a": [1, {"b": null}]}'), (2, "x")], "id long, t string")
     got = {(r.node_id, r.parent_id, r.depth, r.key, r.place, r.kind, r.value) for r in nested.shred(df, "id", "t").collect()}
