@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -9,8 +10,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Largest number of rows any helper here will broadcast; beyond it the plain (AQE, skew-split) join is used.
-BROADCAST_ROWS = 100_000
+#: Largest number of rows, and of bytes, any helper here will broadcast; beyond either the plain (AQE, skew-split) join is used.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
 
 
 def local_session(cores: int | str = "*", shuffle: int = 8, **conf: str) -> SparkSession:
@@ -23,6 +24,7 @@ def local_session(cores: int | str = "*", shuffle: int = 8, **conf: str) -> Spar
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.constraintPropagation.enabled", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -35,10 +37,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the session names in spark.checkpoint.dir; a private folder only where it is unset."""
+    """The shared folder the session names in spark.checkpoint.dir. Where it is unset, local sessions get a private one.
+
+    On a cluster a folder of one machine would be lost with it and unseen by the others: RuntimeError.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or f"{tempfile.gettempdir()}/scantable-{uuid.uuid4().hex}")
     return sc.getCheckpointDir()
 
@@ -48,24 +55,30 @@ def cut(df: DataFrame) -> DataFrame:
 
     The copy survives lost executors, and Spark's cleaner removes it with its last reference where
     spark.cleaner.referenceTracking.cleanCheckpoints is on. Constraints aren't carried over: in an iteration they would
-    double with every join, until planning takes longer than running.
+    double with every join, until planning takes longer than running. Sessions that set spark.sql.constraintPropagation.enabled
+    to false themselves, as local_session does, keep their settings untouched.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    before = spark.conf.get("spark.sql.constraintPropagation.enabled")
-    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+    setting = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(setting)
+    if before == "false":
+        return df.checkpoint(eager=True)
+    spark.conf.set(setting, "false")
     try:
         return df.checkpoint(eager=True)
     finally:
-        spark.conf.set("spark.sql.constraintPropagation.enabled", before)
+        spark.conf.set(setting, before)
 
 
-def small_or_not(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most limit rows (counted), else df itself.
+def small_or_not(df: DataFrame, limit: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it has at most limit rows and most_bytes bytes (counted, as JSON text), else df itself.
 
     df must be cheap to count twice: a dimension table, or the result of cut().
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    size = F.octet_length(F.to_json(F.struct("*")))
+    seen = df.limit(limit + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if seen.n <= limit and seen.b <= most_bytes else df
 
 
 def same_name(col: Column | str) -> Column:

@@ -11,23 +11,31 @@ from scantable.common import cut, small_or_not
 MOST = 0.5
 
 
-def parsed_fields(rows: DataFrame) -> DataFrame:
-    """(file_id, line_no, cand, field, type, value): one row per member of every line that is a JSON object.
-
-    type: string, number, boolean, array, object or NULL for null; value: VARIANT. cand: the digits of candidate_id, NULL
-    without. Lines that don't parse give no rows.
-    """
+def parsed_lines(rows: DataFrame) -> DataFrame:
+    """(file_id, line_no, cand, v): the lines that are JSON objects, v as VARIANT; cand: the digits of candidate_id, NULL without."""
     lines = rows.select("file_id", "line_no", F.try_parse_json("raw_record").alias("v")).where("v is not null")
     lines = lines.where(F.schema_of_variant("v").startswith("OBJECT"))
     digits = F.regexp_replace(F.expr("try_variant_get(v, '$.candidate_id', 'string')"), r"\D", "")
-    lines = lines.select("file_id", "line_no", F.when(digits != "", digits).alias("cand"), "v")
-    each = lines.lateralJoin(lines.sparkSession.tvf.variant_explode(F.col("v").outer())).select("file_id", "line_no", "cand", F.col("key").alias("field"), "value")
-    shape = F.schema_of_variant("value")
-    kind = (
+    return lines.select("file_id", "line_no", F.when(digits != "", digits).alias("cand"), "v")
+
+
+def json_type(value: Column) -> Column:
+    """string, number, boolean, array or object; NULL for null."""
+    shape = F.schema_of_variant(value)
+    return (
         F.when(shape == "VOID", None).when(shape == "STRING", "string").when(shape == "BOOLEAN", "boolean")
         .when(shape.startswith("ARRAY"), "array").when(shape.startswith("OBJECT"), "object").otherwise("number")
     )
-    return each.select("file_id", "line_no", "cand", "field", kind.alias("type"), "value")
+
+
+def parsed_fields(rows: DataFrame) -> DataFrame:
+    """(file_id, line_no, cand, field, type, value): one row per member of every line that is a JSON object, see json_type().
+
+    Lines that don't parse give no rows.
+    """
+    lines = parsed_lines(rows)
+    each = lines.lateralJoin(lines.sparkSession.tvf.variant_explode(F.col("v").outer())).select("file_id", "line_no", "cand", F.col("key").alias("field"), "value")
+    return each.select("file_id", "line_no", "cand", "field", json_type(F.col("value")).alias("type"), "value")
 
 
 def comparable() -> Column:
@@ -36,75 +44,113 @@ def comparable() -> Column:
     return F.when(F.col("type") == "number", number).when(F.col("type").isNotNull(), F.to_json("value"))
 
 
+#: fixed values: JSON types of a field, in the order that settles ties
+TYPES = ("array", "boolean", "number", "object", "string")
+
+
 def file_fields(fields: DataFrame) -> DataFrame:
     """(file_id, field, type): the fields of a file, with the type of most non-null values (the first by name on a tie)."""
-    counts = fields.groupBy("file_id", "field", "type").agg(F.count(F.lit(1)).alias("n"))
-    most = F.max_by("type", F.when(F.col("type").isNotNull(), F.struct("n", -F.ascii("type"), -F.ascii(F.substring("type", 2, 1)))))
-    return counts.groupBy("file_id", "field").agg(most.alias("type"))
+    counts = fields.groupBy("file_id", "field").agg(*[F.count_if(F.col("type") == t).alias(t) for t in TYPES])
+    most = F.array_min(F.array(*[F.struct((-F.col(t)).alias("n"), F.lit(t).alias("t")) for t in TYPES]))
+    return counts.select("file_id", "field", F.when(most["n"] < 0, most["t"]).alias("type"))
+
+
+def prints(known: DataFrame) -> DataFrame:
+    """(file_id, fields, fingerprint): the fields of a file with their types, in order of names, and their hash."""
+    fields = F.array_sort(F.collect_list(F.struct("field", "type"))).alias("fields")  # as many as a schema is wide
+    return known.groupBy("file_id").agg(fields).withColumn("fingerprint", F.sha2(F.to_json("fields"), 256))
 
 
 def fingerprints(files: DataFrame, known: DataFrame) -> DataFrame:
     """(file_id, series_name, version, fingerprint, n_fields): version counts the changes of fingerprint in a series from 1."""
-    prints = known.groupBy("file_id").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("field", "type")))), 256).alias("fingerprint"), F.count(F.lit(1)).alias("n_fields"))
     ordered = Window.partitionBy("series_name").orderBy("exported_at", "file_id")
-    out = files.select("file_id", "series_name", "exported_at").join(prints, "file_id", "left")
+    out = files.select("file_id", "series_name", "exported_at").join(prints(known), "file_id", "left")
     new = F.coalesce((~F.col("fingerprint").eqNullSafe(F.lag("fingerprint").over(ordered))).cast("int"), F.lit(1))
     out = out.withColumn("__new", new)
-    return out.select("file_id", "series_name", F.sum("__new").over(ordered).alias("version"), "fingerprint", F.coalesce("n_fields", F.lit(0)).alias("n_fields"))
+    return out.select("file_id", "series_name", F.sum("__new").over(ordered).alias("version"), "fingerprint", F.coalesce(F.size("fields"), F.lit(0)).alias("n_fields"))
 
 
 def successors(files: DataFrame) -> DataFrame:
     """(file_id, prev_id): each file and the one before it in its series; files without series or export time have none."""
+    return _ordered(files).select("file_id", F.lag("file_id").over(Window.partitionBy("series_name").orderBy("exported_at", "file_id")).alias("prev_id")).where("prev_id is not null")
+
+
+def _ordered(files: DataFrame) -> DataFrame:
+    return files.where("series_name is not null and exported_at is not null and file_id is not null").select("file_id", "series_name", "exported_at").distinct()
+
+
+def version_steps(files: DataFrame, known: DataFrame) -> DataFrame:
+    """(file_id, prev_id, gone, came, typed): what a new fingerprint changes against the one of the file before.
+
+    Files with the fingerprint of their predecessor give no row: nothing of them is looked at any more. gone, came and typed
+    are arrays of field names; those that bear another type are typed, a field without a value has no type.
+    """
     ordered = Window.partitionBy("series_name").orderBy("exported_at", "file_id")
-    known = files.where("series_name is not null and exported_at is not null and file_id is not null").select("file_id", "series_name", "exported_at").distinct()
-    return known.select("file_id", F.lag("file_id").over(ordered).alias("prev_id")).where("prev_id is not null")
+    none = F.array().cast("array<struct<field:string,type:string>>")
+    each = _ordered(files).join(prints(known), "file_id", "left").withColumns({"fields": F.coalesce("fields", none), "fingerprint": F.coalesce("fingerprint", F.lit(""))})
+    before = {f"prev_{c}": F.lag(c).over(ordered) for c in ("file_id", "fields", "fingerprint")}
+    new = each.withColumns(before).where("prev_file_id is not null and fingerprint <> prev_fingerprint")
+    names = lambda c: F.transform(c, lambda x: x["field"])
+    other = F.filter("fields", lambda x: F.exists("prev_fields", lambda y: (x["field"] == y["field"]) & (x["type"] != y["type"])))
+    return new.select("file_id", F.col("prev_file_id").alias("prev_id"), F.array_except(names("prev_fields"), names("fields")).alias("gone"), F.array_except(names("fields"), names("prev_fields")).alias("came"), names(other).alias("typed"))
+
 
+def renames(rows: DataFrame, steps: DataFrame) -> DataFrame:
+    """(file_id, renamed): old_field and new_field of the fields that go on under another name, see schema_changes().
 
-def schema_changes(files: DataFrame, rows: DataFrame) -> DataFrame:
+    Only lines of files that lost and gained fields are read again, and only values of those fields are compared: they travel
+    once, to their candidate. All fits of a step are then matched best first, in one pass over them.
+    """
+    torn = steps.where("size(gone) > 0 and size(came) > 0").select(F.col("file_id").alias("pair"), "prev_id", "gone", "came")
+    ask = lambda side, fields: F.transform(fields, lambda f: F.struct("pair", F.lit(side).alias("side"), f.alias("field")))
+    asks = torn.select(F.col("prev_id").alias("file_id"), ask("old", "gone").alias("w")).union(torn.select(F.col("pair").alias("file_id"), ask("new", "came").alias("w")))
+    # a file is asked at most twice: as the one before and as the one after
+    asks = cut(asks.groupBy("file_id").agg(F.flatten(F.collect_list("w")).alias("wants")))
+    lines = parsed_lines(rows).where("cand is not null").join(small_or_not(asks), "file_id")
+    members = lines.select("line_no", "cand", "wants", F.expr("try_variant_get(v, '$', 'map<string,variant>')").alias("m"))
+    each = members.select("line_no", "cand", "m", F.explode("wants").alias("w")).select("line_no", "cand", "w.pair", "w.side", "w.field", F.col("m")[F.col("w.field")].alias("value"))
+    each = each.where("value is not null").withColumn("type", json_type(F.col("value"))).where("type is not null").withColumn("val", comparable())
+    near = each.select("pair", "cand", "side", "field", "line_no", "val").repartition("pair", "cand")
+    first = near.groupBy("pair", "cand", "side", "field").agg(F.min_by("val", "line_no").alias("val"))
+    side = lambda s: F.collect_list(F.when(F.col("side") == s, F.struct("field", "val")))
+    met = first.groupBy("pair", "cand").agg(side("old").alias("old"), side("new").alias("new"))
+    met = met.select("pair", F.explode("old").alias("o"), "new").select("pair", "o", F.explode("new").alias("n"))
+    fits = met.groupBy("pair", F.col("o.field").alias("old_field"), F.col("n.field").alias("new_field")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o.val") == F.col("n.val")).alias("same"))
+    fits = fits.where(F.col("same") > F.col("n") * MOST)
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("same") / F.col("n")).alias("share"), (-F.col("n")).alias("n"), "old_field", "new_field")))
+    nothing = F.array().cast("array<struct<old_field:string,new_field:string>>")
+
+    def take(done: Column, fit: Column) -> Column:
+        used = F.exists(done, lambda d: (d["old_field"] == fit["old_field"]) | (d["new_field"] == fit["new_field"]))
+        return F.when(used, done).otherwise(F.concat(done, F.array(F.struct(fit["old_field"].alias("old_field"), fit["new_field"].alias("new_field")))))
+
+    return fits.groupBy(F.col("pair").alias("file_id")).agg(ranked.alias("fits")).select("file_id", F.aggregate("fits", nothing, take).alias("renamed"))
+
+
+def schema_changes(files: DataFrame, rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(file_id, change_kind, old_field, new_field): changes of each file against the one before it in its series.
 
-    added, removed, renamed, type_changed. A rename is a field that is gone and a new one whose values are equal for over MOST
+    added, removed, renamed, type_changed. Each file has a fingerprint, its fields and their types; only where it differs from the
+    predecessor's are fields compared. A rename is a field that is gone and a new one whose values are equal for over MOST
     of the candidates that both files have, nulls left out; of several fits the largest share, then the most candidates,
     then the first names win, and each field is used once. A candidate on several lines counts with its first line. Field
-    statistics are combined before they are shuffled, and values only travel for fields that came or went.
+    statistics are combined before they are shuffled. known: file_fields() of the rows, if they are there already.
     """
-    fields = parsed_fields(rows)
-    known = cut(file_fields(fields))
-    pairs = cut(successors(files))
-    now = known.join(pairs, "file_id").select("file_id", "prev_id", "field", F.col("type").alias("now_type"), F.lit(True).alias("in_now"))
-    before = known.withColumnRenamed("file_id", "prev_id").join(pairs, "prev_id").select("file_id", "prev_id", "field", F.col("type").alias("old_type"), F.lit(True).alias("in_old"))
-    both = cut(now.join(before, ["file_id", "prev_id", "field"], "full"))
-    gone, came = both.where("in_now is null"), both.where("in_old is null")
-    typed = both.where("in_now and in_old and now_type <> old_type")
-
-    wanted = gone.select(F.col("prev_id").alias("file_id"), "field", F.col("file_id").alias("pair"), F.lit("old").alias("side"))
-    wanted = cut(wanted.union(came.select("file_id", "field", F.col("file_id").alias("pair"), F.lit("new").alias("side"))))
-    # as a rule few fields come or go: their list goes to the lines if it is small, else both are joined by a shuffle
-    values = fields.where("cand is not null").join(small_or_not(wanted), ["file_id", "field"]).withColumn("val", comparable())
-    values = cut(values.groupBy("pair", "side", "cand", "field").agg(F.min_by("val", "line_no").alias("val")).where("val is not null"))
-    old = values.where("side = 'old'").select("pair", "cand", F.col("field").alias("old_field"), F.col("val").alias("old_val"))
-    new = values.where("side = 'new'").select("pair", "cand", F.col("field").alias("new_field"), F.col("val").alias("new_val"))
-    fits = old.join(new, ["pair", "cand"]).groupBy("pair", "old_field", "new_field").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("old_val") == F.col("new_val")).alias("same"))
-    fits = cut(fits.where(F.col("same") > F.col("n") * MOST))
-    order = [(F.col("same") / F.col("n")).desc(), F.col("n").desc(), F.col("old_field"), F.col("new_field")]
-    renames: DataFrame | None = None
-    while True:  # each round settles at least the best fit left of every pair of files; as a rule there is one round
-        ranked = fits.select("*", F.row_number().over(Window.partitionBy("pair", "old_field").orderBy(*order)).alias("a"), F.row_number().over(Window.partitionBy("pair", "new_field").orderBy(*order)).alias("b"))
-        best = cut(ranked.where("a = 1 and b = 1").select(F.col("pair").alias("file_id"), "old_field", "new_field"))
-        renames = best if renames is None else renames.union(best)
-        used = best.withColumnRenamed("file_id", "pair")
-        fits = cut(fits.join(used.select("pair", "old_field"), ["pair", "old_field"], "left_anti").join(used.select("pair", "new_field"), ["pair", "new_field"], "left_anti"))
-        if fits.isEmpty():
-            break
-
-    removed = gone.select("file_id", F.col("field").alias("old_field")).join(renames, ["file_id", "old_field"], "left_anti")
-    added = came.select("file_id", F.col("field").alias("new_field")).join(renames, ["file_id", "new_field"], "left_anti")
-    return (
-        renames.select("file_id", F.lit("renamed").alias("change_kind"), "old_field", "new_field")
-        .union(removed.select("file_id", F.lit("removed"), "old_field", F.lit("")))
-        .union(added.select("file_id", F.lit("added"), F.lit(""), "new_field"))
-        .union(typed.select("file_id", F.lit("type_changed"), "field", "field"))
-    )
+    steps = cut(version_steps(files, file_fields(parsed_fields(rows)) if known is None else known))
+    return changes_of(steps, renames(rows, steps))
+
+
+def changes_of(steps: DataFrame, renamed: DataFrame) -> DataFrame:
+    """The migration steps as one row per change."""
+    whole = steps.join(small_or_not(cut(renamed)), "file_id", "left")
+    whole = whole.withColumn("renamed", F.coalesce("renamed", F.array().cast("array<struct<old_field:string,new_field:string>>")))
+    change = lambda kind, old, new: F.struct(F.lit(kind).alias("change_kind"), old.alias("old_field"), new.alias("new_field"))
+    rest = lambda fields, side: F.array_except(fields, F.transform("renamed", lambda r: r[side]))
+    each = F.concat(
+        F.transform("renamed", lambda r: change("renamed", r["old_field"], r["new_field"])), F.transform(rest("gone", "old_field"), lambda f: change("removed", f, F.lit(""))),
+        F.transform(rest("came", "new_field"), lambda f: change("added", F.lit(""), f)), F.transform("typed", lambda f: change("type_changed", f, f)),
+    )
+    return whole.select("file_id", F.explode(each).alias("c")).select("file_id", "c.change_kind", "c.old_field", "c.new_field")
 
 
 def final_names(files: DataFrame, known: DataFrame, changes: DataFrame, max_rounds: int = 40) -> DataFrame:
@@ -141,7 +187,7 @@ def unified_name(field: Column) -> Column:
 def alias_classes(known: DataFrame, changes: DataFrame, max_names: int = 10_000) -> dict[str, str]:
     """Unified name -> the name its files use most, over the names that renames of any series link.
 
-    Field names are a vocabulary: at most max_names of them, otherwise ValueError.
+    Field names are a vocabulary: at most max_names of them and ten times as many pairs, otherwise ValueError.
     """
     names = known.groupBy(unified_name(F.col("field")).alias("name")).count()
     used = {r.name: r["count"] for r in names.limit(max_names + 1).collect()}
@@ -155,7 +201,10 @@ def alias_classes(known: DataFrame, changes: DataFrame, max_names: int = 10_000)
             n = root[n]
         return n
 
-    for r in sorted(links.limit(max_names * 10).collect()):
+    pairs = links.limit(max_names * 10 + 1).collect()
+    if len(pairs) > max_names * 10:
+        raise ValueError(f"more than {max_names * 10} renamed pairs of names")
+    for r in sorted(pairs):
         a, b = top(r.a), top(r.b)
         if a != b:
             first, second = sorted((a, b), key=lambda n: (-used.get(n, 0), n))
@@ -163,31 +212,49 @@ def alias_classes(known: DataFrame, changes: DataFrame, max_names: int = 10_000)
     return {n: top(n) for n in root if top(n) != n}
 
 
+def routes(files: DataFrame, known: DataFrame, changes: DataFrame) -> DataFrame:
+    """(file_id, route): for every file the map from its fields to their name in the consistent table.
+
+    The migration steps of all later files are chained; names that renames of any series link are one.
+    """
+    names = final_names(files, known, changes)
+    same = alias_classes(known, changes)
+    name = unified_name(F.col("final_field"))
+    if same:
+        name = F.coalesce(F.create_map(*[F.lit(x) for pair in sorted(same.items()) for x in pair])[name], name)
+    return names.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("field", name))).alias("route"))
+
+
 def consistent_table(files: DataFrame, rows: DataFrame, changes: DataFrame | None = None) -> DataFrame:
     """One row per line that parses, with the same fields for all files: chained renames, then defaults and casts.
 
     (file_id, line_no, series_name, candidate_id, scene_name, source_path, class_name, score, support_view_count, num_seed_points,
     others). Names that renames of any series link are one field, under the name most files use. candidate_id is the number its digits give; score is a number, a text of one or an object's value; counts are whole
     numbers, else NULL; a field that a file doesn't have is NULL. others: MAP of the remaining fields' texts by unified name.
-    If two fields of a line unify to one name, the first by original name that isn't null is taken.
+    If two fields of a line unify to one name, the first by original name that isn't null is taken. A line is converted where it is read, by its
+    file's route: neither lines nor values are shuffled unless there are too many files to broadcast the routes.
     """
-    fields = parsed_fields(rows)
-    changes = schema_changes(files, rows) if changes is None else changes
-    known, changes = cut(file_fields(fields)), cut(changes)
-    names = cut(final_names(files, known, changes))
-    same = alias_classes(known, changes)
-    name = unified_name(F.col("final_field"))
-    if same:
-        name = F.coalesce(F.create_map(*[F.lit(x) for pair in sorted(same.items()) for x in pair])[name], name)
-    named = fields.join(names, ["file_id", "field"]).withColumn("name", name)
-    text = F.coalesce(F.expr("try_variant_get(value, '$', 'string')"), F.to_json("value"))
-    one = named.groupBy("file_id", "line_no", "name").agg(F.min_by(F.struct("cand", text.alias("t"), F.expr("try_variant_get(value, '$.value', 'double')").alias("inner")), F.when(F.col("type").isNotNull(), F.col("field"))).alias("v"))
-    lines = one.groupBy("file_id", "line_no").agg(F.max("v.cand").alias("cand"), F.map_from_entries(F.collect_list(F.struct("name", "v"))).alias("m"))
-    get = lambda n: F.col("m")[n]["t"]
+    known = cut(file_fields(parsed_fields(rows)))
+    changes = cut(schema_changes(files, rows, known) if changes is None else changes)
+    by_file = cut(routes(files, known, changes).join(files.where("file_id is not null").select("file_id", "series_name").distinct(), "file_id", "left"))
+    lines = parsed_lines(rows).join(small_or_not(by_file), "file_id")
+    members = F.map_entries(F.expr("try_variant_get(v, '$', 'map<string,variant>')"))
+
+    def entry(e: Column) -> Column:
+        value = e["value"]
+        empty = json_type(value).isNull()
+        text = F.when(~empty, F.coalesce(F.try_variant_get(value, "$", "string"), F.to_json(value)))
+        return F.struct(
+            empty.alias("empty"), e["key"].alias("field"), F.col("route")[e["key"]].alias("name"), text.alias("t"), F.try_variant_get(value, "$.value", "double").alias("inner")
+        )
+
+    lines = lines.withColumn("e", F.array_sort(F.transform(members, entry)))
+    one = lambda n: F.get(F.filter("e", lambda x: x["name"] == n), F.lit(0))
+    get = lambda n: one(n)["t"]
     core = ["candidate_id", "scene_name", "source_path", "class_name", "score", "support_view_count", "num_seed_points"]
-    others = F.transform_values(F.map_filter("m", lambda k, v: ~k.isin(*core)), lambda k, v: v["t"])
-    out = lines.select(
+    left = F.array_sort(F.array_distinct(F.transform(F.filter("e", lambda x: ~x["name"].isin(*core)), lambda x: x["name"])))
+    others = F.map_from_entries(F.transform(left, lambda n: F.struct(n, get(n))))
+    return lines.select(
         "file_id", "line_no", F.col("cand").try_cast("long").alias("candidate_id"), get("scene_name").alias("scene_name"), get("source_path").alias("source_path"), get("class_name").alias("class_name"),
-        F.coalesce(get("score").try_cast("double"), F.col("m")["score"]["inner"]).alias("score"), get("support_view_count").try_cast("int").alias("support_view_count"), get("num_seed_points").try_cast("int").alias("num_seed_points"), others.alias("others"),
+        F.coalesce(get("score").try_cast("double"), one("score")["inner"]).alias("score"), get("support_view_count").try_cast("int").alias("support_view_count"), get("num_seed_points").try_cast("int").alias("num_seed_points"), others.alias("others"), "series_name",
     )
-    return out.join(files.select("file_id", "series_name").distinct(), "file_id", "left")

@@ -73,7 +73,12 @@ def p4_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consistent_table(files, rows).withColumn("others", F.to_json("others"))
 
 
-@query()
+VERSIONS = f"""WITH {FIELDS}, h AS (SELECT file_id, sha256('[' || string_agg('{{"field":' || to_json(field) || coalesce(',"type":"' || type || '"', '') || '}}', ',' ORDER BY field) || ']') AS fingerprint, count(*) AS n_fields FROM known GROUP BY 1),
+    n AS (SELECT file_id, series_name, exported_at, fingerprint, coalesce(n_fields, 0) AS n_fields, row_number() OVER w AS i, lag(fingerprint) OVER w AS before FROM candidate_files LEFT JOIN h USING (file_id) WINDOW w AS (PARTITION BY series_name ORDER BY exported_at NULLS FIRST, file_id))
+    SELECT file_id, series_name, sum(CASE WHEN i = 1 THEN CASE WHEN fingerprint IS NULL THEN 0 ELSE 1 END WHEN fingerprint IS DISTINCT FROM before THEN 1 ELSE 0 END) OVER (PARTITION BY series_name ORDER BY i) AS version, fingerprint, n_fields FROM n"""
+
+
+@query(VERSIONS)
 def p4_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Schema fingerprint and version of every file."""
     files, rows = table(spark, sf_dir, "candidate_files"), table(spark, sf_dir, "candidate_file_rows")
