@@ -103,6 +103,31 @@ def usable_count(col: Column | str) -> Column:
     return F.when(count >= 1, count)
 
 
+def _ranged(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
+    """df in range partitions by (group, order), written, with the task (__pid) and place (__at) of each row."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(g) for g in group]
+    ranged = cut(df.repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order))
+    return ranged.withColumn("__pid", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
+
+
+def null_safe_join(df: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """df with the other columns of small, one row a key; null keys meet null keys. small is broadcast if its counted size allows."""
+    named = small.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *[c for c in small.columns if c not in keys])
+    match = F.lit(True)
+    for i, k in enumerate(keys):
+        match = match & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return df.join(small_or_not(named), match).drop(*[f"__k{i}" for i in range(len(keys))])
+
+
+def with_group_totals(df: DataFrame, group: list[str], *totals: Column) -> DataFrame:
+    """df with aggregates of its groups (null keys are a group): combined before they are shuffled, then joined back.
+
+    A window without an order gives the same, but moves and sorts every row, a hot group's into one task.
+    """
+    return null_safe_join(df, cut(df.groupBy(*group).agg(*totals)), group)
+
+
 def distributed_rank(df: DataFrame, group: Iterable[str], order: list[Column], name: str = "rank") -> DataFrame:
     """Exact 1-based position of each row within its group, without ever bringing a group into one task.
 
@@ -112,17 +137,26 @@ def distributed_rank(df: DataFrame, group: Iterable[str], order: list[Column], n
     An empty input gives an empty output.
     """
     group = list(group)
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col(g) for g in group]
-    ranged = cut(df.repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order))
-    marked = ranged.withColumn("__pid", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
+    marked = _ranged(df, group, order)
     sizes = marked.groupBy(*group, "__pid").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
     before = Window.partitionBy(*group).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = cut(sizes.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")))
-    keyed = sizes.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], F.col("__pid").alias("__p"), "__before")
-    match = F.col("__pid") == F.col("__p")
-    for i, g in enumerate(group):
-        match = match & F.col(g).eqNullSafe(F.col(f"__g{i}"))
-    joined = marked.join(small_or_not(keyed), match)
-    return joined.select(*df.columns, (F.col("__at") + F.col("__before") + 1).alias(name))
+    sizes = cut(sizes.select(*group, "__pid", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__before")))
+    return null_safe_join(marked, sizes, [*group, "__pid"]).select(*df.columns, (F.col("__at") + F.col("__before") + 1).alias(name))
+
+
+def running_totals(df: DataFrame, group: Iterable[str], order: list[Column], totals: dict[str, tuple[str, str]]) -> DataFrame:
+    """df with running aggregates of each group in order, without ever bringing a group into one task.
+
+    As distributed_rank: within a range partition by a window over the group's part there, and over the parts before by
+    their aggregates. totals: name -> ("sum" or "max", column); nulls don't count. No value yet gives NULL.
+    """
+    group = list(group)
+    marked = _ranged(df, group, order)
+    here = Window.partitionBy("__pid", *group).orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*group).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    how = {"sum": F.sum, "max": F.max}
+    parts = marked.groupBy(*group, "__pid").agg(*[how[h](c).alias(f"__t_{n}") for n, (h, c) in totals.items()])
+    parts = cut(parts.select(*group, "__pid", *[how[h](f"__t_{n}").over(before).alias(f"__b_{n}") for n, (h, _) in totals.items()]))
+    own = null_safe_join(marked.withColumns({f"__o_{n}": how[h](c).over(here) for n, (h, c) in totals.items()}), parts, [*group, "__pid"])
+    both = lambda n: F.greatest(f"__o_{n}", f"__b_{n}") if totals[n][0] == "max" else F.coalesce(F.col(f"__o_{n}") + F.col(f"__b_{n}"), f"__o_{n}", f"__b_{n}")
+    return own.select(*df.columns, *[both(n).alias(n) for n in totals])

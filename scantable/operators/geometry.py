@@ -61,27 +61,40 @@ def near_pairs(a: DataFrame, b: DataFrame, key: list[str], axes: list[str], radi
     return met.select(*key, a_id, b_id, d2.alias("d2")).where(F.col("d2") <= radius * radius)
 
 
-def nearest(a: DataFrame, b: DataFrame, key: list[str], axes: list[str], k: int, radius: float, a_id: str = "a", b_id: str = "b", max_rounds: int = 12) -> DataFrame:
+def nearest(a: DataFrame, b: DataFrame, key: list[str], axes: list[str], k: int, radius: float, a_id: str = "a", b_id: str = "b") -> DataFrame:
     """(key, a, b, d2, place): the k nearest of b for every row of a, exactly; equal distances go to the smaller b.
 
-    Rows that find fewer than k within the radius look again within twice the radius, and so on; the rest, who have fewer than k
-    neighbours in reach at all, keep what they have found in the last round.
+    A row is no neighbour of its own id. Rows that find fewer than k within the radius look again within a larger one, until
+    all have k; keys with k rows of b or fewer are settled first, by joining the key. So every row of a gets min(k, what there
+    is). Rows without a place (a null or NaN axis) are left out on both sides.
     """
     from scantable.common import cut
 
-    out: DataFrame | None = None
-    todo = a
-    for i in range(max_rounds):
-        found = near_pairs(todo, b, key, axes, radius * 2**i, a_id, b_id).where(F.col(a_id) != F.col(b_id) if a_id != b_id else F.lit(True))
-        place = F.row_number().over(Window.partitionBy(*key, a_id).orderBy("d2", b_id))
+    def placed(df: DataFrame) -> DataFrame:
+        known = F.lit(True)
+        for x in axes:
+            known = known & F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))
+        return df.where(known)
+
+    a, b = placed(a), placed(b)
+    place = F.row_number().over(Window.partitionBy(*key, a_id).orderBy("d2", b_id))
+    few = cut(b.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") <= k).select(*key))
+    apart = sum(((F.col(f"__a{i}") - F.col(f"__b{i}")) ** 2 for i in range(len(axes))), F.lit(0.0))
+    side = lambda df, name, s: df.select(*key, name, *[F.col(x).alias(f"__{s}{i}") for i, x in enumerate(axes)])
+    met = side(a, a_id, "a").join(side(b.join(few, key, "left_semi"), b_id, "b"), key).where(F.col(a_id) != F.col(b_id))
+    out = met.select(*key, a_id, b_id, apart.alias("d2")).withColumn("place", place)
+    known = b.select(*key).distinct().join(few, key, "left_anti")  # keys with more than k rows: everybody finds k
+    todo = cut(a.join(known, key, "left_semi"))
+    left = todo.count()
+    while left:
+        found = near_pairs(todo, b, key, axes, radius, a_id, b_id).where(F.col(a_id) != F.col(b_id))
         best = cut(found.withColumn("place", place).where(F.col("place") <= k))
         done = best.groupBy(*key, a_id).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
-        full = best.join(done, [*key, a_id], "left_semi")
-        out = full if out is None else out.unionByName(full)
-        todo = cut(todo.join(done, [*key, a_id], "left_anti"))
-        if todo.isEmpty():
-            return out
-    return out.unionByName(best.join(todo.select(*key, a_id), [*key, a_id], "left_semi"))
+        out = out.unionByName(best.join(done, [*key, a_id], "left_semi"))
+        before, todo = left, cut(todo.join(done, [*key, a_id], "left_anti"))
+        left = todo.count()
+        radius *= 2 if left < before else 8
+    return out
 
 
 def mesh_edges(faces: DataFrame, key: list[str]) -> DataFrame:

@@ -12,19 +12,25 @@ from pyspark.sql import functions as F
 from scantable.common import cut
 
 
-def suppress(rows: DataFrame, key: list[str], conflicts: DataFrame, better: str, worse: str, max_rounds: int = 200) -> DataFrame:
+#: Once so few conflicts are left, they are decided in one task (24 bytes each).
+LAST_PAIRS = 200_000
+
+
+def suppress(rows: DataFrame, key: list[str], conflicts: DataFrame, better: str, worse: str) -> DataFrame:
     """Greedy suppression: rows in order, each dropped if it conflicts with a kept better one. Returns the kept rows.
 
     conflicts: key, better, worse - ids of conflicting rows of the same key, directed from the earlier to the later row of the
     order. rows: key and the id under the name of worse, ids not repeated. The scan of a sorted list is replaced by rounds over the conflict pairs:
     a row without an undecided better neighbour is kept, rows under a kept one are dropped, until all are decided. No
-    group is brought into one task, and pairs that are decided drop out of later rounds.
+    group is brought into one task, and pairs that are decided drop out of later rounds. The last LAST_PAIRS pairs are decided
+    in one task by the same rule, so that a long chain of conflicts doesn't take a round for each two of its links.
     """
     ids = rows.select(*key, F.col(worse).alias("id"))
     live = cut(conflicts.select(*key, F.col(better).alias("b"), F.col(worse).alias("w")).distinct())
     dropped: DataFrame | None = None
-    for _ in range(max_rounds):
-        if live.isEmpty():
+    while True:
+        left = live.limit(LAST_PAIRS + 1).count()
+        if left <= LAST_PAIRS:
             break
         under = live.select(*key, F.col("w").alias("b")).distinct()
         heads = live.select(*key, "b").distinct().join(under, [*key, "b"], "left_anti")  # undecided, nothing better left
@@ -33,12 +39,35 @@ def suppress(rows: DataFrame, key: list[str], conflicts: DataFrame, better: str,
         gone = lost.select(*key, F.col("id").alias("w"))
         live = live.join(heads, [*key, "b"], "left_anti").join(gone, [*key, "w"], "left_anti")
         live = cut(live.join(lost.select(*key, F.col("id").alias("b")), [*key, "b"], "left_anti"))
-    else:
-        raise RuntimeError(f"undecided pairs are left after {max_rounds} rounds")
+    if left:
+        fields = {f.name: f.dataType.simpleString() for f in live.schema}
+        schema = ", ".join(f"`{k}` {fields[k]}" for k in key) + f", id {fields['w']}"
+        lost = grouped_kernel(live.coalesce(1), key, schema, lambda pdf: _scan(pdf, key), one_task=True)
+        dropped = lost if dropped is None else dropped.union(lost)
     kept = ids if dropped is None else ids.join(dropped, [*key, "id"], "left_anti")
     return rows.join(kept.withColumnRenamed("id", worse), [*key, worse], "left_semi")
 
 
+def _scan(pdf: pd.DataFrame, key: list[str]) -> pd.DataFrame:
+    """The dropped ids of one key: a row is decided once all its better neighbours are."""
+    below: dict = {}
+    waits: dict = {}
+    for b, w in zip(pdf["b"], pdf["w"]):
+        below.setdefault(b, []).append(w)
+        waits[w] = waits.get(w, 0) + 1
+    ready = [b for b in below if b not in waits]
+    dropped: set = set()
+    while ready:
+        one = ready.pop()
+        for w in below.get(one, ()):
+            if one not in dropped:
+                dropped.add(w)
+            waits[w] -= 1
+            if not waits[w]:
+                ready.append(w)
+    return pd.DataFrame({k: [pdf[k].iloc[0]] * len(dropped) for k in key} | {"id": list(dropped)})
+
+
 def directed(pairs: DataFrame, key: list[str], a: str, b: str, rank_a: Column, rank_b: Column) -> DataFrame:
     """Undirected pairs as better -> worse: the smaller rank (a struct ended by the id) is better."""
     first = rank_a < rank_b
@@ -55,42 +84,48 @@ def drop_included(pairs: DataFrame, rows: DataFrame, key: list[str], id_col: str
     return rows.join(inside, [*key, id_col], "left_anti")
 
 
-def grouped_kernel(df: DataFrame, key: list[str], schema: str, f: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+def grouped_kernel(df: DataFrame, key: list[str], schema: str, f: Callable[[pd.DataFrame], pd.DataFrame], one_task: bool = False) -> DataFrame:
     """f over each group of key, null keys being a group: groups stream through a task in sorted order, many to a batch.
 
-    A task holds one group and one batch at a time. This costs a fraction of what a batch per group does where groups are small.
+    A task holds one group and one batch at a time; the batches of a group are put together once, at its end. This costs a fraction of
+    what a batch per group does where groups are small. one_task: df is in one partition and stays there.
     """
 
-    def starts(pdf: pd.DataFrame) -> np.ndarray:
+    def differs(pdf: pd.DataFrame, before: pd.DataFrame) -> np.ndarray:
         new = np.zeros(len(pdf), dtype=bool)
-        new[:1] = True
         for k in key:
-            col = pdf[k]
-            before = col.shift()
-            new |= (col.ne(before) & ~(col.isna() & before.isna())).to_numpy()
-        return np.flatnonzero(new)
+            a, b = pdf[k].reset_index(drop=True), before[k].reset_index(drop=True)
+            new |= (a.ne(b) & ~(a.isna() & b.isna())).to_numpy(dtype=bool, na_value=True)
+        return new
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: pd.DataFrame | None = None
+        held: list[pd.DataFrame] = []  # the batches of the group that may go on
 
-        def done(pdf: pd.DataFrame, at: np.ndarray) -> Iterator[pd.DataFrame]:
-            ends = np.append(at[1:], len(pdf))
-            out = [x for a, b in zip(at, ends) if len(x := f(pdf.iloc[a:b]))]
+        def done(groups: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            out = [x for g in groups if len(x := f(g))]
             if out:
                 yield pd.concat(out, ignore_index=True)
 
         for pdf in batches:
-            rest = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            if not len(rest):
+            if not len(pdf):
                 continue
-            at = starts(rest)
-            if len(at) > 1:
-                yield from done(rest.iloc[: at[-1]], at[:-1])
-                rest = rest.iloc[at[-1] :].reset_index(drop=True)
-        if rest is not None and len(rest):
-            yield from done(rest, starts(rest))
-
-    return df.repartition(*[F.col(k) for k in key]).sortWithinPartitions(*key).mapInPandas(run, schema)
+            at = np.flatnonzero(np.append(False, differs(pdf.iloc[1:], pdf.iloc[:-1])))
+            if held and not differs(pdf.iloc[:1], held[-1].iloc[-1:])[0]:
+                if not len(at):
+                    held.append(pdf)
+                    continue
+                yield from done([pd.concat([*held, pdf.iloc[: at[0]]], ignore_index=True)])
+            else:
+                if held:
+                    yield from done([pd.concat(held, ignore_index=True)])
+                at = np.append(0, at)
+            yield from done([pdf.iloc[a:b].reset_index(drop=True) for a, b in zip(at[:-1], at[1:])])
+            held = [pdf.iloc[at[-1] :]]
+        if held:
+            yield from done([pd.concat(held, ignore_index=True)])
+
+    spread = df if one_task else df.repartition(*[F.col(k) for k in key])
+    return spread.sortWithinPartitions(*key).mapInPandas(run, schema)
 
 
 def admit(df: DataFrame, key: list[str], id_col: str, order: str, source: str, label: str, passes: str, source_cap: int, class_cap: int) -> DataFrame:

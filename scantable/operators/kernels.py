@@ -209,29 +209,35 @@ def expand_boundary(df: DataFrame, key: list[str], segment: str, contact: str, s
 
 
 def stratified_folds(df: DataFrame, group: str, label: str, folds: int, max_groups: int = 1_000_000) -> DataFrame:
-    """(group, fold): whole groups over folds with label counts as even as a greedy choice makes them.
+    """(group, fold): whole groups over folds so that every label is spread as evenly as a greedy choice makes it.
 
-    Groups of most uneven counts come first; each goes to the fold where the mean deviation of label shares stays least, the smallest such one.
-    The kernel gets one row per group and label; over max_groups groups raise ValueError.
+    Groups that lean most to some labels are dealt first (deviation of their counts, then name). A group goes to the fold after
+    which the labels' relative spreads over the folds are least on average; the first such fold. Spreads follow from two sums a
+    label, of the folds' counts and of their squares: what a choice would change is known for all folds and labels at
+    once. The kernel gets one row per group and label; over max_groups groups raise ValueError. Null groups and labels are left out.
     """
     counts = df.where(F.col(group).isNotNull() & F.col(label).isNotNull()).groupBy(group, label).agg(F.count(F.lit(1)).alias("n"))
     if counts.select(group).distinct().limit(max_groups + 1).count() > max_groups:
         raise ValueError(f"more than {max_groups} groups")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = pdf.pivot_table(index=group, columns=label, values="n", fill_value=0, aggfunc="sum").sort_index()
-        m = table.to_numpy(dtype=float)
-        total, held = m.sum(axis=0), np.zeros((folds, m.shape[1]))
-        at = np.zeros(len(m), dtype=int)
-        for i in np.lexsort((np.arange(len(m)), -m.std(axis=1))):
-            costs = []
-            for f in range(folds):
-                held[f] += m[i]
-                costs.append((held.std(axis=0) / total).mean())
-                held[f] -= m[i]
-            at[i] = int(np.argmin(np.round(costs, 12)))
-            held[at[i]] += m[i]
-        return pd.DataFrame({group: table.index.to_numpy(), "fold": at.astype(np.int32)})
+        names, row = np.unique(pdf[group].to_numpy(), return_inverse=True)
+        labels, col = np.unique(pdf[label].to_numpy(), return_inverse=True)
+        need = np.zeros((len(names), len(labels)))
+        np.add.at(need, (row, col), pdf["n"].to_numpy())
+        scale = 1 / (need.sum(axis=0) * folds)
+        lean = (need**2).mean(axis=1) - need.mean(axis=1) ** 2
+        load = np.zeros((folds, len(labels)))
+        first, second = np.zeros(len(labels)), np.zeros(len(labels))
+        fold = np.zeros(len(names), dtype=np.int32)
+        for i in np.argsort(-lean, kind="stable"):
+            first = first + need[i]
+            squares = second + (2 * load + need[i]) * need[i]  # per fold that the group may go to
+            spread = np.sqrt(np.maximum(folds * squares - first**2, 0)) @ scale
+            fold[i] = np.flatnonzero(spread <= spread.min() * (1 + 1e-9) + 1e-12)[0]
+            second = squares[fold[i]]
+            load[fold[i]] += need[i]
+        return pd.DataFrame({group: names, "fold": fold})
 
     return grouped_kernel(counts.withColumn("__one", F.lit(1)), ["__one"], f"{_types(df, [group])}, fold int", run)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scantable.common import distributed_rank, with_group_totals
+
 
 def top_k(df: DataFrame, group: list[str], order: list[Column], k: int, name: str = "place") -> DataFrame:
     """The first k rows of each group with their place; Spark cuts groups to k rows in each task before it shuffles."""
@@ -18,22 +20,27 @@ def threshold_or_best(df: DataFrame, group: list[str], score: str, least: float,
     return out.where(F.when(F.col("__any"), F.col(score) >= least).otherwise(F.col(id_col) == F.col("__best"))).select(*df.columns)
 
 
-def score_mode(df: DataFrame, group: list[str], score: str, mode: str) -> Column:
-    """Scores as uniform (1), native, or calibrated between the least and largest of the group (1 where they are equal)."""
-    if mode == "uniform":
-        return F.lit(1.0)
-    if mode == "native":
-        return F.col(score)
-    w = Window.partitionBy(*group)
-    low, high = F.min(score).over(w), F.max(score).over(w)
-    return F.when(high > low, (F.col(score) - low) / (high - low)).otherwise(F.lit(1.0))
+def score_modes(df: DataFrame, group: list[str], score: str, modes: dict[str, str]) -> DataFrame:
+    """df with a column per entry of modes (name -> mode): uniform (1), native, or calibrated.
+
+    calibrated lies between the least and largest score of the group, 1 where they are equal.
+    """
+    if "calibrated" in modes.values():
+        df = with_group_totals(df, group, F.min(score).alias("__low"), F.max(score).alias("__high"))
+    low, high = F.col("__low"), F.col("__high")
+    made = {
+        "uniform": lambda: F.lit(1.0), "native": lambda: F.col(score),
+        "calibrated": lambda: F.when(high > low, (F.col(score) - low) / (high - low)).otherwise(F.lit(1.0)),
+    }
+    return df.withColumns({name: made[mode]() for name, mode in modes.items()}).drop("__low", "__high")
 
 
 def relative_threshold(df: DataFrame, group: list[str], score: str, share: float, keep: float, id_col: str) -> DataFrame:
-    """Rows that reach a share of their group's best score, and in any case the first keep share of the group, rounded up."""
-    w = Window.partitionBy(*group)
-    place = F.row_number().over(w.orderBy(F.col(score).desc_nulls_last(), id_col))
-    out = df.withColumn("__best", F.max(score).over(w)).withColumn("__n", F.count(F.lit(1)).over(w)).withColumn("__place", place)
+    """Rows that reach a share of their group's best score, and in any case the first keep share of the group, rounded up.
+
+    Places are exact and distributed: a hot group isn't brought into one task. Null scores come last.
+    """
+    out = distributed_rank(with_group_totals(df, group, F.max(score).alias("__best"), F.count(F.lit(1)).alias("__n")), group, [F.col(score).desc_nulls_last(), F.col(id_col).asc()], "__place")
     return out.where((F.col(score) >= F.col("__best") * share) | (F.col("__place") <= F.ceil(F.col("__n") * keep))).select(*df.columns)
 
 
@@ -74,14 +81,16 @@ def seeded_splits(ids: DataFrame, id_col: str, seed: int, small: int = 48, large
     return out.select(id_col, (F.col("p") <= small).alias("even_small"), (F.col("p") <= large).alias("even_large"), (F.col("p") > large).alias("odd_large"))
 
 
-def group_z(group: list[str], value: str, fallback: list[str] | None = None, least: int = 0) -> Column:
-    """z-score within the group (population deviation; 0 where it is below 1e-6), within fallback if the group has fewer rows."""
+def with_group_z(df: DataFrame, group: list[str], value: str, name: str = "z", fallback: list[str] | None = None, least: int = 0) -> DataFrame:
+    """df with the z-score within the group (population deviation; 0 where it is below 1e-6), within fallback if the group has fewer values."""
 
-    def z(keys: list[str]) -> Column:
-        w = Window.partitionBy(*keys)
-        dev = F.stddev_pop(value).over(w)
-        return F.when(dev < 1e-6, F.lit(0.0)).otherwise((F.col(value) - F.avg(value).over(w)) / dev)
+    def z(mark: str) -> Column:
+        dev = F.col(f"__dev{mark}")
+        return F.when(dev < 1e-6, F.lit(0.0)).otherwise((F.col(value) - F.col(f"__mean{mark}")) / dev)
 
+    stats = lambda mark: (F.stddev_pop(value).alias(f"__dev{mark}"), F.avg(value).alias(f"__mean{mark}"), F.count(value).alias(f"__n{mark}"))
+    out = with_group_totals(df, group, *stats("a"))
     if fallback is None:
-        return z(group)
-    return F.when(F.count(value).over(Window.partitionBy(*group)) >= least, z(group)).otherwise(z(fallback))
+        return out.withColumn(name, z("a")).select(*[c for c in df.columns if c != name], name)
+    out = with_group_totals(out, fallback, *stats("b"))
+    return out.withColumn(name, F.when(F.col("__na") >= least, z("a")).otherwise(z("b"))).select(*[c for c in df.columns if c != name], name)

@@ -210,7 +210,7 @@ def a8_rescore(spark: SparkSession, d: str) -> DataFrame:
 @query(with_views("cand", "SELECT record_id, CASE WHEN stddev_pop(score) OVER w < 1e-6 THEN 0 ELSE (score - avg(score) OVER w) / stddev_pop(score) OVER w END AS z FROM cand WINDOW w AS (PARTITION BY scene_name, kind)"))
 def a9_group_z(spark: SparkSession, d: str) -> DataFrame:
     """z-scores within scene and source."""
-    return cand(spark, d).select("record_id", ranking.group_z(["scene_name", "kind"], "score").alias("z"))
+    return ranking.with_group_z(cand(spark, d).select("record_id", "scene_name", "kind", "score"), ["scene_name", "kind"], "score").select("record_id", "z")
 
 
 @query(with_views("cand", "SELECT kind, class_name, count(*) AS n, avg(score) AS mean_score, avg(views) AS mean_views, grouping(kind) * 2 + grouping(class_name) AS level FROM cand GROUP BY GROUPING SETS ((kind), (class_name), (kind, class_name))"))
@@ -336,7 +336,7 @@ def a40_against_all(spark: SparkSession, d: str) -> DataFrame:
 @query(with_views("cand", "SELECT record_id, CASE WHEN count(*) OVER c >= 20 THEN CASE WHEN stddev_pop(score) OVER c < 1e-6 THEN 0 ELSE (score - avg(score) OVER c) / stddev_pop(score) OVER c END ELSE CASE WHEN stddev_pop(score) OVER s < 1e-6 THEN 0 ELSE (score - avg(score) OVER s) / stddev_pop(score) OVER s END END AS z FROM cand WINDOW c AS (PARTITION BY scene_name, class_id), s AS (PARTITION BY scene_name)"))
 def a43_z_with_fallback(spark: SparkSession, d: str) -> DataFrame:
     """z-score in the class, or in the scene where the class is small."""
-    return cand(spark, d).select("record_id", ranking.group_z(["scene_name", "class_id"], "score", ["scene_name"], 20).alias("z"))
+    return ranking.with_group_z(cand(spark, d).select("record_id", "scene_name", "class_id", "score"), ["scene_name", "class_id"], "score", fallback=["scene_name"], least=20).select("record_id", "z")
 
 
 # ---- ranks
@@ -358,7 +358,7 @@ def o4_policies(spark: SparkSession, d: str) -> DataFrame:
 @query(with_views("cand", "SELECT record_id FROM (SELECT record_id, score, max(score) OVER (PARTITION BY scene_name, class_id) AS b, count(*) OVER (PARTITION BY scene_name, class_id) AS n, row_number() OVER (PARTITION BY scene_name, class_id ORDER BY score DESC NULLS LAST, record_id) AS p FROM cand) WHERE score >= b * 0.9 OR p <= ceil(n * 0.2)"))
 def o5_relative_threshold(spark: SparkSession, d: str) -> DataFrame:
     """Records near their class's best, and a least share of each class."""
-    return ranking.relative_threshold(cand(spark, d), ["scene_name", "class_id"], "score", 0.9, 0.2, "record_id").select("record_id")
+    return ranking.relative_threshold(cand(spark, d).select("record_id", "scene_name", "class_id", "score"), ["scene_name", "class_id"], "score", 0.9, 0.2, "record_id").select("record_id")
 
 
 @query(with_views("links obs", ", r AS (SELECT l.scene_name, trace_id, observation_id, row_number() OVER (PARTITION BY l.scene_name, trace_id ORDER BY score DESC NULLS LAST, observation_id) AS p FROM links l JOIN obs USING (observation_id)) SELECT scene_name, trace_id, count(*) AS merged, max(observation_id) FILTER (WHERE p = 1) AS best_view FROM r WHERE p <= 2 GROUP BY 1, 2"))

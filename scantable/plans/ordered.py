@@ -20,7 +20,7 @@ def _seed_sets(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def n6_absorb(spark: SparkSession, d: str) -> DataFrame:
     """Seeds joining the best proposal of their class in order of id."""
-    return kernels.absorb(_seed_sets(spark, d).withColumn("at", F.col("candidate_id")), ["scene_name", "class_id"], "candidate_id", "at", "score", "items", 0.5)
+    return kernels.absorb(_seed_sets(spark, d).withColumn("at", F.col("candidate_id")), ["scene_name"], "candidate_id", "at", "class_id", "items", 0.5)
 
 
 @query()

@@ -189,7 +189,7 @@ def q24_class_rules(spark: SparkSession, d: str) -> DataFrame:
     e = _members(spark, d).where("class_id is not null").groupBy("trace_id", "class_id").agg(F.sum(F.coalesce("score", F.lit(0.0))).alias("s"))
     top = ranking.top_k(e, ["trace_id"], [F.desc("s"), F.col("class_id")], 2)
     t = top.groupBy("trace_id").agg(F.max(F.when(F.col("place") == 1, F.col("class_id"))).alias("best"), F.max(F.when(F.col("place") == 1, F.col("s"))).alias("s1"), F.coalesce(F.max(F.when(F.col("place") == 2, F.col("s"))), F.lit(0.0)).alias("s2"))
-    return t.withColumn("z", ranking.group_z(["best"], "s1")).select("trace_id", "best", ((F.col("z") > 0) & (F.col("s1") - F.col("s2") > 0.2)).alias("confirmed"))
+    return ranking.with_group_z(t, ["best"], "s1").select("trace_id", "best", ((F.col("z") > 0) & (F.col("s1") - F.col("s2") > 0.2)).alias("confirmed"))
 
 
 # ---- further parts

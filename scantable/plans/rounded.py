@@ -30,13 +30,17 @@ COLUMNS: dict[str, tuple[str, ...]] = {
     "a8_rescore": ("best", "second"),
     "a9_group_z": ("z",),
     "e10_average_recall": ("ar", "top_recall"),
+    "e13_second_classes": ("ap", "ap50", "ap25"),
+    "e15_box_ap": ("ap",),
     "e7_closed_form_ap": ("ap",),
+    "e9_average_precision": ("ap", "ap50", "ap25"),
+    "e9_averages": ("ap", "ap50", "ap25"),
+    "f11_graph_quality": ("quality",),
     "f10_calibration": ("factor",),
     "f13_view_quality": ("quality",),
     "f21_binning": ("mean_best",),
     "f23_features": ("mean_iou_std",),
     "f29_normalised": ("nx", "ny", "nz", "red"),
-    "f30_softmax": ("first_p", "top_p"),
     "f30_softmax_whole": ("first_p", "top_p"),
     "f40_log_metrics": ("mean_ap",),
     "f9_novelty": ("novelty",),
@@ -64,6 +68,7 @@ CASTS: dict[str, tuple[str, tuple[str, ...]]] = {
     "a15_partition_overlap": ("BIGINT", ("split_reference_points", "point_count", "merged_compared_points")),
     "a5_merged_consensus": ("BIGINT", ("n",)),
     "a6_label_statistics": ("BIGINT", ("label_vote_count",)),
+    "e4_outcomes": ("BIGINT", ("instances",)),
     "f28_clamped_boxes": ("DOUBLE", ("ax", "ay", "bx", "by_")),
     "f2_score_modes": ("DOUBLE", ("uniform_score",)),
     "f5_rule_lookup": ("DOUBLE", ("factor",)),

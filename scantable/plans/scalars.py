@@ -62,7 +62,8 @@ def f1_score_threshold(spark: SparkSession, d: str) -> DataFrame:
 def f2_score_modes(spark: SparkSession, d: str) -> DataFrame:
     """Scores in three modes."""
     o = obs(spark, d)
-    return o.select("observation_id", *[ranking.score_mode(o, ["scene_name"], "score", m).alias(f"{m}_score") for m in ("uniform", "native", "calibrated")])
+    modes = {f"{m}_score": m for m in ("uniform", "native", "calibrated")}
+    return ranking.score_modes(o.select("observation_id", "scene_name", "score"), ["scene_name"], "score", modes).select("observation_id", *modes)
 
 
 @query(with_views("cand", "SELECT record_id, class_name FROM cand WHERE class_name IN ('sink', 'tap', 'mirror') AND coalesce(kind, '') NOT IN ('bpr')"))
@@ -116,9 +117,9 @@ def f9_novelty(spark: SparkSession, d: str) -> DataFrame:
 def f10_calibration(spark: SparkSession, d: str) -> DataFrame:
     """Score factor from the quality's z-score in its scene and source, and novelty."""
     q = cand(spark, d).withColumn("quality", quality())
-    z = ranking.group_z(["scene_name", "kind"], "quality")
+    scored = ranking.with_group_z(q.select("record_id", "scene_name", "kind", "covered", "existing_iou", "quality"), ["scene_name", "kind"], "quality")
     factor = X.calibration(F.col("z"), X.novelty(F.col("covered"), F.col("existing_iou"), F.lit(0.0)), F.lit(1.0), 0.3, 0.5, 0.0)
-    return q.withColumn("z", z).select("record_id", factor.alias("factor"))
+    return scored.select("record_id", factor.alias("factor"))
 
 
 @query(with_views("cand", """SELECT record_id, concat_ws(';', CASE WHEN views < 2 THEN 'few_views' END, CASE WHEN mean_iou < 0.3 THEN 'inconsistent' END, CASE WHEN covered > 0.5 THEN 'covered' END, CASE WHEN class_name IS NULL THEN 'no_class' END) AS reasons FROM cand"""))
@@ -183,14 +184,6 @@ def f28_clamped_boxes(spark: SparkSession, d: str) -> DataFrame:
     return obs(spark, d).select("observation_id", *[b.alias(a) for a, b in zip(("ax", "ay", "bx", "by_"), box)])
 
 
-@query("""WITH e AS (SELECT vec_id, list_transform(embedding[1:8], lambda v: exp(CAST(v AS DOUBLE) - CAST(list_max(embedding[1:8]) AS DOUBLE))) AS e FROM embeddings)
-    SELECT vec_id, e[1] / list_sum(e) AS first_p, list_max(e) / list_sum(e) AS top_p FROM e""")
-def f30_softmax(spark: SparkSession, d: str) -> DataFrame:
-    """Softmax over eight numbers."""
-    p = X.softmax(F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double")))
-    return table(spark, d, "embeddings").select("vec_id", p.alias("p")).select("vec_id", F.get("p", F.lit(0)).alias("first_p"), F.array_max("p").alias("top_p"))
-
-
 @query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: exp(CAST(v AS DOUBLE) - CAST(list_max(embedding) AS DOUBLE))) AS e FROM embeddings)
     SELECT vec_id, e[1] / list_sum(e) AS first_p, list_max(e) / list_sum(e) AS top_p FROM e""")
 def f30_softmax_whole(spark: SparkSession, d: str) -> DataFrame:

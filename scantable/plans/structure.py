@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scantable.common import cut, table
@@ -226,7 +226,7 @@ def v4_quadrants(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def v10_scene_splits(spark: SparkSession, d: str) -> DataFrame:
     """Nested and disjoint random subsets of the scenes."""
-    return ranking.seeded_splits(table(spark, d, "observations"), "observation_id", 17)
+    return ranking.seeded_splits(table(spark, d, "observations"), "scene_name", 17, 8, 16)
 
 
 @query()
@@ -246,33 +246,126 @@ def o12_diverse_views(spark: SparkSession, d: str) -> DataFrame:
 # ---- evaluation
 
 
-def _outcomes(spark: SparkSession, d: str) -> DataFrame:
-    """Seeds as predictions, held against instances: each point with the smallest seed of a base class over it."""
+def _instances(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(points, seeds, points of instances, instances): each point with the smallest seed of a base class over it."""
     classes = table(spark, d, "classes")
     p = cut(pts(spark, d))
     s = cut(_seed_scores(spark, d, p).where("class_id is not null"))
     base = s.join(F.broadcast(classes.where("is_base").select("class_id")), "class_id", "left_semi")
     owned = sets.smallest_owner(p.join(base.select("scene_name", "candidate_id", "n"), ["scene_name", "candidate_id"]), ["scene_name", "item"], "n", "candidate_id")
     gt_points = cut(owned.select(F.col("scene_name").alias("scene"), F.col("item").alias("point"), F.col("candidate_id").alias("gt_id")))
-    gts = base.select(F.col("scene_name").alias("scene"), F.col("candidate_id").alias("gt_id"), "class_id").join(gt_points.select("scene", "gt_id").distinct(), ["scene", "gt_id"], "left_semi")
-    preds = s.select(F.col("scene_name").alias("scene"), F.col("candidate_id").alias("pred_id"), "class_id", "score")
-    points = p.toDF("scene", "pred_id", "point")
-    good, instances, pairs = evaluate.assign(points, preds, gt_points, gts, classes.select("class_id"), 20)
-    return evaluate.match(cut(good), cut(instances), cut(pairs), 20)
+    gts = base.select(F.col("scene_name").alias("scene"), F.col("candidate_id").alias("gt_id"), "class_id")
+    return p.toDF("scene", "pred_id", "point"), s, gt_points, gts
 
 
-@query()
+def _outcomes(spark: SparkSession, d: str, valid: DataFrame | None = None) -> DataFrame:
+    """Seeds as predictions, held against instances."""
+    points, s, gt_points, gts = _instances(spark, d)
+    preds = s.select(F.col("scene_name").alias("scene"), F.col("candidate_id").alias("pred_id"), "class_id", "score")
+    valid = table(spark, d, "classes").select("class_id") if valid is None else valid
+    good, instances, pairs = evaluate.assign(points, preds, gt_points, gts, valid, 20)
+    return evaluate.match(good, instances, cut(pairs), 20)
+
+
+GRID = ", ".join(f"(CAST({o} AS DOUBLE))" for o in evaluate.OVERLAPS)
+
+
+def outcomes_sql(valid: str = "SELECT class_id FROM classes") -> str:
+    """SQL of _outcomes as o(class_id, overlap, score, positive): the ordered matching as a recursion over each key's hits."""
+    body = f"""{PAIRS}{RANKED}, valid AS ({valid}), base AS (SELECT s.* FROM s WHERE class_id IN (SELECT class_id FROM classes WHERE is_base)),
+    gt AS (SELECT p.scene_name AS scene, p.item, arg_min(b.candidate_id, (b.n, b.candidate_id)) AS gt_id FROM pts p JOIN base b USING (scene_name, candidate_id) GROUP BY 1, 2),
+    inst AS (SELECT g.scene, g.gt_id, b.class_id, count(*) AS gt_n FROM gt g JOIN base b ON b.scene_name = g.scene AND b.candidate_id = g.gt_id WHERE b.class_id IN (SELECT class_id FROM valid) GROUP BY 1, 2, 3),
+    cell AS (SELECT p.scene_name AS scene, p.candidate_id AS pred_id, i.gt_id, count(*) AS inter FROM pts p LEFT JOIN gt g ON g.scene = p.scene_name AND g.item = p.item LEFT JOIN inst i ON i.scene = g.scene AND i.gt_id = g.gt_id GROUP BY 1, 2, 3),
+    good AS (SELECT s.scene_name AS scene, s.candidate_id AS pred_id, s.class_id, s.score, s.n, coalesce((SELECT sum(inter) FROM cell c WHERE c.scene = s.scene_name AND c.pred_id = s.candidate_id AND c.gt_id IS NULL), 0) AS void FROM s WHERE s.n >= 20 AND s.class_id IN (SELECT class_id FROM valid)),
+    pair AS (SELECT c.scene, c.gt_id, g.class_id, c.pred_id, c.inter, c.inter / (g.n + i.gt_n - c.inter)::DOUBLE AS iou, g.score, g.n, g.void, i.gt_n FROM cell c JOIN good g USING (scene, pred_id) JOIN inst i ON i.scene = c.scene AND i.gt_id = c.gt_id AND i.class_id = g.class_id),
+    grid(overlap) AS (VALUES {GRID}),
+    hit AS (SELECT scene, class_id, overlap, gt_id, pred_id, score, row_number() OVER (PARTITION BY scene, class_id, overlap ORDER BY gt_id, pred_id) AS i FROM pair, grid WHERE gt_n >= 20 AND iou > overlap),
+    walk(scene, class_id, overlap, i, gt_id, held, taken, lost_gt, lost) AS (SELECT scene, class_id, overlap, i, gt_id, score, [pred_id], CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE) FROM hit WHERE i = 1 UNION ALL
+        SELECT h.scene, h.class_id, h.overlap, h.i, CASE WHEN list_contains(w.taken, h.pred_id) THEN w.gt_id ELSE h.gt_id END,
+            CASE WHEN list_contains(w.taken, h.pred_id) THEN w.held WHEN h.gt_id <> w.gt_id THEN h.score ELSE greatest(w.held, h.score) END,
+            CASE WHEN list_contains(w.taken, h.pred_id) OR h.gt_id = w.gt_id THEN w.taken ELSE list_append(w.taken, h.pred_id) END,
+            CASE WHEN NOT list_contains(w.taken, h.pred_id) AND h.gt_id = w.gt_id THEN h.gt_id END, CASE WHEN NOT list_contains(w.taken, h.pred_id) AND h.gt_id = w.gt_id THEN least(w.held, h.score) END
+        FROM walk w JOIN hit h ON h.scene = w.scene AND h.class_id = w.class_id AND h.overlap = w.overlap AND h.i = w.i + 1),
+    won AS (SELECT scene, class_id, overlap, gt_id, arg_max(held, i) AS score FROM walk GROUP BY 1, 2, 3, 4),
+    enough AS (SELECT scene, pred_id, max(iou) AS best, sum(CASE WHEN gt_n < 20 THEN inter ELSE 0 END) AS small FROM pair GROUP BY 1, 2),
+    o AS (SELECT class_id, overlap, score, 1 AS positive FROM won UNION ALL SELECT class_id, overlap, lost, 0 FROM walk WHERE lost IS NOT NULL
+        UNION ALL SELECT i.class_id, overlap, NULL, 1 FROM inst i, grid WHERE gt_n >= 20 AND (i.scene, i.gt_id, overlap) NOT IN (SELECT (scene, gt_id, overlap) FROM won)
+        UNION ALL SELECT g.class_id, overlap, g.score, 0 FROM good g LEFT JOIN enough e USING (scene, pred_id), grid WHERE coalesce(best, 0) <= overlap AND (void + coalesce(small, 0)) / n::DOUBLE <= overlap)"""
+    return "WITH RECURSIVE" + with_views("cand pts", body)[4:]
+
+
+AP = """, c AS (SELECT class_id, overlap, score, sum(positive) AS t, count(*) AS k FROM o WHERE score IS NOT NULL GROUP BY 1, 2, 3), r AS (SELECT *, sum(t) OVER w AS tp, sum(k) OVER w AS n FROM c WINDOW w AS (PARTITION BY class_id, overlap ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+    q AS (SELECT *, tp / n::DOUBLE AS p, lag(tp / n::DOUBLE, 1, 1) OVER (PARTITION BY class_id, overlap ORDER BY score DESC) AS before FROM r), ar AS (SELECT class_id, overlap, sum(t * (p + before) / 2) AS area FROM q GROUP BY 1, 2), tt AS (SELECT class_id, overlap, sum(positive) AS total FROM o GROUP BY 1, 2),
+    ap AS (SELECT class_id, overlap, CASE WHEN total > 0 THEN coalesce(area, 0) / total END AS ap FROM tt LEFT JOIN ar USING (class_id, overlap)),
+    pc AS (SELECT k.class_id, k.name AS class_name, k.split, k.is_base, a.ap, a.ap50, a.ap25 FROM classes k LEFT JOIN (SELECT class_id, avg(ap) FILTER (WHERE overlap > 0.25) AS ap, max(ap) FILTER (WHERE overlap = 0.5) AS ap50, max(ap) FILTER (WHERE overlap = 0.25) AS ap25 FROM ap GROUP BY 1) a USING (class_id))"""
+
+
+@query(outcomes_sql() + " SELECT class_id, overlap, sum(positive) AS instances, count(*) FILTER (WHERE positive = 1 AND score IS NOT NULL) AS matched, count(*) FILTER (WHERE positive = 0) AS false_positives FROM o GROUP BY 1, 2")
 def e4_outcomes(spark: SparkSession, d: str) -> DataFrame:
     """Matched and unmatched predictions and instances per class and threshold, counted."""
     o = _outcomes(spark, d)
     return o.groupBy("class_id", "overlap").agg(F.sum("positive").alias("instances"), F.count_if((F.col("positive") == 1) & F.col("score").isNotNull()).alias("matched"), F.count_if(F.col("positive") == 0).alias("false_positives"))
 
 
-@query()
+def _per_class(spark: SparkSession, d: str, valid: DataFrame | None = None) -> DataFrame:
+    return evaluate.summary(evaluate.average_precision(_outcomes(spark, d, valid), ["class_id", "overlap"]), table(spark, d, "classes"))
+
+
+@query(outcomes_sql() + AP + " SELECT * FROM pc")
 def e9_average_precision(spark: SparkSession, d: str) -> DataFrame:
     """AP, AP50 and AP25 per class."""
-    ap = evaluate.average_precision(cut(_outcomes(spark, d)), ["class_id", "overlap"])
-    return evaluate.summary(ap, table(spark, d, "classes"))
+    return _per_class(spark, d)
+
+
+@query(outcomes_sql() + AP + """, sc AS (SELECT unnest(['all', 'split ' || split, CASE WHEN is_base THEN 'base' ELSE 'novel' END]) AS scope, ap, ap50, ap25 FROM pc)
+    SELECT scope, count(ap50) AS classes, avg(ap) AS ap, avg(ap50) AS ap50, avg(ap25) AS ap25 FROM sc WHERE scope IS NOT NULL GROUP BY 1""")
+def e9_averages(spark: SparkSession, d: str) -> DataFrame:
+    """Mean AP over all classes, by split, and of base and novel ones."""
+    return evaluate.averages(_per_class(spark, d))
+
+
+@query(outcomes_sql("SELECT class_id FROM classes WHERE split = (SELECT min(split) FROM classes)") + AP + " SELECT * FROM pc WHERE class_id IN (SELECT class_id FROM valid)")
+def e13_second_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The same evaluation over another set of classes, the first split: all other points are void, other predictions are left out."""
+    k = table(spark, d, "classes")
+    valid = k.join(F.broadcast(k.agg(F.min("split").alias("split"))), "split", "left_semi").select("class_id")
+    return _per_class(spark, d, valid).join(F.broadcast(valid), "class_id", "left_semi")
+
+
+@query(with_views("cand pts", PAIRS + RANKED + """, b AS (SELECT s.* FROM s WHERE class_id IN (SELECT class_id FROM classes WHERE is_base)), g AS (SELECT p.scene_name AS scene, p.item, arg_min(b.candidate_id, (b.n, b.candidate_id)) AS gt FROM pts p JOIN b USING (scene_name, candidate_id) GROUP BY 1, 2),
+    r AS (SELECT scene_name, candidate_id, class_id, row_number() OVER (PARTITION BY scene_name, class_id ORDER BY candidate_id) % 1000 AS num FROM b), lab AS (SELECT g.scene, r.class_id * 1000 + r.num AS gt_id FROM g JOIN r ON r.scene_name = g.scene AND r.candidate_id = g.gt WHERE r.class_id * 1000 + r.num > 0)
+    SELECT scene, gt_id, CAST(gt_id // 1000 AS INT) AS class_id, count(*) AS gt_n FROM lab WHERE gt_id // 1000 IN (SELECT class_id FROM classes) GROUP BY 1, 2, 3"""))
+def e1_instances(spark: SparkSession, d: str) -> DataFrame:
+    """Instances from point labels class * 1000 + number."""
+    _, s, gt_points, gts = _instances(spark, d)
+    number = F.row_number().over(Window.partitionBy("scene", "class_id").orderBy("gt_id")) % 1000
+    labels = gts.select("scene", "gt_id", (F.col("class_id").cast("long") * 1000 + number).alias("label"))
+    return evaluate.labelled_instances(gt_points.join(labels, ["scene", "gt_id"]).select("scene", "label"), table(spark, d, "classes").select("class_id"))
+
+
+BOX = f""", g AS (SELECT * FROM obs WHERE sam_score >= 0.5 AND class_id IS NOT NULL AND frame_index IS NOT NULL), b AS (SELECT * FROM obs WHERE score IS NOT NULL AND class_id IS NOT NULL AND frame_index IS NOT NULL),
+    m AS (SELECT a.scene_name, a.frame_index, a.class_id, a.observation_id AS pred_id, b.observation_id AS gt_id, {IOU} AS iou FROM b a JOIN g b ON a.scene_name = b.scene_name AND a.frame_index = b.frame_index AND a.class_id = b.class_id AND a.observation_id <> b.observation_id),
+    x AS (SELECT scene_name, frame_index, class_id, pred_id, arg_max(gt_id, (iou, -gt_id)) AS gt_id, max(iou) AS iou FROM m WHERE iou > 0 GROUP BY 1, 2, 3, 4), t(overlap) AS (VALUES (0.25::DOUBLE), (0.5::DOUBLE)),
+    h AS (SELECT b.class_id, overlap, b.observation_id AS pred_id, b.score, coalesce(x.iou, 0) > overlap AS hit, row_number() OVER (PARTITION BY b.scene_name, b.frame_index, b.class_id, overlap, x.gt_id, coalesce(x.iou, 0) > overlap ORDER BY b.score DESC, b.observation_id) AS i FROM b LEFT JOIN x ON x.pred_id = b.observation_id, t),
+    y AS (SELECT class_id, overlap, pred_id, score, CASE WHEN hit AND i = 1 THEN 1 ELSE 0 END AS positive FROM h), z AS (SELECT class_id, count(*) AS total FROM g GROUP BY 1),
+    c AS (SELECT class_id, overlap, positive, row_number() OVER w AS n, sum(positive) OVER (PARTITION BY class_id, overlap ORDER BY score DESC, pred_id ROWS UNBOUNDED PRECEDING) AS tp FROM y WINDOW w AS (PARTITION BY class_id, overlap ORDER BY score DESC, pred_id)),
+    e AS (SELECT class_id, overlap, positive, max(tp / n::DOUBLE) OVER (PARTITION BY class_id, overlap ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS best FROM c)"""
+
+
+@query(with_views("obs", BOX + " SELECT class_id, overlap, coalesce(sum(best) FILTER (WHERE positive = 1) / max(total), 0) AS ap FROM e LEFT JOIN z USING (class_id) GROUP BY 1, 2"))
+def e15_box_ap(spark: SparkSession, d: str) -> DataFrame:
+    """Box AP per class at overlaps of 0.25 and 0.5: boxes in order of score against the mask-scored boxes of their frame and class."""
+    o = obs(spark, d).where("class_id is not null and frame_index is not null")
+    key = ["scene_name", "frame_index", "class_id"]
+    truth = o.where("sam_score >= 0.5")
+    preds = o.where("score is not null").select(*key, F.col("observation_id").alias("pred_id"), "score")
+    p = box_pairs(spark, d).where("a_class_id = b_class_id and iou > 0").select("scene_name", "frame_index", F.col("a_class_id").alias("class_id"), F.col("a_observation_id").alias("a"), F.col("b_observation_id").alias("b"), "iou")
+    both = p.toDF(*key, "pred_id", "gt_id", "iou").union(p.select(*key, "b", "a", "iou"))
+    pairs = both.join(truth.select(F.col("observation_id").alias("gt_id")), "gt_id", "left_semi")
+    out = cut(evaluate.box_outcomes(pairs, preds, key, (0.25, 0.5)))
+    total = truth.groupBy("class_id").agg(F.count(F.lit(1)).alias("total"))
+    grid = out.select("class_id", "overlap").distinct().join(total, "class_id")
+    return evaluate.voc_ap(out, ["class_id", "overlap"], "score", "positive", "pred_id", total=grid)
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:

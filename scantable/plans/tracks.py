@@ -27,11 +27,15 @@ MEMBERS = ", m AS (SELECT l.scene_name, l.trace_id, l.observation_id, o.frame_in
 # ---- scores
 
 
-@query(with_views("cand obs", "SELECT observation_id, 0.35 * coalesce(score, 0) + 0.25 * coalesce(sam_score, 0) + 0.20 * coalesce(score, 0) + 0.10 * least(1, coalesce(point_count, 0) / 500.0) AS quality FROM obs"))
+@query(with_views("links obs", MEMBERS + """, v AS (SELECT trace_id, count(DISTINCT frame_index) AS views FROM m GROUP BY 1) SELECT m.trace_id, m.observation_id, 0.35 * coalesce(score, 0) + 0.25 * coalesce(sam_score, 0) + 0.20 * least(1, views / 4.0) + 0.10 * least(1, coalesce(point_count, 0) / 500.0)
+    + 0.10 * CASE WHEN class_id IS NULL THEN 0 ELSE 1 END AS quality FROM m JOIN v USING (trace_id)"""))
 def f11_graph_quality(spark: SparkSession, d: str) -> DataFrame:
-    """Weighted sum of an observation's scores."""
-    s, m, n = F.coalesce("score", F.lit(0.0)), F.coalesce("sam_score", F.lit(0.0)), F.coalesce("point_count", F.lit(0))
-    return obs(spark, d).select("observation_id", (0.35 * s + 0.25 * m + 0.20 * s + 0.10 * F.least(F.lit(1.0), n / 500.0)).alias("quality"))
+    """Weighted sum of an observation's scores, the views of its trace, its points and whether it has a class."""
+    m = _members(spark, d)
+    views = m.groupBy("trace_id").agg(F.count_distinct("frame_index").alias("views"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    total = 0.35 * zero("score") + 0.25 * zero("sam_score") + 0.20 * F.least(F.lit(1.0), F.col("views") / 4.0) + 0.10 * F.least(F.lit(1.0), zero("point_count") / 500.0) + 0.10 * F.col("class_id").isNotNull().cast("int")
+    return m.join(views, "trace_id").select("trace_id", "observation_id", total.alias("quality"))
 
 
 @query(with_views("cand", """, q AS (SELECT record_id, covered, kind, (0.30 * best_iou + 0.25 * mean_iou + 0.15 * least(1, views / 4.0) + 0.15 * (1 - covered) + 0.15) * CASE WHEN existing_iou >= 0.25 THEN 0.65 ELSE 1 END * CASE WHEN kind = 'maskgraphsingleview' THEN 0.85 ELSE 1 END AS q FROM cand)
@@ -420,10 +424,7 @@ def e2_dataset_ids(spark: SparkSession, d: str) -> DataFrame:
     s AS (SELECT split, r, r * (coalesce(lead(r) OVER w, r) - coalesce(lag(r) OVER w, 0)) / 2 AS part FROM r WINDOW w AS (PARTITION BY split ORDER BY score DESC)) SELECT split, sum(part) AS ar, max(r) AS top_recall FROM s GROUP BY 1"""))
 def e10_average_recall(spark: SparkSession, d: str) -> DataFrame:
     """Recall over half steps of recall, and the largest one."""
-    curve = evaluate.precision_recall(_judged(spark, d), ["split"])
-    w = Window.partitionBy("split").orderBy(F.desc("score"))
-    part = F.col("recall") * (F.coalesce(F.lead("recall").over(w), F.col("recall")) - F.coalesce(F.lag("recall").over(w), F.lit(0.0))) / 2
-    return curve.select("split", "recall", part.alias("p")).groupBy("split").agg(F.sum("p").alias("ar"), F.max("recall").alias("top_recall"))
+    return evaluate.average_recall(_judged(spark, d), ["split"])
 
 
 @query(with_views("cand pts", PAIRS + RANKED + """, g AS (SELECT s.* FROM s JOIN classes k USING (class_id) WHERE k.is_base), h AS (SELECT DISTINCT p.scene_name, g.class_id FROM pairs p JOIN g ON g.scene_name = p.scene_name AND g.candidate_id IN (p.a, p.b) WHERE p.iou > 0.5)

@@ -26,7 +26,7 @@ def test_near_pairs_and_nearest_are_exact(spark):
 
 def test_nearest_of_too_few(spark):
     df = spark.createDataFrame([("s", 1, 0.0, 0.0), ("s", 2, 1.0, 0.0), ("t", 3, 0.0, 0.0)], "k string, a long, x double, y double")
-    got = geometry.nearest(df, df.withColumnRenamed("a", "b"), ["k"], ["x", "y"], 2, 0.3, max_rounds=5).collect()
+    got = geometry.nearest(df, df.withColumnRenamed("a", "b"), ["k"], ["x", "y"], 2, 0.3).collect()
     assert sorted((r.a, r.b) for r in got) == [(1, 2), (2, 1)]
 
 
