@@ -9,91 +9,121 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scantable.common import cut
+from scantable.common import cut, small_or_not
 
 #: Rate of the exponential shifts: on average a cluster gets a start 1 / RATE steps before the last one, which bounds its
 #: radius by O(log n / RATE) and cuts a share of about RATE of the edges.
 RATE = 0.2
-#: Recursion goes on inside one task once so few edges are left (2.4 MB), after at least so many distributed levels.
-BASE_EDGES, LEAST_LEVELS = 100_000, 3
+#: Once so few edges are left (1.6 MB), the recursion goes on inside one task: the same shifts, the same growth, the same result.
+BASE_EDGES = 100_000
+
+_MASK = (1 << 52) - 1
+# fixed values: primes of the published 64-bit hash that Spark's xxhash64 is
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
 def _shift(v: Column, level: Column) -> Column:
     """Exponentially distributed head start of a vertex, from its hash: the same in every task and on every run.
 
-    level is a column, not a literal: so all levels run the same generated code.
+    level is a column, not a literal: so all levels run the same generated code. Starts are rounded to 2**-20 of a step, so that sums
+    of steps are exact and equal in both forms of the recursion.
     """
-    unit = (F.xxhash64(level, v).bitwiseAND(F.lit((1 << 52) - 1)).cast("double") + 0.5) / float(1 << 52)
-    return -F.log(unit) / RATE
+    unit = (F.xxhash64(level, v).bitwiseAND(F.lit(_MASK)).cast("double") + 0.5) / float(1 << 52)
+    return F.round(-F.log(unit) / RATE * float(1 << 20)) / float(1 << 20)
+
+
+def _rotated(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def hash64(values: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """xxhash64 of one BIGINT a row, as Spark computes it."""
+    h = seed + _P5 + np.uint64(8)
+    h = _rotated(h ^ (_rotated(values.astype(np.int64).view(np.uint64) * _P2, 31) * _P1), 27) * _P1 + _P4
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
 
 
-def _decompose(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(vertices, roots) of a small graph: the same recursion in memory, clusters growing until nobody is reached earlier."""
+def shifts(values: np.ndarray, level: int) -> np.ndarray:
+    """_shift() of many vertices in memory."""
+    seed = hash64(np.array([level]), np.array([42], dtype=np.uint64))
+    unit = ((hash64(values, seed) & np.uint64(_MASK)).astype(np.float64) + 0.5) / float(1 << 52)
+    return np.floor(-np.log(unit) / RATE * float(1 << 20) + 0.5) / float(1 << 20)
+
+
+def _decompose(a: np.ndarray, b: np.ndarray, level: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(vertices, roots) of a small graph: the same recursion in memory."""
     ids, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
     x, y = ends[: len(a)], ends[len(a) :]
     label = np.arange(len(ids))
-    level = 0
-    while len(x):
-        rng = np.random.default_rng(1000 + level)
-        time = -rng.exponential(1 / RATE, len(ids))
-        centre = np.arange(len(ids))
+    while True:
+        # arrival time and centre of each vertex; the smaller centre on a tie
+        time, centre = -shifts(ids, level), np.arange(len(ids))
+        to, frm = np.concatenate([x, y]), np.concatenate([y, x])
         while True:
-            to, told, whose = np.concatenate([x, y]), np.concatenate([time[y], time[x]]) + 1, np.concatenate([centre[y], centre[x]])
-            first = np.full(len(ids), np.inf)
-            np.minimum.at(first, to, told)
-            take = (told == first[to]) & (told < time[to])
-            if not take.any():
+            told, whose = time[frm] + 1, centre[frm]
+            order = np.lexsort((whose, told, to))
+            first = order[np.append(True, to[order][1:] != to[order][:-1])] if len(order) else order
+            at = to[first]
+            better = (told[first] < time[at]) | ((told[first] == time[at]) & (whose[first] < centre[at]))
+            if not better.any():
                 break
-            centre[to[take]], time[to[take]] = whose[take], told[take]
+            time[at[better]], centre[at[better]] = told[first[better]], whose[first[better]]
         label = centre[label]
         x, y = centre[x], centre[y]
-        pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)])[:, x != y], axis=1)
-        x, y = pairs
+        keep = x != y
+        if not keep.any():
+            return ids, ids[label]
+        x, y = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)])[:, keep], axis=1)
         level += 1
-    return ids, ids[label]
 
 
-def component_roots(edges: DataFrame, src: str = "src", dst: str = "dst", growth: int = 2, max_levels: int = 60) -> DataFrame:
+def component_roots(edges: DataFrame, src: str = "src", dst: str = "dst", base_edges: int | None = None) -> DataFrame:
     """(v, root): vertices have the same root if and only if they are linked over undirected edges. Vertices are BIGINT.
 
     Each level: every vertex starts growing a cluster at an exponentially shifted time; a vertex joins the cluster that
-    reaches it first (growth steps, each one edge long; the first needs no join, as a start time is a hash of
-    the vertex). Clusters are contracted to super-vertices, edges inside a cluster vanish, the others are
-    de-duplicated and the next level decomposes them. When no edge is left, assignments are composed from the
-    last level back to the first. The last levels, of a few edges, run in one task by the same method. Each level is written to the shared checkpoint folder: nothing is collected, and
+    reaches it first (the smaller centre on a tie). Clusters grow until no vertex is reached any earlier; after the first step,
+    whose times are hashes of the vertices, only vertices that changed tell their neighbours. So clusters have radius
+    O(log n / RATE) and about a share RATE of the edges is cut. Clusters are contracted to super-vertices, edges inside a
+    cluster vanish, the others are de-duplicated and the next level decomposes them. When no edge is left, assignments are composed from the
+    last level back to the first. base_edges (BASE_EDGES): with so few edges left, the levels to come run in one task, with the same shifts and so the
+    same result. Each level is written to the shared checkpoint folder: nothing is collected, and
     messages to a vertex are combined before they are shuffled, so hubs don't gather in one task.
 
     An edge with a null end is no edge. A loop only says that its vertex exists. Repeated edges change nothing.
-    No edges give no rows. A cluster is joined by real edges only, so stopping its growth early costs levels, never results.
+    No edges give no rows.
     """
+    base_edges = BASE_EDGES if base_edges is None else base_edges
     pairs = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b"))
     live = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(0).cast("long").alias("level")).distinct())
     maps: list[DataFrame] = []
-    for level in range(max_levels):
+    while True:
         left = live.count()
-        if left == 0 and level:
+        if left == 0 and maps:
             break
-        if left <= BASE_EDGES and level >= LEAST_LEVELS:
+        if left <= base_edges:
             maps.append(cut(live.coalesce(1).mapInArrow(_rest, "v long, c long")))
             break
         both = live.select(F.col("a").alias("v"), F.col("b").alias("u"), "level").union(live.select(F.col("b").alias("v"), F.col("a").alias("u"), "level"))
         # step 1: each vertex hears its neighbours' start times, and its own
-        heard = both.select("v", F.explode(F.array(F.struct((1.0 - _shift(F.col("u"), F.col("level"))).alias("t"), F.col("u").alias("c")), F.struct((-_shift(F.col("v"), F.col("level"))).alias("t"), F.col("v").alias("c")))).alias("m"))
-        state = heard.groupBy("v").agg(F.min("m").alias("m"))
-        for _ in range(growth - 1):
-            state = cut(state)
-            told = both.where("v <> u").select("v", "u").join(state.select(F.col("v").alias("u"), F.col("m").alias("mu")), "u")
-            told = told.select("v", F.struct((F.col("mu.t") + 1.0).alias("t"), F.col("mu.c").alias("c")).alias("m"))
-            state = state.union(told).groupBy("v").agg(F.min("m").alias("m"))
-        mapped = cut(state.select("v", F.col("m.c").alias("c")))
+        own, theirs = F.struct((-_shift(F.col("v"), F.col("level"))).alias("t"), F.col("v").alias("c")), F.struct((1.0 - _shift(F.col("u"), F.col("level"))).alias("t"), F.col("u").alias("c"))
+        state = cut(both.groupBy("v").agg(F.min(F.least(own, theirs)).alias("m")).withColumn("new", F.col("m.c") != F.col("v")))
+        while True:
+            # a broadcast, where few vertices changed, spares moving the edges
+            front = small_or_not(cut(state.where("new").select(F.col("v").alias("u"), F.col("m").alias("mu"))))
+            told = both.join(front, "u").select("v", F.struct((F.col("mu.t") + 1.0).alias("t"), F.col("mu.c").alias("c")).alias("m"), F.lit(False).alias("held"))
+            heard = state.select("v", "m", F.lit(True).alias("held")).union(told).groupBy("v").agg(F.min("m").alias("m"), F.min(F.when(F.col("held"), F.col("m"))).alias("old"))
+            state = cut(heard.select("v", "m", (F.col("m") < F.col("old")).alias("new")))
+            if state.where("new").isEmpty():
+                break
+        mapped = state.select("v", F.col("m.c").alias("c"))
         maps.append(mapped)
         ends = mapped.select(F.col("v").alias("b"), F.col("c").alias("cb"))
         next_live = live.where("a <> b").join(mapped.select(F.col("v").alias("a"), F.col("c").alias("ca")), "a").join(ends, "b")
         # a cluster may bear the name of a vertex that itself went elsewhere: the name is a super-vertex only
         next_live = next_live.where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), (F.col("level") + 1).alias("level")).distinct()
         live = cut(next_live)
-    else:
-        raise RuntimeError(f"edges are left after {max_levels} levels")
     # compose: names of the last level are roots; walk back, a super-vertex without an edge of its own is a root too
     roots: DataFrame | None = None
     for mapped in reversed(maps):
@@ -101,14 +131,15 @@ def component_roots(edges: DataFrame, src: str = "src", dst: str = "dst", growth
             roots = mapped.select("v", F.col("c").alias("root"))
             continue
         above = roots.select(F.col("v").alias("c"), "root")
-        roots = cut(mapped.join(above, "c", "left").select("v", F.coalesce("root", "c").alias("root")))
+        roots = cut(mapped.join(small_or_not(above), "c", "left").select("v", F.coalesce("root", "c").alias("root")))
     return roots
 
 
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts = [(x.column("a").to_numpy(), x.column("b").to_numpy()) for x in batches]
+    parts = [tuple(x.column(c).to_numpy() for c in ("a", "b", "level")) for x in batches if x.num_rows]
     if parts:
-        v, root = _decompose(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+        a, b, level = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        v, root = _decompose(a, b, int(level[0]))
         yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(root)], names=["v", "c"])
 
 
@@ -123,14 +154,15 @@ def observation_groups(trace: DataFrame, members: str, candidate: str, links: Co
     """(observation_id, group_id) from rows that list members; rows with the same candidate belong together.
 
     links: condition of the rows that link (a null condition doesn't). Every such row gives a star around its smallest member,
-    and an edge from there to a vertex for its candidate: linear in the members, never all pairs. Null and negative
-    members are dropped. Observation o is vertex 2 o, candidate c is vertex 2 c + 1.
+    and an edge from there to the smallest member of all rows with its candidate: linear in the members, never all pairs. Null and
+    negative members are dropped.
     """
     clean = F.array_distinct(F.filter(F.col(members), lambda x: x.isNotNull() & (x >= 0)))
-    rows = trace.where(F.coalesce(links, F.lit(False))).select(clean.alias("m"), F.col(candidate).cast("long").alias("c")).where(F.size("m") > 0).distinct()
-    centre = F.array_min("m") * 2
-    stars = rows.select(centre.alias("src"), F.explode("m").alias("o")).select("src", (F.col("o") * 2).alias("dst"))
-    ties = rows.where("c is not null").select(centre.alias("src"), (F.col("c") * 2 + 1).alias("dst"))
-    roots = cut(component_roots(stars.union(ties)).where(F.col("v") % 2 == 0))
+    rows = trace.where(F.coalesce(links, F.lit(False))).select(clean.alias("m"), F.col(candidate).alias("c")).where(F.size("m") > 0)
+    rows = rows.select(F.array_min("m").alias("src"), "m", "c")
+    least = rows.where("c is not null").groupBy("c").agg(F.min("src").alias("dst"))
+    ties = rows.where("c is not null").select("c", "src").distinct().join(least, "c").select("src", "dst")
+    stars = rows.select("src", F.explode("m").alias("dst"))
+    roots = cut(component_roots(stars.union(ties)))
     least = roots.groupBy("root").agg(F.min("v").alias("low"))
-    return roots.join(least, "root").select(F.shiftright("v", 1).alias("observation_id"), F.shiftright("low", 1).alias("group_id"))
+    return roots.join(least, "root").select(F.col("v").alias("observation_id"), F.col("low").alias("group_id"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scantable.common import cut
+from scantable.common import cut, small_or_not
 
 
 @dataclass(frozen=True)
@@ -24,16 +24,22 @@ class Plan:
     radius: int
 
 
-def calibrate(threshold: float, recall: float, largest_block: int = 0) -> Plan:
+def bits_for(block: int) -> int:
+    """Bits of a segment in a block of so many sets: unlike sets then meet a sixteenth of a time per segment and set."""
+    return min(31, max(8, math.ceil(math.log2(max(1, block))) + 4))
+
+
+def calibrate(threshold: float, recall: float, block: int | None = None) -> Plan:
     """The least number of segments and the least radius that keep a pair exactly at the threshold with the given recall.
 
     A one-bit minhash of two sets of Jaccard J agrees with probability (1 + J) / 2. The miss allowance is shared equally
     between: no segment agreeing in full (the pigeonhole step), and a Hamming distance beyond the radius. More
-    similar pairs are missed less often, equal sets never. At 0.8 and 0.9999: 49 segments of 16 bits. A segment has 16
-    bits, or 24 where a block has over 2**18 sets, so that unlike sets rarely meet; recall stays as it is.
+    similar pairs are missed less often, equal sets never. Segments have 16 bits, or as many as suit the size of the block
+    (bits_for): few sets need few bits, and so few segments. At 0.8 and 0.9999: 18 segments of 8 bits, 49 of 16, 120 of 24.
+    Recall is the same for all.
     """
     agree, miss = (1 + threshold) / 2, (1 - recall) / 2
-    bits = 16 if largest_block <= 1 << 18 else 24
+    bits = 16 if block is None else bits_for(block)
     if agree >= 1:
         return Plan(bits, 2, 0)
     segments = max(1, math.ceil(math.log(miss) / math.log1p(-(agree**bits))))
@@ -95,38 +101,45 @@ def similar_sets(df: DataFrame, id_col: str, block: list[str], values: Column, t
         has = has & F.col(b).isNotNull()
     clean = F.array_sort(F.array_distinct(F.filter(values, lambda x: x.isNotNull())))
     rows = df.where(has).select(F.col(id_col).alias("id"), *block, clean.alias("set")).where(F.size("set") > 0)
-    name = F.md5(F.to_json(F.struct(*block, "set"))).alias("name")
-    named = cut(rows.select(name, "id", *block, "set").groupBy("name", *block).agg(F.first("set").alias("set")))
+    # 128 bits stand for the set and its block
+    name = (F.xxhash64(F.lit(1), "set", *block).alias("name1"), F.xxhash64(F.lit(2), *block, "set").alias("name2"))
+    named = cut(rows.select(*name, *block, "set").groupBy("name1", "name2", *block).agg(F.first("set").alias("set")))
     # numbered over the written copy, so numbers are the same wherever they are used
     classes = named.withColumn("set_id", F.monotonically_increasing_id())
-    members = rows.select(name, "id").distinct().join(classes.select("name", "set_id"), "name").select("set_id", "id")
+    members = rows.select(*name, "id").distinct().join(classes.select("name1", "name2", "set_id"), ["name1", "name2"]).select("set_id", "id")
 
-    sizes = classes.groupBy(*block).count().agg(F.max("count").alias("n")).collect()
-    plan = calibrate(threshold, recall, sizes[0].n or 0)
+    sizes = cut(classes.groupBy(*block).agg(F.count(F.lit(1)).alias("in_block")))
+    blocked = classes.join(small_or_not(sizes), block) if block else classes.crossJoin(F.broadcast(sizes))
+    bits = F.least(F.lit(31), F.greatest(F.lit(8), F.ceil(F.log2(F.col("in_block").cast("double"))) + 4)).cast("int")
+    plans = {p.bits: p for p in (calibrate(threshold, recall, 1 << n) for n in range(28))}
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                sets = part.column("set")
-                flat, offsets = sets.flatten().to_numpy(), sets.offsets.to_numpy().astype(np.int64)
-                code = codes(flat, offsets - offsets[0], plan)
-                ends = np.arange(0, code.size + 1, plan.segments, dtype=np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(code.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("set_id"), pa.array(np.diff(offsets).astype(np.int32)), part.column("block"), lists], names=["set_id", "n", "block", "code"])
-
-    blocked = classes.select("set_id", F.xxhash64(*block).alias("block") if block else F.lit(0).cast("long").alias("block"), "set")
-    coded = cut(blocked.mapInArrow(encode, "set_id long, n int, block long, code array<int>"))
-    probes = coded.select("set_id", "n", "block", F.posexplode("code").alias("at", "bits"))
-    keyed = probes.select(F.xxhash64("block", "at", "bits").alias("key"), "set_id", "n")
+                wide = part.column("bits").to_numpy()
+                for width in np.unique(wide):
+                    plan, some = plans[int(width)], part.filter(pa.array(wide == width))
+                    sets = some.column("set")
+                    flat, offsets = sets.flatten().to_numpy(), sets.offsets.to_numpy().astype(np.int64)
+                    code = codes(flat, offsets - offsets[0], plan)
+                    ends = np.arange(0, code.size + 1, plan.segments, dtype=np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(code.ravel()))
+                    yield pa.RecordBatch.from_arrays([some.column("set_id"), pa.array(np.diff(offsets).astype(np.int32)), some.column("block"), some.column("bits"), lists], names=["set_id", "n", "block", "bits", "code"])
+
+    blocked = blocked.select("set_id", F.xxhash64(*block).alias("block") if block else F.lit(0).cast("long").alias("block"), bits.alias("bits"), "set")
+    coded = cut(blocked.mapInArrow(encode, "set_id long, n int, block long, bits int, code array<int>"))
+    probes = coded.select("set_id", "n", "block", F.posexplode("code").alias("at", "segment"))
+    keyed = probes.select(F.xxhash64("block", "at", "segment").alias("key"), "set_id", "n")
     left = keyed.toDF("key", "set_a", "na")
     right = keyed.toDF("key", "set_b", "nb")
     fit = (F.col("set_a") < F.col("set_b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * (threshold - 1e-9))
     pairs = left.join(right, "key").where(fit).select("set_a", "set_b").distinct()
     apart = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    code_a = coded.select(F.col("set_id").alias("set_a"), F.col("code").alias("ca"), F.col("block").alias("ba"))
+    radius = F.create_map(*[F.lit(x) for p in plans.values() for x in (p.bits, p.radius)])[F.col("bits")]
+    code_a = coded.select(F.col("set_id").alias("set_a"), F.col("code").alias("ca"), F.col("block").alias("ba"), "bits")
     code_b = coded.select(F.col("set_id").alias("set_b"), F.col("code").alias("cb"), F.col("block").alias("bb"))
-    close = pairs.join(code_a, "set_a").join(code_b, "set_b").where((F.col("ba") == F.col("bb")) & (apart <= plan.radius)).select("set_a", "set_b")
+    close = pairs.join(code_a, "set_a").join(code_b, "set_b").where((F.col("ba") == F.col("bb")) & (apart <= radius)).select("set_a", "set_b")
     set_a = classes.select(F.col("set_id").alias("set_a"), F.struct(*block, F.lit(0)).alias("ka"), F.col("set").alias("sa"))
     set_b = classes.select(F.col("set_id").alias("set_b"), F.struct(*block, F.lit(0)).alias("kb"), F.col("set").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
@@ -135,7 +148,7 @@ def similar_sets(df: DataFrame, id_col: str, block: list[str], values: Column, t
     limit = Fraction(str(threshold))
     fair = F.col("both").cast("long") * limit.denominator >= (F.col("sum") - F.col("both")).cast("long") * limit.numerator
     links = cut(checked.where(fair).select("set_a", "set_b", (F.col("both") / (F.col("sum") - F.col("both"))).alias("jaccard")))
-    return SimilarSets(classes.drop("name"), members, links)
+    return SimilarSets(classes.drop("name1", "name2"), members, links)
 
 
 def similar_pairs(found: SimilarSets) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from scantable.llm import components, setjoin
@@ -61,6 +62,35 @@ def test_calibration_holds():
     assert hit == segs == 60
 
 
+@pytest.mark.parametrize("block", [2, 100, 5000, 1 << 20])
+def test_recall_of_pairs_at_the_threshold(block):
+    plan = setjoin.calibrate(0.8, 0.9999, block)
+    rng = np.random.default_rng(block)
+    n, found = 300, 0
+    values, offsets = [], [0]
+    for _ in range(n):
+        shared = rng.integers(0, 2**40, 40)
+        for own in (rng.integers(0, 2**40, 5), rng.integers(0, 2**40, 5)):
+            values += [shared, own]
+            offsets.append(offsets[-1] + 45)
+    c = setjoin.codes(np.concatenate(values), np.array(offsets), plan)
+    for i in range(n):
+        a, b = c[2 * i], c[2 * i + 1]
+        found += bool((a == b).any() and sum(int(x).bit_count() for x in a ^ b) <= plan.radius)
+    assert found >= n - 1  # 0.9999 of them
+
+
+def test_blocks_of_different_sizes(spark):
+    rng = random.Random(5)
+    rows = []
+    for scene, n in (("large", 400), ("mid", 40), ("small", 3)):
+        for i in range(n):
+            base = random.Random(rng.randrange(n)).sample(range(1000), 30)
+            rows.append((len(rows), scene, [x for x in base if rng.random() > 0.06]))
+    df = spark.createDataFrame(rows, "id long, scene string, pts array<long>")
+    assert {(r.id_a, r.id_b) for r in setjoin.similar_pairs(setjoin.similar_sets(df, "id", ["scene"], F.col("pts"))).collect()} == _pairs(rows)
+
+
 def _loop(edges):
     root = {}
 
@@ -100,6 +130,22 @@ def test_groups_in_memory():
         assert {int(x): int(least[y]) for x, y in zip(v, r)} == _loop(edges)
 
 
+def test_both_forms_of_the_recursion_give_the_same_clusters(spark):
+    rng = random.Random(8)
+    edges = [(rng.randrange(500), rng.randrange(500)) for _ in range(420)]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    a, b = ({r.v: r.root for r in components.component_roots(df, base_edges=n).collect()} for n in (0, 10**6))
+    assert a == b
+    got = {r.x: r.s for r in spark.range(50).selectExpr("id - 9 AS x").select("x", components._shift(F.col("x"), F.lit(3).cast("long")).alias("s")).collect()}
+    assert np.array_equal(components.shifts(np.array(list(got)), 3), np.array(list(got.values())))
+
+
+def test_large_ids(spark):
+    top = 2**63 - 1
+    df = spark.createDataFrame([(1, -5, [top, top - 1]), (2, -5, [7]), (3, top, [8])], "t long, c long, m array<long>")
+    assert {r.observation_id: r.group_id for r in components.observation_groups(df, "m", "c", F.lit(True)).collect()} == {top: 7, top - 1: 7, 7: 7, 8: 8}
+
+
 def test_observation_groups(spark):
     rows = [(1, 5, "same", [3, 4, None, -1]), (1, 5, "same", [3, 4]), (2, None, "same", [4, 9]), (3, 5, "same", [20]), (4, None, "CONFLICT", [9, 30]), (5, 7, None, [40]), (6, 8, "same", []), (7, 8, "same", None), (8, 9, "conflict", [50])]
     df = spark.createDataFrame(rows, "trace_id long, c long, rel string, m array<long>")
