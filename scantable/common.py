@@ -55,7 +55,8 @@ def cut(df: DataFrame) -> DataFrame:
 
     The copy survives lost executors, and Spark's cleaner removes it with its last reference where
     spark.cleaner.referenceTracking.cleanCheckpoints is on. Constraints aren't carried over: in an iteration they would
-    double with every join, until planning takes longer than running. Sessions that set spark.sql.constraintPropagation.enabled
+    double with every join, until planning takes longer than running. Nor are estimated sizes once they are beyond all data: they multiply with
+    every join of a loop. Sessions that set spark.sql.constraintPropagation.enabled
     to false themselves, as local_session does, keep their settings untouched.
     """
     spark = df.sparkSession
@@ -63,14 +64,23 @@ def cut(df: DataFrame) -> DataFrame:
     setting = "spark.sql.constraintPropagation.enabled"
     before = spark.conf.get(setting)
     if before == "false":
-        return df.checkpoint(eager=True)
+        return _sized(df.checkpoint(eager=True))
     spark.conf.set(setting, "false")
     try:
-        return df.checkpoint(eager=True)
+        return _sized(df.checkpoint(eager=True))
     finally:
         spark.conf.set(setting, before)
 
 
+def _sized(df: DataFrame) -> DataFrame:
+    """A checkpoint without its estimated size, if that has over 62 bits."""
+    plan = df._jdf.queryExecution()
+    if plan.analyzed().stats().sizeInBytes() < 1 << 62:
+        return df
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.toRdd(), df._jdf.schema(), False), spark)
+
+
 def small_or_not(df: DataFrame, limit: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """df with a broadcast hint if it has at most limit rows and most_bytes bytes (counted, as JSON text), else df itself.
 
