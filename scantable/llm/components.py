@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,27 +10,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scantable.common import cut, small_or_not
+from scantable.common import BROADCAST_ROWS, cut, small_or_not
 
-#: Rate of the exponential shifts: on average a cluster gets a start 1 / RATE steps before the last one, which bounds its
-#: radius by O(log n / RATE) and cuts a share of about RATE of the edges.
-RATE = 0.2
+#: Rate of the exponential shifts, and where their distribution is cut off: clusters have a radius below LONGEST, which so is the most
+#: steps of a growth; about a share RATE of the edges is cut, and exp(-RATE * LONGEST) more where very many vertices are near.
+RATE, LONGEST = 0.4, 10
 #: Once so few edges are left (1.6 MB), the recursion goes on inside one task: the same shifts, the same growth, the same result.
 BASE_EDGES = 100_000
 
 _MASK = (1 << 52) - 1
+_SHARE = 1 - math.exp(-RATE * LONGEST)
 # fixed values: primes of the published 64-bit hash that Spark's xxhash64 is
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
 def _shift(v: Column, level: Column) -> Column:
-    """Exponentially distributed head start of a vertex, from its hash: the same in every task and on every run.
+    """Exponentially distributed head start of a vertex, up to LONGEST, from its hash: the same in every task and on every run.
 
     level is a column, not a literal: so all levels run the same generated code. Starts are rounded to 2**-20 of a step, so that sums
     of steps are exact and equal in both forms of the recursion.
     """
     unit = (F.xxhash64(level, v).bitwiseAND(F.lit(_MASK)).cast("double") + 0.5) / float(1 << 52)
-    return F.round(-F.log(unit) / RATE * float(1 << 20)) / float(1 << 20)
+    return F.round(-F.log(1.0 - unit * _SHARE) / RATE * float(1 << 20)) / float(1 << 20)
 
 
 def _rotated(x: np.ndarray, by: int) -> np.ndarray:
@@ -49,7 +51,7 @@ def shifts(values: np.ndarray, level: int) -> np.ndarray:
     """_shift() of many vertices in memory."""
     seed = hash64(np.array([level]), np.array([42], dtype=np.uint64))
     unit = ((hash64(values, seed) & np.uint64(_MASK)).astype(np.float64) + 0.5) / float(1 << 52)
-    return np.floor(-np.log(unit) / RATE * float(1 << 20) + 0.5) / float(1 << 20)
+    return np.floor(-np.log(1.0 - unit * _SHARE) / RATE * float(1 << 20) + 0.5) / float(1 << 20)
 
 
 def _decompose(a: np.ndarray, b: np.ndarray, level: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -79,13 +81,39 @@ def _decompose(a: np.ndarray, b: np.ndarray, level: int = 0) -> tuple[np.ndarray
         level += 1
 
 
+def _grown(both: DataFrame, state: DataFrame) -> DataFrame:
+    """(v, c): every vertex with the centre that reaches it first, from state (v, m: time and centre) after the first step.
+
+    In a step only vertices that changed tell their neighbours (both: v, u). As they get few, they are broadcast and what
+    they change is kept beside the state, which is rewritten only after steps that change much.
+    """
+    late: DataFrame | None = None  # changes since the state was written, one row a vertex
+    n_late, limit = 0, BROADCAST_ROWS // 2
+    front = state.where("m.c <> v")
+    while True:
+        tells = small_or_not(front.select(F.col("v").alias("u"), F.struct((F.col("m.t") + 1.0).alias("t"), F.col("m.c").alias("c")).alias("told")))
+        told = small_or_not(cut(both.join(tells, "u").groupBy("v").agg(F.min("told").alias("told"))))
+        now = state if late is None else state.join(F.broadcast(late), "v", "left").select("v", F.least("m", "later").alias("m"))
+        front = cut(now.join(told, "v").where("told < m").select("v", F.col("told").alias("m")))
+        n = front.count()
+        if not n:
+            break
+        if n_late + n <= limit:
+            new = front.select("v", F.col("m").alias("later"))
+            late = cut(new if late is None else late.union(new).groupBy("v").agg(F.min("later").alias("later")))
+            n_late += n
+        else:
+            state, late, n_late = cut(now.union(front).groupBy("v").agg(F.min("m").alias("m"))), None, 0
+    return cut(now.select("v", F.col("m.c").alias("c")))
+
+
 def component_roots(edges: DataFrame, src: str = "src", dst: str = "dst", base_edges: int | None = None) -> DataFrame:
     """(v, root): vertices have the same root if and only if they are linked over undirected edges. Vertices are BIGINT.
 
     Each level: every vertex starts growing a cluster at an exponentially shifted time; a vertex joins the cluster that
     reaches it first (the smaller centre on a tie). Clusters grow until no vertex is reached any earlier; after the first step,
-    whose times are hashes of the vertices, only vertices that changed tell their neighbours. So clusters have radius
-    O(log n / RATE) and about a share RATE of the edges is cut. Clusters are contracted to super-vertices, edges inside a
+    whose times are hashes of the vertices, only vertices that changed tell their neighbours. So clusters have a radius
+    below LONGEST and about a share RATE of the edges is cut. Clusters are contracted to super-vertices, edges inside a
     cluster vanish, the others are de-duplicated and the next level decomposes them. When no edge is left, assignments are composed from the
     last level back to the first. base_edges (BASE_EDGES): with so few edges left, the levels to come run in one task, with the same shifts and so the
     same result. Each level is written to the shared checkpoint folder: nothing is collected, and
@@ -108,16 +136,7 @@ def component_roots(edges: DataFrame, src: str = "src", dst: str = "dst", base_e
         both = live.select(F.col("a").alias("v"), F.col("b").alias("u"), "level").union(live.select(F.col("b").alias("v"), F.col("a").alias("u"), "level"))
         # step 1: each vertex hears its neighbours' start times, and its own
         own, theirs = F.struct((-_shift(F.col("v"), F.col("level"))).alias("t"), F.col("v").alias("c")), F.struct((1.0 - _shift(F.col("u"), F.col("level"))).alias("t"), F.col("u").alias("c"))
-        state = cut(both.groupBy("v").agg(F.min(F.least(own, theirs)).alias("m")).withColumn("new", F.col("m.c") != F.col("v")))
-        while True:
-            # a broadcast, where few vertices changed, spares moving the edges
-            front = small_or_not(cut(state.where("new").select(F.col("v").alias("u"), F.col("m").alias("mu"))))
-            told = both.join(front, "u").select("v", F.struct((F.col("mu.t") + 1.0).alias("t"), F.col("mu.c").alias("c")).alias("m"), F.lit(False).alias("held"))
-            heard = state.select("v", "m", F.lit(True).alias("held")).union(told).groupBy("v").agg(F.min("m").alias("m"), F.min(F.when(F.col("held"), F.col("m"))).alias("old"))
-            state = cut(heard.select("v", "m", (F.col("m") < F.col("old")).alias("new")))
-            if state.where("new").isEmpty():
-                break
-        mapped = state.select("v", F.col("m.c").alias("c"))
+        mapped = _grown(both, cut(both.groupBy("v").agg(F.min(F.least(own, theirs)).alias("m"))))
         maps.append(mapped)
         ends = mapped.select(F.col("v").alias("b"), F.col("c").alias("cb"))
         next_live = live.where("a <> b").join(mapped.select(F.col("v").alias("a"), F.col("c").alias("ca")), "a").join(ends, "b")
