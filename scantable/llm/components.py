@@ -95,7 +95,7 @@ def _grown(both: DataFrame, state: DataFrame) -> DataFrame:
         told = small_or_not(cut(both.join(tells, "u").groupBy("v").agg(F.min("told").alias("told"))))
         now = state if late is None else state.join(F.broadcast(late), "v", "left").select("v", F.least("m", "later").alias("m"))
         front = cut(now.join(told, "v").where("told < m").select("v", F.col("told").alias("m")))
-        n = front.count()
+        n = front.limit(limit + 1).count()
         if not n:
             break
         if n_late + n <= limit:
@@ -178,7 +178,7 @@ def observation_groups(trace: DataFrame, members: str, candidate: str, links: Co
     """
     clean = F.array_distinct(F.filter(F.col(members), lambda x: x.isNotNull() & (x >= 0)))
     rows = trace.where(F.coalesce(links, F.lit(False))).select(clean.alias("m"), F.col(candidate).alias("c")).where(F.size("m") > 0)
-    rows = rows.select(F.array_min("m").alias("src"), "m", "c")
+    rows = cut(rows.select(F.array_min("m").alias("src"), "m", "c"))
     least = rows.where("c is not null").groupBy("c").agg(F.min("src").alias("dst"))
     ties = rows.where("c is not null").select("c", "src").distinct().join(least, "c").select("src", "dst")
     stars = rows.select("src", F.explode("m").alias("dst"))
