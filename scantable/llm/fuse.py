@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row
@@ -12,12 +14,13 @@ from scantable.common import cut, same_name
 
 @dataclass(frozen=True)
 class Fused:
-    """chosen: one row per group; reliability: one row per source, in the last round; rounds: rounds until convergence."""
+    """chosen: one row per group; reliability: of each source, in the last round; rounds: those it took; converged: whether they settled."""
 
     chosen: DataFrame
     reliability: dict[int, float]
     sources: list[tuple[str | None, int]]
     rounds: int
+    converged: bool
 
 
 def discover_truth(
@@ -30,7 +33,7 @@ def discover_truth(
     id_col: str,
     discount: float = 0.25,
     floor: float = 0.5,
-    max_rounds: int = 10,
+    max_rounds: int = 100,
     tolerance: float = 1e-3,
     max_sources: int = 10_000,
 ) -> Fused:
@@ -44,7 +47,8 @@ def discover_truth(
     group's claims on this field by trust (sources: source name, trust_rank; names compare by letters and digits; a missing
     or unknown name ranks last), then recency, then id. The value with the largest sum of votes is chosen; a tie goes
     to the value of the earliest place. A source's reliability is then the share of its claims that were chosen, smoothed
-    towards 1 by ten claims, and not below floor. Rounds go on until no reliability moves by more than tolerance.
+    towards 1 by ten claims, and not below floor. Rounds go on until no reliability moves by more than tolerance; where max_rounds
+    don't do, converged is false and a warning says so. Sums of votes within 1e-9 are ties.
 
     discount = 1 is plain truth discovery: agreeing sources outvote trusted ones. With discount < floor / (1 + floor) the sum
     of all later votes stays below the first one: the prior order decides, and the rounds only measure the sources.
@@ -96,7 +100,7 @@ def discover_truth(
                 return F.aggregate(mine, F.lit(0.0), lambda a, x: a + x)
 
             # the largest support, and among equals the earliest place
-            return F.sort_array(F.transform(F.col(f), lambda c, i: F.struct(of(c).alias("s"), (-i).alias("place"))), asc=False)
+            return F.sort_array(F.transform(F.col(f), lambda c, i: F.struct(F.round(of(c), 9).alias("even"), (-i).alias("place"), of(c).alias("s"))), asc=False)
 
         out = groups.select("*", *[votes(f).alias(f"__w_{f}") for f in fields])
         out = out.select(*groups.columns, *[F.get(support(f), F.lit(0)).alias(f"__best_{f}") for f in fields], *[F.aggregate(f"__w_{f}", F.lit(0.0), lambda a, x: a + x).alias(f"__all_{f}") for f in fields])
@@ -106,7 +110,7 @@ def discover_truth(
         return F.transform(F.col(f), lambda c: F.struct(c["sid"].alias("sid"), (c["v"] == F.col(f"__won_{f}")["v"]).cast("int").alias("ok")))
 
     weights = {i: 1.0 for i in range(len(known))}
-    rounds = 0
+    rounds, converged, moved = 0, False, math.inf
     while rounds < max_rounds:
         rounds += 1
         claims = F.concat(*[judged_claims(f) for f in fields])
@@ -115,12 +119,15 @@ def discover_truth(
         new = {i: max(floor, (seen[i].ok + 10) / (seen[i].n + 10)) if i in seen else weights[i] for i in weights}
         moved = max(abs(new[i] - weights[i]) for i in new)
         weights = new
-        if moved <= tolerance or rounds >= max_rounds:
+        converged = moved <= tolerance
+        if converged:
             break
+    if not converged:
+        warnings.warn(f"reliabilities still moved by {moved} after {rounds} rounds", stacklevel=2)
     final = elect(weights)
     chosen = final.select(*key, "n_records", *[
         c
         for f in fields
         for c in (F.col(f"__won_{f}")["v"].alias(f), F.col(f"__won_{f}")["id"].alias(f"{f}_id"), (F.col(f"__sum_{f}") / F.nullif(F.col(f"__all_{f}"), F.lit(0.0))).alias(f"{f}_support"))
     ])
-    return Fused(chosen, weights, known, rounds)
+    return Fused(chosen, weights, known, rounds, converged)

@@ -7,7 +7,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,7 +59,7 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int = 2048, str
 
     An item longer than the capacity is cut into full containers and a rest, pieces 0, 1, ...; no other item is cut.
     Items are dealt to streams by the hash of (id, size) and packed there in hash order, so the result is the same on
-    every run and after a lost executor; only ids and sizes are shuffled. Ids are unique; were one repeated, each of its
+    every run and after a lost executor; a stream is one task, and only ids and sizes are shuffled. Ids are unique; were one repeated, each of its
     rows would be packed, in the same stream. The number of streams follows the number of items.
     An item of size 0, negative or null needs no room: one row with a null container. Empty in, empty out.
     """
@@ -69,16 +68,16 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int = 2048, str
     at_hash = F.xxhash64(F.lit(seed), F.col(id_col), F.col(size_col))
     dealt = items.select(F.col(id_col).alias("id"), F.coalesce(F.col(size_col), F.lit(0)).cast("long").alias("size"), at_hash.alias("h"))
     # equal rows have equal hashes; they differ by nothing that could tell them apart, so any order of them is the same
-    dealt = dealt.repartition(streams, F.pmod("h", F.lit(streams))).sortWithinPartitions("h", "id", "size")
+    dealt = dealt.withColumn("stream", F.pmod("h", F.lit(streams)).cast("int")).repartitionById(streams, "stream").sortWithinPartitions("stream", "h", "id", "size")
     id_type = items.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        boxes: SumOfSquares | None = None
-        base = TaskContext.get().partitionId() << 40
+        boxes, stream = SumOfSquares(capacity), -1
         for batch in batches:
-            boxes = boxes or SumOfSquares(capacity)
             ids, pieces, where, offsets, sizes = [], [], [], [], []
-            for row, size in enumerate(batch.column("size").to_pylist()):
+            for row, (size, own) in enumerate(zip(batch.column("size").to_pylist(), batch.column("stream").to_pylist())):
+                if own != stream:  # each stream has containers of its own, wherever it is packed
+                    boxes, stream = SumOfSquares(capacity), own
                 if size <= 0:
                     rest = [(0, None, None, 0)]
                 else:
@@ -86,7 +85,7 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int = 2048, str
                     while size > 0:
                         part = min(size, capacity)
                         box, at = boxes.place(part)
-                        rest.append((piece, base + box, at, part))
+                        rest.append((piece, (stream << 40) + box, at, part))
                         size, piece = size - part, piece + 1
                 for piece, box, at, part in rest:
                     ids.append(row)

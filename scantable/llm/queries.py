@@ -20,12 +20,16 @@ from scantable.llm.truncation import cut_rates, cut_texts
 
 CANDIDATES = "backprojection_candidates"
 KEY = ["scene_name", "candidate_id"]
+#: Class names taken into the plan as literals; more are an error, not a shorter list.
+MOST_CLASSES = 10_000
 
 
 def _fused(spark: SparkSession, sf_dir: str, **how: float) -> Fused:
     rows = table(spark, sf_dir, CANDIDATES)
-    # 48 rows of a fixed dimension table; beyond that many names a join would be due
-    names = [r.k for r in table(spark, sf_dir, "classes").select(same_name("name").alias("k")).where("k is not null").distinct().limit(10_000).collect()]
+    # a fixed dimension table of 48 rows
+    names = [r.k for r in table(spark, sf_dir, "classes").select(same_name("name").alias("k")).where("k is not null").distinct().limit(MOST_CLASSES + 1).collect()]
+    if len(names) > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} class names")
     fields = {
         "class_name": F.when(same_name("class_name").isin(names), same_name("class_name")),
         "score": usable_score("score"),
@@ -43,7 +47,15 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_outvoted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The surviving records of plain truth discovery: agreeing sources outvote trusted ones."""
-    return _fused(spark, sf_dir, discount=1.0, floor=0.05).chosen
+    chosen = _fused(spark, sf_dir, discount=1.0, floor=0.05).chosen
+    return chosen.withColumns({c: F.round(c, 9) for c in chosen.columns if c.endswith("_support")})
+
+
+def p1_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources with their reliability after the last round of plain truth discovery, and whether the rounds settled."""
+    fused = _fused(spark, sf_dir, discount=1.0, floor=0.05)
+    rows = [(name, rank, float(fused.reliability[i]), fused.rounds, fused.converged) for i, (name, rank) in enumerate(fused.sources)]
+    return spark.createDataFrame(rows, "source string, trust_rank long, reliability double, rounds int, converged boolean")
 
 
 def _capped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list]:
@@ -111,34 +123,44 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_report(p8_packed(spark, sf_dir))
 
 
-def _mixture(spark: SparkSession, sf_dir: str) -> Mixture:
-    return poisson_mix(_sizes(spark, sf_dir, ["doc_id", "source"]), table(spark, sf_dir, "mix_targets"), "doc_id", "source", "n_tokens")
+def _mixture(spark: SparkSession, sf_dir: str, total: str | None = "targeted") -> Mixture:
+    """total: tokens aimed at - those of all texts of sources with a target, those of the whole corpus, or as many as keep all shares (None)."""
+    sizes, targets = _sizes(spark, sf_dir, ["doc_id", "source"]), table(spark, sf_dir, "mix_targets")
+    aim = None
+    if total is not None:
+        counted = sizes.join(F.broadcast(targets.where("target_share > 0").select("source")), "source", "left_semi") if total == "targeted" else sizes
+        aim = float(counted.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first().n)
+    return poisson_mix(sizes, targets, "doc_id", "source", "n_tokens", total=aim)
 
 
 def p9_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chosen texts, each copy a row, in shuffled order."""
+    """The chosen texts, each copy a row, in shuffled order; as many tokens as the targeted sources have, scarce ones stop at max_repeats."""
     return _mixture(spark, sf_dir).rows.withColumnRenamed("id", "doc_id")
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target and actual shares of the sources."""
+    """Target and actual shares of the sources in p9_mixed."""
     return _mixture(spark, sf_dir).shares
 
 
-def _corpus_mixture(spark: SparkSession, sf_dir: str) -> Mixture:
-    sizes = _sizes(spark, sf_dir, ["doc_id", "source"])
-    total = sizes.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first().n
-    return poisson_mix(sizes, table(spark, sf_dir, "mix_targets"), "doc_id", "source", "n_tokens", total=float(total))
+def p9_even(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen texts of a mixture only as large as its scarcest source allows, so that no share falls short."""
+    return _mixture(spark, sf_dir, None).rows.withColumnRenamed("id", "doc_id")
+
+
+def p9_even_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual shares of the sources in p9_even."""
+    return _mixture(spark, sf_dir, None).shares
 
 
 def p9_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chosen texts of a mixture that aims at as many tokens as all documents have: scarce sources stop at max_repeats."""
-    return _corpus_mixture(spark, sf_dir).rows.withColumnRenamed("id", "doc_id")
+    """The chosen texts of a mixture that aims at as many tokens as all documents have, those without a target among them."""
+    return _mixture(spark, sf_dir, "corpus").rows.withColumnRenamed("id", "doc_id")
 
 
 def p9_corpus_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and actual shares of that mixture: scarce sources fall short."""
-    return _corpus_mixture(spark, sf_dir).shares
+    return _mixture(spark, sf_dir, "corpus").shares
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +176,34 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> query."""
-    return {f.__name__: f for f in (p1_found, p1_outvoted, p3_found, p3_nested, p3_shares, p5_found, p5_links, p6_found, p7_found, p8_packed, p8_fill, p9_mixed, p9_shares, p9_corpus, p9_corpus_shares, p10_found, p10_rates)}
+    return {f.__name__: f for f in (p1_found, p1_outvoted, p1_sources, p3_found, p3_nested, p3_shares, p5_found, p5_links, p6_found, p7_found, p8_packed, p8_fill, p9_mixed, p9_shares, p9_even, p9_even_shares, p9_corpus, p9_corpus_shares, p10_found, p10_rates)}
+
+
+def _outvoted_sql(name: Callable[[str], str], usable: str, rounds: int = 14) -> str:
+    """Plain truth discovery with its rounds written out one by one; a round after the last one needed changes nothing."""
+    fields = {"class_name": "cn", "score": "CAST(s AS VARCHAR)", "support_view_count": "CAST(v AS VARCHAR)"}
+    claims = " UNION ALL ".join(f"SELECT '{f}' AS f, scene_name, candidate_id, sid, rank, exported_at AS ts, record_id AS id, {v} AS val FROM r WHERE {v} IS NOT NULL" for f, v in fields.items())
+    steps = ["w0 AS MATERIALIZED (SELECT sid, 1.0::DOUBLE AS w, false AS done FROM src)"]
+
+    def won(i: int) -> str:
+        sums = f"SELECT f, scene_name, candidate_id, val, sum(w) AS s, min(place) AS place FROM c JOIN w{i} USING (sid) GROUP BY 1, 2, 3, 4"
+        return f"SELECT f, scene_name, candidate_id, first(val ORDER BY round(s, 9) DESC, place) AS val, first(s ORDER BY round(s, 9) DESC, place) AS s, sum(s) AS total FROM ({sums}) GROUP BY 1, 2, 3"
+
+    for i in range(rounds):
+        steps.append(f"j{i} AS MATERIALIZED (SELECT sid, count(*) AS n, count(*) FILTER (WHERE c.val = x.val) AS ok FROM c JOIN ({won(i)}) x USING (f, scene_name, candidate_id) GROUP BY 1)")
+        steps.append(f"n{i} AS MATERIALIZED (SELECT sid, w, done, CASE WHEN n IS NULL THEN w ELSE greatest(0.05, (ok + 10) / (n + 10)::DOUBLE) END AS new FROM w{i} LEFT JOIN j{i} USING (sid))")
+        steps.append(f"w{i + 1} AS MATERIALIZED (SELECT sid, CASE WHEN done THEN w ELSE new END AS w, done OR (SELECT max(abs(new - w)) FROM n{i}) <= 1e-3 AS done FROM n{i})")
+    each = ", ".join(f"max(CASE WHEN f = '{f}' THEN id END) AS {f}_id, max(CASE WHEN f = '{f}' THEN val END) AS {f}_t, max(CASE WHEN f = '{f}' THEN s / nullif(total, 0) END) AS {f}_support" for f in fields)
+    return f"""WITH k AS (SELECT {name('source_kind')} AS sk, min(trust_rank) AS rank FROM source_kinds GROUP BY 1), cl AS (SELECT DISTINCT {name('name')} AS cn FROM classes), src AS (SELECT sk AS sid FROM k WHERE sk IS NOT NULL UNION ALL SELECT ''),
+        r AS (SELECT b.scene_name, b.candidate_id, b.record_id, b.exported_at, coalesce(k.sk, '') AS sid, coalesce(k.rank, (SELECT max(rank) + 1 FROM k)) AS rank, cl.cn, {usable} AS s, CASE WHEN support_view_count >= 1 THEN support_view_count END AS v
+            FROM backprojection_candidates b LEFT JOIN k ON k.sk = {name('b.source_kind')} LEFT JOIN cl ON cl.cn = {name('b.class_name')} WHERE scene_name IS NOT NULL AND candidate_id IS NOT NULL),
+        g AS (SELECT scene_name, candidate_id, count(*) AS n_records FROM r GROUP BY 1, 2 HAVING count(*) > 1),
+        a AS (SELECT *, row_number() OVER (PARTITION BY f, scene_name, candidate_id, sid ORDER BY ts DESC NULLS LAST, id DESC) AS i FROM ({claims}) JOIN g USING (scene_name, candidate_id)),
+        c AS MATERIALIZED (SELECT f, scene_name, candidate_id, sid, id, val, row_number() OVER (PARTITION BY f, scene_name, candidate_id ORDER BY rank, ts DESC NULLS LAST, id DESC) AS place FROM a WHERE i = 1),
+        {', '.join(steps)}, x AS ({won(rounds)}), y AS (SELECT x.*, (SELECT arg_min(c.id, c.place) FROM c WHERE c.f = x.f AND c.scene_name = x.scene_name AND c.candidate_id = x.candidate_id AND c.val = x.val) AS id FROM x),
+        z AS (SELECT scene_name, candidate_id, {each} FROM y GROUP BY 1, 2)
+        SELECT scene_name, candidate_id, n_records, class_name_t AS class_name, class_name_id, round(class_name_support, 9) AS class_name_support, CAST(score_t AS DOUBLE) AS score, score_id, round(score_support, 9) AS score_support,
+            CAST(support_view_count_t AS INT) AS support_view_count, support_view_count_id, round(support_view_count_support, 9) AS support_view_count_support FROM g LEFT JOIN z USING (scene_name, candidate_id)"""
 
 
 _NAME = r"nullif(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]', '', 'g'), '')"
@@ -176,6 +225,7 @@ def oracle_sql() -> dict[str, str]:
                 FROM backprojection_candidates b LEFT JOIN k ON k.sk = {name('b.source_kind')} LEFT JOIN c ON c.cn = {name('b.class_name')})
             SELECT scene_name, candidate_id, {pick.format('cn', 'class_record_id')}, {pick.format('s', 'score_record_id')}, {pick.format('v', 'views_record_id')}
             FROM r GROUP BY 1, 2 HAVING count(*) > 1""",
+        "p1_outvoted": _outvoted_sql(name, usable),
         "p3_found": f"SELECT record_id FROM (SELECT record_id, row_number() OVER (PARTITION BY scene_name, source {order}) AS n FROM ({capped})) WHERE n > 20",
         "p3_nested": f"""SELECT record_id, scene_name FROM (SELECT *, row_number() OVER (PARTITION BY scene_name {order}) AS m FROM
             (SELECT *, row_number() OVER (PARTITION BY scene_name, source {order}) AS n FROM ({capped})) WHERE n <= 20) WHERE m <= 60""",

@@ -5,17 +5,20 @@ from __future__ import annotations
 import base64
 import functools
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
 #: Where the vocabulary files are; a parameter everywhere.
 VOCABULARY = os.environ.get("SCANTABLE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
-#: Characters a tokenizer gets at once: pre-tokens of enormous length cost quadratic time, so white space is looked for first.
+#: Characters a tokenizer gets at once, as a rule: pre-tokens of enormous length cost quadratic time.
 PIECE = 100_000
+# where a pre-token surely ends, whatever comes before and behind: ahead of white space, and behind a run of letters or of digits
+_END = r"(?<=\S)(?=\s)|(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})"
+_LAST_END, _NEXT_END = regex.compile("(?r)" + _END), regex.compile(_END)
 
 
 @functools.lru_cache(maxsize=4)
@@ -38,9 +41,11 @@ def count_tokens(text: str | None, path: str = VOCABULARY) -> int:
         return len(enc.encode_ordinary(text))
     total, at = 0, 0
     while at < len(text):
-        end = min(len(text), at + PIECE)
-        if end < len(text) and (space := [m.start() for m in re.finditer(r"(?<=\S)\s", text[max(at + 1, end - 1000) : end])]):
-            end = max(at + 1, end - 1000) + space[-1]
+        end = len(text)
+        if end - at > PIECE:
+            # the last certain end within the piece, else the next one behind it: the sum is that of the whole text
+            found = _LAST_END.search(text, at + 1, at + PIECE) or _NEXT_END.search(text, at + PIECE)
+            end = found.start() if found else end
         total += len(enc.encode_ordinary(text[at:end]))
         at = end
     return total

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -13,25 +13,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Rows of one group a merging task holds before it merges what it has into one run; n more come on top.
+HELD = 1 << 16
+
+
 class LoserTree:
-    """k-way merge of sorted sequences: each inner node holds the loser of its match, so a step costs log2(k) compares."""
+    """k-way merge of sorted sequences: each inner node holds the loser of its match, so a step costs log2(k) compares.
+
+    Only the heads are read from the sequences: an item is looked at once, when it becomes the head of its run.
+    """
 
-    def __init__(self, runs: list[list]):
+    def __init__(self, runs: list[Sequence]):
         self.runs = runs
         self.at = [0] * len(runs)
+        self.heads = [run[0] if len(run) else None for run in runs]
         self.size = 1
         while self.size < max(1, len(runs)):
             self.size *= 2
         self.nodes = [-1] * self.size
         self.winner = self._play(1)
 
-    def _head(self, run: int):
-        if run < 0 or run >= len(self.runs) or self.at[run] >= len(self.runs[run]):
-            return None
-        return self.runs[run][self.at[run]]
-
     def _beats(self, a: int, b: int) -> bool:
-        x, y = self._head(a), self._head(b)
+        x = self.heads[a] if 0 <= a < len(self.heads) else None
+        y = self.heads[b] if 0 <= b < len(self.heads) else None
         return x is not None and (y is None or x < y or (x == y and a < b))
 
     def _play(self, node: int) -> int:
@@ -47,10 +51,11 @@ class LoserTree:
     def pop(self):
         """The smallest head over all runs, or None at the end."""
         run = self.winner
-        head = self._head(run)
+        head = self.heads[run] if run < len(self.heads) else None
         if head is None:
             return None
         self.at[run] += 1
+        self.heads[run] = self.runs[run][self.at[run]] if self.at[run] < len(self.runs[run]) else None
         node = (run + self.size) // 2
         while node >= 1:
             if self._beats(self.nodes[node], run):
@@ -60,6 +65,55 @@ class LoserTree:
         return head
 
 
+class _Run(Sequence):
+    """Rows start to end of a table as (key, row), made when they are asked for."""
+
+    def __init__(self, columns: list[list], start: int, end: int):
+        self.columns, self.start, self.end = columns, start, end
+
+    def __len__(self) -> int:
+        return self.end - self.start
+
+    def __getitem__(self, i: int) -> tuple:
+        row = self.start + i
+        return tuple(c[row] for c in self.columns), row
+
+
+class _Reversed:
+    """Turns the order of a value round."""
+
+    __slots__ = ("v",)
+
+    def __init__(self, v):
+        self.v = v
+
+    def __lt__(self, other: _Reversed) -> bool:
+        return other.v < self.v
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, _Reversed) and other.v == self.v
+
+
+def order_keys(column: pa.ChunkedArray | pa.Array, down: bool) -> list[list]:
+    """Two columns that compare as Spark orders the values: nulls last, NaN above all numbers, -0.0 as 0.0, texts by bytes."""
+    kind, empty = column.type, column.is_null().to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.is_null().to_numpy()
+    if pa.types.is_floating(kind):
+        x = np.asarray(column.cast(pa.float64()).to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.cast(pa.float64()).to_numpy(), dtype=np.float64) + 0.0
+        bits = np.where(np.isnan(x), np.float64(np.nan), x).view(np.int64)
+        bits = np.where(np.isnan(x), np.iinfo(np.int64).max, np.where(bits < 0, bits ^ np.iinfo(np.int64).max, bits))
+        values = (~bits if down else bits).tolist()
+    elif pa.types.is_integer(kind) or pa.types.is_boolean(kind) or pa.types.is_temporal(kind):
+        whole = column.cast(pa.int32() if pa.types.is_date32(kind) else pa.int64()) if not pa.types.is_boolean(kind) else column.cast(pa.int8())
+        x = pc.fill_null(whole, 0).to_numpy(zero_copy_only=False) if isinstance(whole, pa.Array) else pc.fill_null(whole, 0).to_numpy()
+        values = (~x if down else x).tolist()
+    else:
+        texts = pa.types.is_string(kind) or pa.types.is_large_string(kind)
+        values = column.cast(pa.binary()).to_pylist() if texts else column.to_pylist()
+        if down:
+            values = [_Reversed(v) for v in values]
+    return [empty.tolist(), [None if e else v for e, v in zip(empty, values)] if empty.any() else values]
+
+
 def _changes(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
     """Row numbers at which a new group starts (0 included)."""
     n = batch.num_rows
@@ -69,27 +123,46 @@ def _changes(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
         col = batch.column(name)
         a, b = col.slice(0, n - 1), col.slice(1)
         same = pc.fill_null(pc.equal(a, b), False).to_numpy(zero_copy_only=False)
+        if pa.types.is_floating(col.type):
+            nan = pc.fill_null(pc.is_nan(col), False).to_numpy(zero_copy_only=False)
+            same = same | (nan[1:] & nan[:-1])
         nulls = col.is_null().to_numpy(zero_copy_only=False)
         new[1:] |= ~(same | (nulls[1:] & nulls[:-1]))
     return np.flatnonzero(new)
 
 
 def _key(batch: pa.RecordBatch, names: list[str], row: int) -> tuple:
-    return tuple(batch.column(n)[row].as_py() for n in names)
+    """The group of a row; NaN is itself here."""
+    return tuple("NaN" if isinstance(v, float) and v != v else v for v in (batch.column(n)[row].as_py() for n in names))
+
+
+def seek(batch: pa.RecordBatch, names: list[str], key: tuple) -> int:
+    """The first row of a sorted batch behind the rows of a group it begins with, by bisection."""
+    if _key(batch, names, batch.num_rows - 1) == key:
+        return batch.num_rows
+    low, high = 0, batch.num_rows - 1  # row high is of another group
+    while low < high:
+        mid = (low + high) // 2
+        if _key(batch, names, mid) == key:
+            low = mid + 1
+        else:
+            high = mid
+    return low
 
 
 def top_n(df: DataFrame, group: list[str], order: list[tuple[str, bool]], n: int) -> DataFrame:
     """The first n rows of every group, by order: (column, descending) pairs, ended by a unique id.
 
     1. Run building: every map task sorts its rows by (group, order) - one run - and writes at most n rows of a
-       group, seeking to the next group after them. A group holding a third of all rows so gives at most n rows a task.
+       group; then it seeks to the next group, by whole batches and bisection. A group holding a third of all rows so gives at most n
+       rows a task.
     2. Runs are bucketed by the hash of the group; in a bucket, the runs of a group are merged with a loser tree,
-       which stops after n outputs and seeks to the next group. Groups stream through: a task never holds more than
-       one group's run heads.
+       which stops after n outputs and seeks to the next group. As the runs of a group arrive one behind the other, they are
+       merged into one of n rows whenever HELD or 2 n rows are there: a task holds so much of one group, however many runs it has.
 
-    Nulls: a null group is a group of its own; a null order value sorts last, ascending or descending. Rows equal in
-    all order columns are the same row to this operator: each copy counts. Extra columns are kept. Empty in, empty
-    out. n < 1 gives no row.
+    Nulls: a null group is a group of its own, so is NaN; a null order value sorts last, ascending or descending, NaN above all
+    numbers. Rows equal in all order columns are the same row to this operator: each copy counts. Extra columns are kept.
+    Empty in, empty out. n < 1 gives no row.
     """
     if n < 1:
         return df.limit(0)
@@ -103,6 +176,8 @@ def top_n(df: DataFrame, group: list[str], order: list[tuple[str, bool]], n: int
         run = TaskContext.get().partitionId()
         last, used = None, 0
         for batch in batches:
+            if batch.num_rows and last is not None and used >= n and _key(batch, group, 0) == last:
+                batch = batch.slice(seek(batch, group, last))
             if not batch.num_rows:
                 continue
             starts = _changes(batch, group)
@@ -114,82 +189,64 @@ def top_n(df: DataFrame, group: list[str], order: list[tuple[str, bool]], n: int
             keep = np.flatnonzero(pos < n)
             if not len(keep):
                 continue
-            part = batch.take(pa.array(keep))
+            part = batch.take(pa.array(keep)) if len(keep) < batch.num_rows else batch
             yield pa.RecordBatch.from_arrays(
                 [*part.columns, pa.array(np.full(len(keep), run, dtype=np.int64)), pa.array(pos[keep].astype(np.int64))],
                 names=[*cols, "__run", "__at"],
             )
 
-    def rank_keys(tab: pa.Table) -> list[tuple]:
-        """Sort keys that compare like the order, as tuples with nulls last."""
-        keys = []
-        for c, down in order:
-            values = tab.column(c).to_pylist()
-            if down and not isinstance(next((v for v in values if v is not None), 0), (int, float)):
-                values = [None if v is None else _Reversed(v) for v in values]
-            elif down:
-                values = [None if v is None else -v for v in values]
-            keys.append([(1,) if v is None else (0, v) for v in values])
-        return list(zip(*keys))
-
-    def merge_group(tab: pa.Table) -> np.ndarray:
-        if tab.num_rows <= 1:
-            return np.arange(min(n, tab.num_rows))
+    def merged(tab: pa.Table) -> pa.Table:
+        """The first n rows of a group whose runs lie behind one another."""
         run = tab.column("__run").to_numpy()
         starts = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
-        if len(starts) == 1:
-            return np.arange(min(n, tab.num_rows))
-        keys = rank_keys(tab)
-        ends = np.append(starts[1:], tab.num_rows)
-        tree = LoserTree([[(keys[i], i) for i in range(s, e)] for s, e in zip(starts, ends)])
+        if len(starts) <= 1:
+            return tab.slice(0, n)
+        columns = [k for c, down in order for k in order_keys(tab.column(c).combine_chunks(), down)]
+        tree = LoserTree([_Run(columns, s, e) for s, e in zip(starts.tolist(), [*starts[1:].tolist(), tab.num_rows])])
         picked = []
         while len(picked) < n and (head := tree.pop()) is not None:
             picked.append(head[1])
-        return np.array(picked)
+        return tab.take(pa.array(picked))
+
+    def one_run(tab: pa.Table) -> pa.Table:
+        """What is held of a group as one run, numbered so that it is none of those to come."""
+        out = merged(tab)
+        return out.set_column(out.column_names.index("__run"), "__run", pa.array(np.full(out.num_rows, -1, dtype=np.int64)))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
+        held: list[pa.Table] = []  # of the group that may go on
+        rows, last = 0, None
 
-        def flush(tab: pa.Table) -> Iterator[pa.RecordBatch]:
-            whole = tab.combine_chunks()
-            batch = whole.to_batches()[0]
-            starts = _changes(batch, group)
-            ends = np.append(starts[1:], batch.num_rows)
-            picked = [merge_group(whole.slice(s, e - s)) + s for s, e in zip(starts, ends)]
-            yield from whole.take(pa.array(np.concatenate(picked))).select(cols).combine_chunks().to_batches()
+        def out(tabs: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+            if tabs:
+                yield from pa.concat_tables(tabs).select(cols).combine_chunks().to_batches()
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             tab = pa.Table.from_batches([batch])
-            rest = tab if rest is None else pa.concat_tables([rest, tab])
-            rest = rest.combine_chunks()
-            final = int(_changes(rest.to_batches()[0], group)[-1])
-            if final:  # the last group may go on in the next batch
-                yield from flush(rest.slice(0, final))
-                rest = rest.slice(final)
-        if rest is not None and rest.num_rows:
-            yield from flush(rest)
+            starts = _changes(batch, group)
+            ends = np.append(starts[1:], batch.num_rows)
+            done: list[pa.Table] = []
+            for s, e in zip(starts.tolist(), ends.tolist()):
+                if s or (held and _key(batch, group, 0) != last):
+                    if held:
+                        done.append(merged(pa.concat_tables(held)))
+                    held, rows = [], 0
+                held.append(tab.slice(s, e - s))
+                rows += e - s
+            last = _key(batch, group, batch.num_rows - 1)
+            if rows > max(HELD, 2 * n):
+                held = [one_run(pa.concat_tables(held))]
+                rows = held[0].num_rows
+            yield from out(done)
+        if held:
+            yield from out([merged(pa.concat_tables(held))])
 
     runs = df.sortWithinPartitions(*sort).mapInArrow(build, run_schema)
     bucket = [F.col(g) for g in group]
-    merged = runs.repartition(*bucket).sortWithinPartitions(*[b.asc_nulls_first() for b in bucket], "__run", "__at")
-    return merged.mapInArrow(merge, out_schema)
-
-
-class _Reversed:
-    """Turns the order of a value round."""
-
-    __slots__ = ("v",)
-
-    def __init__(self, v):
-        self.v = v
-
-    def __lt__(self, other: _Reversed) -> bool:
-        return other.v < self.v
-
-    def __eq__(self, other: object) -> bool:
-        return isinstance(other, _Reversed) and other.v == self.v
+    bucketed = runs.repartition(*bucket).sortWithinPartitions(*[b.asc_nulls_first() for b in bucket], "__run", "__at")
+    return bucketed.mapInArrow(merge, out_schema)
 
 
 def best_records(df: DataFrame, score: Column, n: int = 10) -> DataFrame:

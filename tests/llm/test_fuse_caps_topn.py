@@ -5,6 +5,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scantable.llm.caps import Level, beyond_caps, laminar_caps
@@ -154,3 +155,34 @@ def test_top_n_small_batches_strings_and_empty(spark):
         assert top_n(twice, ["g"], [("id", False)], 5).count() == 2
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_top_n_orders_nan_infinity_and_zero_as_spark_does(spark):
+    rng = random.Random(12)
+    pool = [None, float("nan"), float("inf"), float("-inf"), 0.0, -0.0, 1.0, -2.5]
+    rows = [(rng.choice(["a", "a", "b"]), rng.choice(pool), rng.choice([None, "x", "yy", "é"]), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, s double, t string, id long").repartition(8)
+    for down in (True, False):
+        order = [F.col("s").desc_nulls_last() if down else F.col("s").asc_nulls_last(), F.col("t").desc_nulls_last(), F.col("id")]
+        want = df.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy(*order))).where("n <= 60")
+        got = top_n(df, ["g"], [("s", down), ("t", True), ("id", False)], 60)
+        assert {r.id for r in got.collect()} == {r.id for r in want.collect()}
+
+
+def test_top_n_merges_a_large_group_in_parts(spark, monkeypatch):
+    monkeypatch.setattr("scantable.llm.topn.HELD", 8)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.range(500).select((F.col("id") * 37 % 500).alias("id"), (F.col("id") % 3 == 0).cast("int").alias("g"), (F.col("id") % 11).cast("double").alias("s")).repartition(9)
+        want = df.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("s"), "id"))).where("n <= 40")
+        got = [r.id for r in top_n(df, ["g"], [("s", True), ("id", False)], 40).collect()]
+        assert sorted(got) == sorted(r.id for r in want.collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_fuse_says_whether_it_settled(spark):
+    df = spark.createDataFrame(list(_records(300, 5)), RECORD)
+    assert _fuse(spark, df, discount=1.0, floor=0.05).converged
+    with pytest.warns(UserWarning, match="still moved"):
+        assert not _fuse(spark, df, discount=1.0, floor=0.05, max_rounds=1, tolerance=1e-12).converged

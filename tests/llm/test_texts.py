@@ -141,3 +141,18 @@ def test_copies_that_go_on():
     assert truncation.goes_on(" ".join(short.split()[-9:]), long, len(short))
     assert not truncation.goes_on(" ".join(long.split()[-9:]), long, len(long))
     assert not truncation.goes_on("a b", long, 3)
+
+
+def test_streams_are_tasks(spark):
+    df = spark.range(20_000).select("id", (F.col("id") * 7919 % 900 + 1).alias("size"))
+    got = packing.pack(df, "id", "size", 2048, stream_items=2000)
+    by_task = {r.p: r.n for r in got.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert len(by_task) == 10 and max(by_task.values()) < 2300
+    assert packing.fill_report(got).first().mean_fill > 0.97  # streams a tenth as long as usual
+
+
+@pytest.mark.parametrize("text", ["word " * 900, "x" * 5000, "ab1" * 2000, "\u4e2d\u6587" * 2000, "it's 12'34 don't " * 300, "a\n\n  b" * 900 + " " * 50, "''s'd" * 1500])
+def test_pieces_count_as_the_whole(text, monkeypatch):
+    whole = tokens.count_tokens(text)
+    monkeypatch.setattr(tokens, "PIECE", 97)
+    assert tokens.count_tokens(text) == whole > 0
