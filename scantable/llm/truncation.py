@@ -2,27 +2,28 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
-import zlib
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scantable.common import cut
+from scantable.common import cut, small_or_not
 
 #: Words of a shingle, hash functions, and rows of a band: a pair of similarity 0.8 shares a band with probability 0.9998.
 SHINGLE, HASHES, ROWS = 5, 64, 4
 #: Whole words before a text's last one that a longer copy must hold, and the fewest of a shorter text.
 TAIL, LEAST_TAIL = 8, 3
-#: Bits of the bitmap that spares runs of words nobody asks for the way through Spark.
+#: Bits of the bitmaps that spare runs and contexts nobody asks for the way through Spark.
 SIEVE = 1 << 24
-#: Copies of this similarity or more are aligned.
-SIMILAR = 0.8
+#: Copies share so much of the union of their shingles, as a fraction.
+SIMILAR = (8, 10)
 #: A text whose closing word ends fewer than this share of the lines that get as far as that word isn't at its end.
 TERMINAL = 0.02
 #: Other occurrences a context needs before its share counts; with fewer, the shorter context is asked.
@@ -40,6 +41,9 @@ _WORD = re.compile(r"[぀-ヿ㐀-鿿]|[^\s぀-ヿ㐀-鿿]+")
 _DIGITS = re.compile(r"\d+")
 _BULLET = re.compile(r"\s*([-*+•]|\d+[.)])\s")
 _INNER_STOP = re.compile(r"[.!?。！？]\s+\S|[。！？]\S")
+_CJK = r"([\x{3040}-\x{30FF}\x{3400}-\x{9FFF}])"
+#: What a line is: a list item, prose of several sentences, a text of one line without (title, caption), or another line.
+KINDS = "bpts"
 
 
 def words(line: str) -> list[str]:
@@ -47,19 +51,82 @@ def words(line: str) -> list[str]:
     return _WORD.findall(_DIGITS.sub("#", line))
 
 
-def _kind(line: str, alone: bool) -> str:
-    """What a line is: a list item, prose of several sentences, a text of one line without (title, caption), or another line."""
-    if _BULLET.match(line):
-        return "b"
-    if _INNER_STOP.search(line):
-        return "p"
-    return "t" if alone else "s"
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _context(kind: str, before: list[str], size: int) -> int:
-    """A stable 64-bit number of the last words of the sentence so far."""
-    text = f"{kind}|{size}|{' '.join(before[-size:] if size else [])}".encode("utf-8", "surrogatepass")
-    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "big", signed=True)
+def _mixed(*parts: np.ndarray) -> np.ndarray:
+    """A 64-bit number of several, in order."""
+    h = np.uint64(0x2545F4914F6CDD1D)
+    for x in parts:
+        h = (h ^ x) * _A
+        h = h ^ (h >> np.uint64(29))
+    h = h * _B
+    return h ^ (h >> np.uint64(32))
+
+
+@functools.lru_cache(maxsize=200_000)
+def _number(word: str) -> int:
+    """A stable 64-bit number of a word, never 0."""
+    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") | 1
+
+
+@dataclass
+class Words:
+    """All words of a batch of texts: word i is dictionary[codes[i]], of line line[i], and that of text of_line[line[i]].
+
+    starts: where each text's words begin, with an end; first, last: whether a word is its line's first or last;
+    raw, masked: numbers of the dictionary's words, as they are and with digits masked; stops: whether they end a sentence.
+    """
+
+    codes: np.ndarray
+    dictionary: list[str]
+    line: np.ndarray
+    of_line: np.ndarray
+    starts: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    kind: np.ndarray
+    last_line: np.ndarray
+    raw: np.ndarray
+    masked: np.ndarray
+    masks: list[str]
+    stops: np.ndarray
+
+
+def split(texts: pa.Array) -> Words:
+    """Words of non-null texts: split, numbered and counted for the whole batch at once."""
+    lines_of = pc.split_pattern(pc.utf8_rtrim(texts, "\r\n"), "\n")
+    lines = lines_of.flatten()
+    n_lines = np.diff(lines_of.offsets.to_numpy())
+    of_line = np.repeat(np.arange(len(texts)), n_lines)
+    last_line = np.cumsum(n_lines) - 1
+    alone = np.zeros(len(lines), dtype=bool)
+    alone[last_line[n_lines == 1]] = True
+    yes = lambda pattern: pc.match_substring_regex(lines, pattern).to_numpy(zero_copy_only=False)
+    kind = np.where(yes(r"^\s*([-*+•]|[0-9]+[.)])\s"), 0, np.where(yes(r"[.!?。！？]\s+\S|[。！？]\S"), 1, np.where(alone, 2, 3)))
+    cjk = yes(_CJK)
+    if cjk.any():
+        lines = pc.if_else(pa.array(cjk), pc.replace_substring_regex(lines, _CJK, r" \1 "), lines)
+    parts = pc.utf8_split_whitespace(lines)
+    flat, size = parts.flatten(), np.diff(parts.offsets.to_numpy())
+    line = np.repeat(np.arange(len(lines)), size)
+    real = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+    coded = flat.filter(pa.array(real)).dictionary_encode()
+    line = line[real]
+    dictionary = coded.dictionary.to_pylist()
+    codes = coded.indices.to_numpy()
+    new = np.append(True, line[1:] != line[:-1]) if len(line) else np.zeros(0, dtype=bool)
+    masks = [_DIGITS.sub("#", w) if any(c.isdigit() for c in w) else w for w in dictionary]
+    starts = np.searchsorted(of_line[line], np.arange(len(texts) + 1)) if len(line) else np.zeros(len(texts) + 1, dtype=np.int64)
+    numbers = lambda names: np.fromiter((_number(w) for w in names), np.uint64, len(names))
+    stops = np.fromiter((w[-1] in _STOPS for w in dictionary), bool, len(dictionary))
+    return Words(codes, dictionary, line, of_line, starts, new, np.append(new[1:], True)[: len(new)], kind, last_line, numbers(dictionary), numbers(masks), masks, stops)
+
+
+def _context(kind: np.ndarray, size: int, before: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A number of the last words (0: none) of the sentence so far, in a line of a kind."""
+    none = np.zeros_like(last)
+    return _mixed(kind.astype(np.uint64), np.full_like(last, size), before if size > 1 else none, last if size else none).view(np.int64)
 
 
 def shape(text: str) -> str:
@@ -93,66 +160,107 @@ def shape(text: str) -> str:
     return "closed" if _CLOSER.search(last) else "open"
 
 
-def _ids(tokens: list[str], cache: dict[str, int]) -> np.ndarray:
-    if len(cache) > 1_000_000:
-        cache.clear()
-    return np.fromiter((cache.get(w) or cache.setdefault(w, zlib.crc32(w.encode("utf-8", "surrogatepass")) + 1) for w in tokens), np.uint64, len(tokens))
-
-
-def _runs(ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(k, numbers) for k up to TAIL: a stable 64-bit number of each run of k words that another word follows."""
-    h = np.full(len(ids), 0x9E3779B97F4A7C15, dtype=np.uint64)
-    for k in range(1, min(TAIL, len(ids) - 1) + 1):
-        h = (h[: len(ids) - k] ^ ids[k - 1 : -1]) * np.uint64(0x9E3779B97F4A7C15)
+def _runs(ids: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(k, places, numbers) for k from LEAST_TAIL to TAIL: the runs of k words of a text that another of its words follows."""
+    ends = np.repeat(starts[1:], np.diff(starts))
+    h = np.full(len(ids), _A)
+    for k in range(1, TAIL + 1):
+        n = max(0, len(ids) - k)
+        h = (h[:n] ^ ids[k - 1 : k - 1 + n]) * _A
         h ^= h >> np.uint64(29)
         if k >= LEAST_TAIL:
-            out = (h ^ np.uint64(k)) * np.uint64(0xBF58476D1CE4E5B9)
-            yield k, (out ^ (out >> np.uint64(32))).view(np.int64)
-
-
-def _signature(ids: np.ndarray, mult: np.ndarray, add: np.ndarray) -> np.ndarray:
-    k = min(SHINGLE, len(ids))
-    h = np.zeros(len(ids) - k + 1, dtype=np.uint64)
-    for i in range(k):
-        h = (h * np.uint64(0x9E3779B97F4A7C15)) ^ ids[i : len(ids) - k + 1 + i]
+            at = np.flatnonzero(np.arange(n) + k < ends[:n])
+            out = (h[at] ^ np.uint64(k)) * _B
+            yield k, at, (out ^ (out >> np.uint64(32))).view(np.int64)
+
+
+def _shingles(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, offsets) of the shingles of texts, none of them empty: of SHINGLE words, of all words where they are fewer."""
+    size = np.diff(starts)
+    count = np.maximum(size - SHINGLE + 1, 1)
+    offsets = np.concatenate([[0], np.cumsum(count)])
+    at = np.arange(offsets[-1]) + np.repeat(starts[:-1] - offsets[:-1], count)
+    end = np.repeat(starts[1:], count)
+    h = np.zeros(len(at), dtype=np.uint64)
+    for i in range(SHINGLE):
+        inside = at + i < end
+        h = np.where(inside, (h ^ ids[np.minimum(at + i, len(ids) - 1)]) * _A, h)
         h ^= h >> np.uint64(29)
-    h = np.unique(h * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32)
-    low = np.full(HASHES, np.iinfo(np.uint32).max, dtype=np.uint32)
-    for at in range(0, len(h), 4096):  # a long text needs no large table
-        low = np.minimum(low, (h[at : at + 4096, None] * mult + add).min(axis=0))
-    return low
+    h = h * _B
+    return (h ^ (h >> np.uint64(32))), offsets
 
 
-def _constants() -> tuple[np.ndarray, np.ndarray]:
+def _bands(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """[texts, bands]: numbers of the bands of the texts' minhash signatures."""
+    h, offsets = _shingles(ids, starts)
+    low = (h >> np.uint64(32)).astype(np.uint32)
     rng = np.random.default_rng(23)
-    return rng.integers(1, 2**32, HASHES, dtype=np.uint32) | np.uint32(1), rng.integers(0, 2**32, HASHES, dtype=np.uint32)
+    mult, add = rng.integers(1, 2**32, HASHES, dtype=np.uint32) | np.uint32(1), rng.integers(0, 2**32, HASHES, dtype=np.uint32)
+    least = [np.minimum.reduceat(low * mult[i] + add[i], offsets[:-1]).astype(np.uint64) for i in range(HASHES)]
+    out = [_mixed(np.full(len(starts) - 1, i, dtype=np.uint64), *least[i : i + ROWS]) for i in range(0, HASHES, ROWS)]
+    return np.stack(out, axis=1).view(np.int64)
+
+
+def _named(texts: list[str]) -> np.ndarray:
+    """A number of each text."""
+    return np.array([int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) for t in texts], dtype=np.int64)
+
+
+def _texts(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, Words]:
+    """The rows of a batch whose text has a word, and the words."""
+    text = batch.column("text")
+    batch = batch.filter(pc.fill_null(pc.match_substring_regex(text, r"\S"), False))
+    held = split(batch.column("text"))
+    full = np.diff(held.starts) > 0
+    if full.all():
+        return batch, held
+    batch = batch.filter(pa.array(full))  # blanks that only Unicode knows
+    return batch, split(batch.column("text"))
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per text: name, length, shape, contexts and closing word, number of its last words but one, last word, bands of its signature."""
-    mult, add = _constants()
-    cache: dict[str, int] = {}
-    names = ["doc_id", "source", "name", "n", "octets", "shape", "kind", "ctx2", "ctx1", "ctx0", "word", "tail", "half", "bands"]
     for batch in batches:
-        rows: list[tuple] = []
-        for doc_id, source, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "source", "text"))):
-            if text is None or not text.strip():
-                continue
-            body = text.rstrip("\r\n")
-            last = body[body.rfind("\n") + 1 :]
-            line, kind = _stems(words(last.rstrip())), _kind(last, "\n" not in body)
-            sentence = _sentence(line)
-            raw = _WORD.findall(body)
-            ids = _ids(raw, cache)
-            low = _signature(ids, mult, add)
-            tail = next((int(runs[0]) for k, runs in _runs(ids[-TAIL - 1 :]) if len(runs) == 1), None)
-            bands = [zlib.crc32(low[i : i + ROWS].tobytes()) << 20 | i for i in range(0, HASHES, ROWS)]
-            octets = text.encode("utf-8", "surrogatepass")
-            name = hashlib.blake2b(octets, digest_size=8).digest()
-            rows.append((doc_id, source, int.from_bytes(name, "big", signed=True), len(text), len(octets), shape(text), kind, _context(kind, sentence[:-1], 2), _context(kind, sentence[:-1], 1), _context(kind, [], 0), line[-1] if line else "", tail, raw[-1], bands))
-        cols = list(zip(*rows)) if rows else [[] for _ in names]
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
+        batch, held = _texts(batch)
+        if not batch.num_rows:
+            continue
+        texts = batch.column("text").to_pylist()
+        ids, starts, n = held.raw[held.codes], held.starts, batch.num_rows
+        # the run of the last words but one: the longest of at most TAIL words
+        tail, has = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
+        for k, at, number in _runs(ids, starts):
+            ends_at = np.flatnonzero(at + k + 1 == np.repeat(starts[1:], np.diff(starts))[at])
+            of = np.searchsorted(starts, at[ends_at], side="right") - 1
+            tail[of], has[of] = number[ends_at], True
+        closing = [_closing(held, i) for i in range(n)]
+        kind = held.kind[held.last_line]
+        before, last = (np.array([c[j] for c in closing], dtype=np.uint64) for j in (0, 1))
+        octets = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
+        bands = _bands(ids, starts)
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc_id").cast(pa.int64()), batch.column("source"), pa.array(_named(texts)), pa.array([len(t) for t in texts], pa.int64()), pa.array(octets, pa.int64()), pa.array([shape(t) for t in texts], pa.string()),
+                pa.array([KINDS[k] for k in kind], pa.string()), *[pa.array(_context(kind, size, before, last)) for size in (2, 1, 0)], pa.array([c[2] for c in closing], pa.string()), pa.array(tail, mask=~has),
+                pa.array([held.dictionary[c] for c in held.codes[starts[1:] - 1]], pa.string()), pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, bands.shape[1], dtype=np.int32)), pa.array(bands.ravel())),
+            ],
+            names=["doc_id", "source", "name", "n", "octets", "shape", "kind", "ctx2", "ctx1", "ctx0", "word", "tail", "half", "bands"],
+        )
+
+
+def _closing(held: Words, text: int) -> tuple[int, int, str]:
+    """(number of the last word but two, but one, the last word) of the sentence a text stops in; without an ellipsis at the end."""
+    end, line = held.starts[text + 1], held.last_line[text]
+    codes = [c for i, c in enumerate(held.codes[max(held.starts[text], end - 4) : end].tolist(), max(held.starts[text], end - 4)) if held.line[i] == line]
+    masks = _stems([held.masks[c] for c in codes])
+    if not masks:
+        return 0, 0, ""
+    numbers = []
+    for c in reversed(codes[: len(masks) - 1]):
+        if held.stops[c] or len(numbers) == 2:
+            break
+        numbers.append(int(held.masked[c]))
+    numbers += [0, 0]
+    return numbers[1], numbers[0], masks[-1]
 
 
 def _stems(line: list[str]) -> list[str]:
@@ -162,84 +270,91 @@ def _stems(line: list[str]) -> list[str]:
     return line
 
 
-def _sentence(line: list[str]) -> list[str]:
-    """The words of the sentence that the line's last word is in."""
-    start = next((i + 1 for i in range(len(line) - 2, -1, -1) if line[i][-1] in _STOPS), 0)
-    return line[start:]
+def _sieve(numbers: DataFrame, name: str) -> np.ndarray:
+    """A bitmap of a column's numbers by their last bits: 2 MB at most, whatever their number, and no number is missed."""
+    low = F.col(name).bitwiseAND(F.lit(SIEVE - 1))
+    rows = numbers.groupBy(F.shiftright(low, 15).alias("part")).agg(F.bitmap_construct_agg(low.bitwiseAND(F.lit(32767))).alias("bits")).collect()
+    out = np.zeros(SIEVE >> 3, dtype=np.uint8)
+    for r in rows:
+        out[r.part << 12 : (r.part + 1) << 12] = np.frombuffer(r.bits, dtype=np.uint8)
+    return out
+
+
+def _passes(numbers: np.ndarray, sieve: np.ndarray) -> np.ndarray:
+    """Places of the numbers that may be among those of the sieve."""
+    low = numbers & (SIEVE - 1)
+    return np.flatnonzero(sieve[low >> 3] >> (low & 7).astype(np.uint8) & 1)
+
+
+_ASKED = "ctx long, word string, n long, ends long, tail long, name long, more boolean"
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(ctx, word, n, ends): how often a word follows a context, and closes a line there that isn't its text's last.
+def _asked(batches: Iterator[pa.RecordBatch], contexts: np.ndarray, tails: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """What other texts ask for, in one pass over all texts: rows of two kinds.
 
-    The closing word of a text is left out: what closes texts is counted once per different text elsewhere.
+    (ctx, word, n, ends): how often a word follows a context, and closes a line there that isn't its text's last: the
+    closing word of a text is left out, as what closes texts is counted once per different text elsewhere.
+    (tail, word, name, more): a text holds a run of words, the word behind it, and whether more follow.
     """
     for batch in batches:
-        seen: Counter = Counter()
-        for text in batch.column("text").to_pylist():
-            if text is None:
-                continue
-            lines = text.rstrip("\r\n").split("\n")
-            for at, line in enumerate(lines):
-                tokens, kind = words(line), _kind(line, len(lines) == 1)
-                a = b = ""
-                for i, w in enumerate(tokens):
-                    end = i == len(tokens) - 1
-                    if not (end and at == len(lines) - 1):
-                        seen[(kind, a, b, w, end)] += 1
-                    a, b = ("", "") if w[-1] in _STOPS else (b, w)
-        out: Counter = Counter()
-        ends: Counter = Counter()
-        numbers: dict[tuple[str, str, str], list[int]] = {}
-        for (kind, a, b, w, end), n in seen.items():
-            contexts = numbers.get((kind, a, b))
-            if contexts is None:
-                before = [x for x in (a, b) if x]
-                contexts = numbers[kind, a, b] = [_context(kind, before, size) for size in (2, 1, 0)]
-            for context in contexts:
-                key = (context, w)
-                out[key] += n
-                if end:
-                    ends[key] += n
+        batch, held = _texts(batch)
+        if not batch.num_rows:
+            continue
+        line, codes = held.line, held.codes
+        counted = ~(held.last & (line == held.last_line[held.of_line[line]]))
+        # the word before, and the one before that, of the same sentence
+        numbers = held.masked[codes]
+        clear = np.append(False, ~held.stops[codes[:-1]]) & ~held.first
+        last = np.where(clear, np.append(np.uint64(0), numbers[:-1]), np.uint64(0))
+        before = np.where(clear, np.append(np.uint64(0), last[:-1]), np.uint64(0))
+        at = np.flatnonzero(counted)
+        kind = held.kind[line]
+        found = []
+        for size in (2, 1, 0):
+            ctx = _context(kind[at], size, before[at], last[at])
+            hit = _passes(ctx, contexts)
+            found.append((ctx[hit], at[hit]))
+        ctx, at = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        ends = held.last[at].astype(np.int64)
+        # masks of different words may be the same: words are counted by their mask
+        mask = np.unique(np.array(held.masks, dtype=object), return_inverse=True)[1][codes[at]] if len(at) else np.zeros(0, dtype=np.int64)
+        order = np.lexsort((mask, ctx))
+        ctx, mask, ends, at = ctx[order], mask[order], ends[order], at[order]
+        new = np.flatnonzero(np.append(True, (ctx[1:] != ctx[:-1]) | (mask[1:] != mask[:-1]))) if len(at) else np.zeros(0, dtype=np.int64)
+        n = np.diff(np.append(new, len(at)))
+        k = len(new)
+        none = lambda t: pa.nulls(k, t)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in out], pa.int64()), pa.array([k[1] for k in out], pa.string()), pa.array(list(out.values()), pa.int64()), pa.array([ends[k] for k in out], pa.int64())],
-            names=["ctx", "word", "n", "ends"],
+            [pa.array(ctx[new]), pa.array([held.masks[c] for c in codes[at[new]]], pa.string()), pa.array(n.astype(np.int64)), pa.array(np.add.reduceat(ends, new) if k else ends), none(pa.int64()), none(pa.int64()), none(pa.bool_())],
+            names=["ctx", "word", "n", "ends", "tail", "name", "more"],
+        )
+        hits = []
+        for k, at, number in _runs(held.raw[codes], held.starts):
+            hit = _passes(number, tails)
+            hits.append((number[hit], at[hit], at[hit] + k))
+        tail, at, then = (np.concatenate([h[i] for h in hits]) for i in range(3))
+        if not len(tail):
+            continue
+        of = np.searchsorted(held.starts, at, side="right") - 1
+        where, back = np.unique(of, return_inverse=True)
+        names = _named(batch.column("text").take(pa.array(where)).to_pylist())
+        k = len(tail)
+        yield pa.RecordBatch.from_arrays(
+            [none(pa.int64()), pa.array([held.dictionary[c] for c in codes[then]], pa.string()), none(pa.int64()), none(pa.int64()), pa.array(tail), pa.array(names[back]), pa.array(then + 1 < held.starts[of + 1])],
+            names=["ctx", "word", "n", "ends", "tail", "name", "more"],
         )
 
 
-def _sieve(tails: DataFrame) -> np.ndarray:
-    """A bitmap of the numbers in tails by their last bits: 2 MB at most, whatever their number, and no number is missed."""
-    low = F.col("tail").bitwiseAND(F.lit(SIEVE - 1))
-    rows = tails.groupBy(F.shiftright(low, 15).alias("part")).agg(F.bitmap_construct_agg(low.bitwiseAND(F.lit(32767))).alias("bits")).collect()
-    out = np.zeros(SIEVE >> 3, dtype=np.uint8)
-    for r in rows:
-        out[r.part << 12 : (r.part + 1) << 12] = np.frombuffer(r.bits, dtype=np.uint8)
-    return out
-
-
-def _places(batches: Iterator[pa.RecordBatch], sieve: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(tail, name, at, then, next, more): where a text holds words that may be asked for and the word behind them starts, that word, and whether more follow."""
-    cache: dict[str, int] = {}
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(name, shingles): the distinct shingles of each text, as 64-bit numbers."""
     for batch in batches:
-        rows: list[tuple] = []
-        seen: set[int] = set()
-        for text in batch.column("text").to_pylist():
-            if text is None or not text.strip():
-                continue
-            tokens = _WORD.findall(text)
-            hits = []
-            for k, runs in _runs(_ids(tokens, cache)):
-                low = runs & (SIEVE - 1)
-                hits += [(int(runs[i]), int(i), k) for i in np.flatnonzero(sieve[low >> 3] >> (low & 7).astype(np.uint8) & 1)]
-            if not hits:
-                continue
-            name = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
-            if name in seen:
-                continue
-            seen.add(name)
-            starts = [m.start() for m in _WORD.finditer(text)]
-            rows += [(tail, name, starts[i], starts[i + k], tokens[i + k], i + k + 1 < len(tokens)) for tail, i, k in hits]
-        kinds = {"tail": pa.int64(), "name": pa.int64(), "at": pa.int64(), "then": pa.int64(), "next": pa.string(), "more": pa.bool_()}
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * len(kinds), kinds.values())], names=list(kinds))
+        batch, held = _texts(batch)
+        if not batch.num_rows:
+            continue
+        h, offsets = _shingles(held.raw[held.codes], held.starts)
+        own = [np.unique(h[a:b]).view(np.int64) for a, b in zip(offsets[:-1], offsets[1:])]
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(_named(batch.column("text").to_pylist())), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own)))], names=["name", "shingles"])
 
 
 def goes_on(tail: str, text: str, n: int) -> bool:
@@ -264,9 +379,9 @@ def cut_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, evidence) of the texts that were cut: evidence is 'shape', 'limit', 'copy' or 'closing'.
 
     1. Shape: what a text shows by itself, see shape(). Texts that end at a stop or closer are whole.
-    2. Copies: texts get minhash signatures over five-word shingles; a text meets all texts of its
-       bands that hold its last words and go on behind them, of its length class and the next two (see _ends_early()).
-       With a signature 0.8 similar, the text that ends inside the other is cut.
+    2. Copies: texts get minhash signatures over five-word shingles; a text meets the texts that share a band and hold its
+       last words with more behind them, wherever in the text, so that it ends inside them. Of those that share SIMILAR of
+       the union of their true shingles, one is enough: the text is cut (see _ends_early()).
     3. Closing words: how many of the lines that get as far as the text's last word, in the same context, end there.
        Counted over all lines of all documents, final lines once per different text, the text itself left out. Under
        TERMINAL it is cut, see _unclosed().
@@ -275,7 +390,8 @@ def cut_texts(docs: DataFrame) -> DataFrame:
        texts of that length that don't end at a stop are cut.
 
     Null, empty and blank texts are no cases. Equal texts get the same answer. Rows with a null doc_id are left out.
-    Texts themselves are only read; what is shuffled is a row of numbers per text, and its runs of words that end another.
+    Texts themselves are only read, twice, whole batches at a time; what is shuffled is a row of numbers per text, and what
+    others ask of it. Where several kinds of evidence agree, the first of shape, limit, copy, closing is named.
     """
     docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text", "source")
     kinds = "doc_id long, source string, name long, n long, octets long, shape string, kind string, ctx2 long, ctx1 long, ctx0 long, word string, tail long, half string, bands array<long>"
@@ -283,16 +399,19 @@ def cut_texts(docs: DataFrame) -> DataFrame:
     texts = cut(read.groupBy("name").agg(*[F.min_by(c, "doc_id").alias(c) for c in ("source", "n", "octets", "shape", "kind", "ctx2", "ctx1", "ctx0", "word", "tail", "half", "bands")], F.min("doc_id").alias("doc_id")))
     open_ones = texts.where("shape = 'open'")
 
-    by_copy = _ends_early(docs, texts, open_ones)
+    contexts = _sieve(open_ones.select(F.explode(F.array("ctx2", "ctx1", "ctx0")).alias("ctx")), "ctx")
+    tails = _sieve(open_ones.where("tail is not null"), "tail")
+    asked = cut(docs.select("text").mapInArrow(lambda batches: _asked(batches, contexts, tails), _ASKED))
 
-    by_word = _unclosed(docs, texts, open_ones)
+    by_copy = _ends_early(docs, texts, open_ones, asked.where("tail is not null").select("tail", "name", F.col("word").alias("next"), "more"))
+    by_word = _unclosed(texts, open_ones, asked.where("ctx is not null").select("ctx", "word", "n", "ends"))
     by_shape = texts.where("shape = 'cut'").select("name", F.lit("shape").alias("evidence"))
     sure = cut(by_shape.union(by_word))
     found = sure.union(by_copy).union(_at_limit(texts, sure)).groupBy("name").agg(F.max("evidence").alias("evidence"))
     return read.select("doc_id", "name").join(found, "name").select("doc_id", "evidence").distinct()
 
 
-def _unclosed(docs: DataFrame, texts: DataFrame, open_ones: DataFrame) -> DataFrame:
+def _unclosed(texts: DataFrame, open_ones: DataFrame, grams: DataFrame) -> DataFrame:
     """(name, evidence) of open-ended texts whose closing word isn't one, by all lines of all documents.
 
     Of the lines that get as far as the word in its context, the share that ends there decides; contexts are the two words
@@ -303,7 +422,6 @@ def _unclosed(docs: DataFrame, texts: DataFrame, open_ones: DataFrame) -> DataFr
     levels = F.array(*[F.struct(F.lit(i).alias("size"), F.col(f"ctx{i}").alias("ctx")) for i in (2, 1, 0)])
     asked = open_ones.select("name", "kind", "word", F.explode(levels).alias("c")).select("name", "kind", "word", "c.size", "c.ctx")
     finals = texts.select(F.explode(F.array("ctx2", "ctx1", "ctx0")).alias("ctx"), "word", F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("ends"))
-    grams = docs.select("text").mapInArrow(_grams, "ctx long, word string, n long, ends long")
     counted = cut(grams.union(finals).join(asked.select("ctx").distinct(), "ctx", "left_semi").groupBy("ctx", "word").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")))
     # words meet by up to five first letters, so a context with a large vocabulary isn't joined as a whole
     heads = asked.select("ctx", "kind", "word").distinct().withColumn("head", F.substring("word", 1, 5))
@@ -344,32 +462,38 @@ def _at_limit(texts: DataFrame, sure: DataFrame) -> DataFrame:
     return long.where("shape = 'open'").join(limits.select("source", "unit", "len"), ["source", "unit", "len"], "left_semi").select("name", F.lit("limit").alias("evidence")).distinct()
 
 
-def _ends_early(docs: DataFrame, texts: DataFrame, open_ones: DataFrame) -> DataFrame:
-    """(name, evidence) of open-ended texts that a verified longer copy goes beyond.
+def _ends_early(docs: DataFrame, texts: DataFrame, open_ones: DataFrame, places: DataFrame) -> DataFrame:
+    """(name, evidence) of open-ended texts that end inside a longer near-copy.
 
-    A text meets all places where a text of one of its bands holds its last words and goes on, see goes_on(): band and
-    words are one join key, so no partner is left out and the rest of a group of copies isn't looked at. A semi-join
-    stops at the first place that fits.
+    places: tail, name, next, more - where a text holds a run of words. A text meets all places where a longer text of one of its
+    bands holds its last words and goes on, its very last word being the next one or the beginning of it: band and
+    words are one join key, so no partner is left out and the rest of a group of copies isn't looked at. First both sides are
+    narrowed to those who meet anybody at all; only their shingles are then read. A semi-join stops at the first partner
+    similar enough.
     """
-    grade = F.floor(F.log2(F.col("n").cast("double")) * 4)  # length classes a factor of 1.19 wide
-    asks = open_ones.where("tail is not null").select("name", "n", "tail", "half", "bands", grade.alias("own"))
+    asks = open_ones.where("tail is not null").select("name", "n", "tail", "half", "bands")
     # of the words behind a place only beginnings as long as asked for are formed
     sizes = asks.select("tail", F.length("half").alias("size")).distinct()
-    sieve = _sieve(asks)
-    places = docs.select("text").mapInArrow(lambda batches: _places(batches, sieve), "tail long, name long, at long, then long, next string, more boolean")
     longer = (F.length("next") > F.col("size")) | ((F.length("next") == F.col("size")) & F.col("more"))
-    places = places.join(sizes, "tail").where(longer).select("tail", F.expr("substring(next, 1, size)").alias("half"), F.col("name").alias("their"), "at", "then")
-    places = places.join(asks.select("tail", "half").distinct(), ["tail", "half"], "left_semi").distinct()
-    whole = texts.select(F.col("name").alias("their"), F.col("n").alias("their_n"), F.col("bands").alias("their_bands"), grade.alias("grade"))
-    held = places.join(whole, "their").withColumn("band", F.explode("their_bands"))
-    # the share of equal bands bounds the similarity: at least one in three at 0.8 (0.8**4 = 0.41 expected)
-    alike = F.size(F.array_intersect("bands", "their_bands")) >= 3
-    near = (F.col("at") >= F.floor(F.col("n") * 0.7) - 200) & (F.col("then") < F.floor(F.col("n") * 1.3) + 200)
-    fits = (F.col("their_n") > F.col("n")) & F.col("grade").between(F.col("own"), F.col("own") + 2) & near & alike
-    asked = asks.withColumn("band", F.explode("bands")).alias("a")
-    held = held.alias("h")
-    same = (F.col("a.band") == F.col("h.band")) & (F.col("a.tail") == F.col("h.tail")) & (F.col("a.half") == F.col("h.half"))
-    return asked.join(held, same & fits, "left_semi").select("name", F.lit("copy").alias("evidence")).distinct()
+    held = places.join(sizes, "tail").where(longer).select("tail", F.expr("substring(next, 1, size)").alias("half"), F.col("name").alias("their")).distinct()
+    held = held.join(asks.select("tail", "half").distinct(), ["tail", "half"], "left_semi")
+    held = cut(held.join(texts.select(F.col("name").alias("their"), F.col("n").alias("their_n"), F.col("bands").alias("their_bands")), "their"))
+    keyed = lambda df, bands: df.withColumn("band", F.explode(bands)).drop(bands)
+
+    def meets(a: DataFrame, b: DataFrame, also: Column) -> DataFrame:
+        a, b = a.alias("a"), b.alias("b")
+        same = (F.col("a.band") == F.col("b.band")) & (F.col("a.tail") == F.col("b.tail")) & (F.col("a.half") == F.col("b.half"))
+        return a.join(b, same & (F.col("their_n") > F.col("n")) & also, "left_semi")
+
+    mine, theirs = keyed(asks, "bands"), keyed(held, "their_bands")
+    some = cut(meets(mine, theirs, F.lit(True)))
+    others = cut(meets(theirs, some, F.lit(True)))
+    involved = some.select("name").union(others.select("their")).distinct().join(texts.select("name", "doc_id"), "name").select("doc_id")
+    shingles = cut(docs.select("doc_id", "text").join(small_or_not(cut(involved)), "doc_id", "left_semi").select("text").mapInArrow(_shingled, "name long, shingles array<long>").dropDuplicates(["name"]))
+    both = F.size(F.array_intersect("shingles", "their_shingles")).cast("long")
+    alike = both * SIMILAR[1] >= (F.size("shingles") + F.size("their_shingles") - both) * SIMILAR[0]
+    verified = meets(some.join(shingles, "name"), others.join(shingles.toDF("their", "their_shingles"), "their"), alike)
+    return verified.select("name", F.lit("copy").alias("evidence")).distinct()
 
 
 def cut_rates(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -1,11 +1,7 @@
 """Cut copies in groups whose texts share most of their words."""
 
-import math
 import random
 
-import numpy as np
-import pyarrow as pa
-
 from scantable.llm import truncation
 
 WORDS = [f"{a}{b}" for a in "scan mask frame point label view mesh crop".split() for b in "abcdefghijklmnopqrst"]
@@ -23,17 +19,24 @@ def _group(rng, n):
     return texts
 
 
+def _shingles(text):
+    words = text.split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
 def _by_hand(texts):
-    """Texts with a longer copy that goes on: every pair looked at."""
-    batch = pa.RecordBatch.from_pydict({"doc_id": list(texts), "source": ["a"] * len(texts), "text": list(texts.values())})
-    bands = {r["doc_id"]: set(r["bands"]) for b in truncation._read(iter([batch])) for r in b.to_pylist()}
-    grade = {i: math.floor(np.log2(len(t)) * 4) for i, t in texts.items()}
+    """Texts that end inside a longer one of true similarity 0.8: every pair looked at."""
+    sets = {i: _shingles(t) for i, t in texts.items()}
     out = set()
     for i, t in texts.items():
+        last = t.split()[-9:]
         for j, other in texts.items():
-            if len(other) > len(t) and 0 <= grade[j] - grade[i] <= 2 and len(bands[i] & bands[j]) >= 3 and truncation.goes_on(" ".join(t.split()[-9:]), other, len(t)):
-                out.add(i)
-                break
+            if len(other) > len(t) and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                words = other.split()
+                at = [k for k in range(len(words) - 8) if words[k : k + 8] == last[:8] and words[k + 8].startswith(last[8]) and (words[k + 8] != last[8] or k + 9 < len(words))]
+                if at:
+                    out.add(i)
+                    break
     return out
 
 
