@@ -22,6 +22,8 @@ SHINGLE, HASHES, ROWS = 5, 64, 4
 TAIL, LEAST_TAIL = 8, 3
 #: Bits of the bitmaps that spare runs and contexts nobody asks for the way through Spark.
 SIEVE = 1 << 24
+#: Bytes of text a task splits at once.
+CHUNK = 4 << 20
 #: Copies share so much of the union of their shingles, as a fraction.
 SIMILAR = (8, 10)
 #: A text whose closing word ends fewer than this share of the lines that get as far as that word isn't at its end.
@@ -190,15 +192,17 @@ def _shingles(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return (h ^ (h >> np.uint64(32))), offsets
 
 
-def _bands(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """[texts, bands]: numbers of the bands of the texts' minhash signatures."""
+def _bands(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """([texts, bands], distinct shingles per text): numbers of the bands of the texts' minhash signatures."""
     h, offsets = _shingles(ids, starts)
+    own = np.sort(np.repeat(np.arange(len(starts) - 1, dtype=np.uint64) << np.uint64(44), np.diff(offsets)) | (h >> np.uint64(20)))
+    distinct = np.bincount((own[np.append(True, own[1:] != own[:-1])] >> np.uint64(44)).astype(np.int64), minlength=len(starts) - 1)
     low = (h >> np.uint64(32)).astype(np.uint32)
     rng = np.random.default_rng(23)
     mult, add = rng.integers(1, 2**32, HASHES, dtype=np.uint32) | np.uint32(1), rng.integers(0, 2**32, HASHES, dtype=np.uint32)
     least = [np.minimum.reduceat(low * mult[i] + add[i], offsets[:-1]).astype(np.uint64) for i in range(HASHES)]
     out = [_mixed(np.full(len(starts) - 1, i, dtype=np.uint64), *least[i : i + ROWS]) for i in range(0, HASHES, ROWS)]
-    return np.stack(out, axis=1).view(np.int64)
+    return np.stack(out, axis=1).view(np.int64), distinct
 
 
 def _named(texts: list[str]) -> np.ndarray:
@@ -206,24 +210,27 @@ def _named(texts: list[str]) -> np.ndarray:
     return np.array([int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) for t in texts], dtype=np.int64)
 
 
-def _texts(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, Words]:
-    """The rows of a batch whose text has a word, and the words."""
-    text = batch.column("text")
-    batch = batch.filter(pc.fill_null(pc.match_substring_regex(text, r"\S"), False))
-    held = split(batch.column("text"))
-    full = np.diff(held.starts) > 0
-    if full.all():
-        return batch, held
-    batch = batch.filter(pa.array(full))  # blanks that only Unicode knows
-    return batch, split(batch.column("text"))
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Words]]:
+    """The rows whose text has a word, about CHUNK bytes at a time, and their words."""
+    for batch in batches:
+        batch = batch.filter(pc.fill_null(pc.match_substring_regex(batch.column("text"), r"\S"), False))
+        size = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
+        edges = np.flatnonzero(np.diff(size // CHUNK)) + 1 if len(size) else []
+        for a, b in zip([0, *edges], [*edges, batch.num_rows]):
+            part = batch.slice(a, b - a)
+            if part.num_rows:
+                held = split(part.column("text"))
+                full = np.diff(held.starts) > 0
+                if not full.all():  # blanks that only Unicode knows
+                    part = part.filter(pa.array(full))
+                    held = split(part.column("text"))
+                if part.num_rows:
+                    yield part, held
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per text: name, length, shape, contexts and closing word, number of its last words but one, last word, bands of its signature."""
-    for batch in batches:
-        batch, held = _texts(batch)
-        if not batch.num_rows:
-            continue
+    for batch, held in _texts(batches):
         texts = batch.column("text").to_pylist()
         ids, starts, n = held.raw[held.codes], held.starts, batch.num_rows
         # the run of the last words but one: the longest of at most TAIL words
@@ -236,14 +243,14 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = held.kind[held.last_line]
         before, last = (np.array([c[j] for c in closing], dtype=np.uint64) for j in (0, 1))
         octets = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
-        bands = _bands(ids, starts)
+        bands, distinct = _bands(ids, starts)
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id").cast(pa.int64()), batch.column("source"), pa.array(_named(texts)), pa.array([len(t) for t in texts], pa.int64()), pa.array(octets, pa.int64()), pa.array([shape(t) for t in texts], pa.string()),
                 pa.array([KINDS[k] for k in kind], pa.string()), *[pa.array(_context(kind, size, before, last)) for size in (2, 1, 0)], pa.array([c[2] for c in closing], pa.string()), pa.array(tail, mask=~has),
-                pa.array([held.dictionary[c] for c in held.codes[starts[1:] - 1]], pa.string()), pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, bands.shape[1], dtype=np.int32)), pa.array(bands.ravel())),
+                pa.array([held.dictionary[c] for c in held.codes[starts[1:] - 1]], pa.string()), pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, bands.shape[1], dtype=np.int32)), pa.array(bands.ravel())), pa.array(distinct.astype(np.int32)),
             ],
-            names=["doc_id", "source", "name", "n", "octets", "shape", "kind", "ctx2", "ctx1", "ctx0", "word", "tail", "half", "bands"],
+            names=["doc_id", "source", "name", "n", "octets", "shape", "kind", "ctx2", "ctx1", "ctx0", "word", "tail", "half", "bands", "shingles"],
         )
 
 
@@ -296,10 +303,7 @@ def _asked(batches: Iterator[pa.RecordBatch], contexts: np.ndarray, tails: np.nd
     closing word of a text is left out, as what closes texts is counted once per different text elsewhere.
     (tail, word, name, more): a text holds a run of words, the word behind it, and whether more follow.
     """
-    for batch in batches:
-        batch, held = _texts(batch)
-        if not batch.num_rows:
-            continue
+    for batch, held in _texts(batches):
         line, codes = held.line, held.codes
         counted = ~(held.last & (line == held.last_line[held.of_line[line]]))
         # the word before, and the one before that, of the same sentence
@@ -307,25 +311,32 @@ def _asked(batches: Iterator[pa.RecordBatch], contexts: np.ndarray, tails: np.nd
         clear = np.append(False, ~held.stops[codes[:-1]]) & ~held.first
         last = np.where(clear, np.append(np.uint64(0), numbers[:-1]), np.uint64(0))
         before = np.where(clear, np.append(np.uint64(0), last[:-1]), np.uint64(0))
-        at = np.flatnonzero(counted)
         kind = held.kind[line]
+        masks = pa.array(held.masks, pa.string()).dictionary_encode()  # words are counted by their mask
+        mask, width = masks.indices.to_numpy()[codes].astype(np.int64), max(1, len(masks.dictionary))
         found = []
-        for size in (2, 1, 0):
+        # without words before, a context is a kind of line: counted for all words at once
+        at = np.flatnonzero(counted)
+        key = kind[at] * width + mask[at]
+        n, closes = np.bincount(key, minlength=4 * width), np.bincount(key[held.last[at]], minlength=4 * width)
+        cells = np.flatnonzero(n)
+        ctx = _context(cells // width, 0, np.zeros(len(cells), dtype=np.uint64), np.zeros(len(cells), dtype=np.uint64))
+        hit = _passes(ctx, contexts)
+        found.append((ctx[hit], cells[hit] % width, n[cells[hit]], closes[cells[hit]]))
+        for size in (2, 1):
             ctx = _context(kind[at], size, before[at], last[at])
             hit = _passes(ctx, contexts)
-            found.append((ctx[hit], at[hit]))
-        ctx, at = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-        ends = held.last[at].astype(np.int64)
-        # masks of different words may be the same: words are counted by their mask
-        mask = np.unique(np.array(held.masks, dtype=object), return_inverse=True)[1][codes[at]] if len(at) else np.zeros(0, dtype=np.int64)
-        order = np.lexsort((mask, ctx))
-        ctx, mask, ends, at = ctx[order], mask[order], ends[order], at[order]
-        new = np.flatnonzero(np.append(True, (ctx[1:] != ctx[:-1]) | (mask[1:] != mask[:-1]))) if len(at) else np.zeros(0, dtype=np.int64)
-        n = np.diff(np.append(new, len(at)))
-        k = len(new)
-        none = lambda t: pa.nulls(k, t)
+            ctx, w, ends = ctx[hit], mask[at[hit]], held.last[at[hit]].astype(np.int64)
+            if len(ctx):
+                order = np.lexsort((w, ctx))
+                ctx, w, ends = ctx[order], w[order], ends[order]
+                new = np.flatnonzero(np.append(True, (ctx[1:] != ctx[:-1]) | (w[1:] != w[:-1])))
+                found.append((ctx[new], w[new], np.diff(np.append(new, len(ctx))), np.add.reduceat(ends, new)))
+        ctx, w, n, closes = (np.concatenate([f[i] for f in found]) for i in range(4))
+        none = lambda k, t: pa.nulls(k, t)
+        k = len(ctx)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ctx[new]), pa.array([held.masks[c] for c in codes[at[new]]], pa.string()), pa.array(n.astype(np.int64)), pa.array(np.add.reduceat(ends, new) if k else ends), none(pa.int64()), none(pa.int64()), none(pa.bool_())],
+            [pa.array(ctx), masks.dictionary.take(pa.array(w)), pa.array(n.astype(np.int64)), pa.array(closes.astype(np.int64)), none(k, pa.int64()), none(k, pa.int64()), none(k, pa.bool_())],
             names=["ctx", "word", "n", "ends", "tail", "name", "more"],
         )
         hits = []
@@ -340,17 +351,14 @@ def _asked(batches: Iterator[pa.RecordBatch], contexts: np.ndarray, tails: np.nd
         names = _named(batch.column("text").take(pa.array(where)).to_pylist())
         k = len(tail)
         yield pa.RecordBatch.from_arrays(
-            [none(pa.int64()), pa.array([held.dictionary[c] for c in codes[then]], pa.string()), none(pa.int64()), none(pa.int64()), pa.array(tail), pa.array(names[back]), pa.array(then + 1 < held.starts[of + 1])],
+            [none(k, pa.int64()), pa.array([held.dictionary[c] for c in codes[then]], pa.string()), none(k, pa.int64()), none(k, pa.int64()), pa.array(tail), pa.array(names[back]), pa.array(then + 1 < held.starts[of + 1])],
             names=["ctx", "word", "n", "ends", "tail", "name", "more"],
         )
 
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(name, shingles): the distinct shingles of each text, as 64-bit numbers."""
-    for batch in batches:
-        batch, held = _texts(batch)
-        if not batch.num_rows:
-            continue
+    for batch, held in _texts(batches):
         h, offsets = _shingles(held.raw[held.codes], held.starts)
         own = [np.unique(h[a:b]).view(np.int64) for a, b in zip(offsets[:-1], offsets[1:])]
         ends = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
@@ -394,9 +402,9 @@ def cut_texts(docs: DataFrame) -> DataFrame:
     others ask of it. Where several kinds of evidence agree, the first of shape, limit, copy, closing is named.
     """
     docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text", "source")
-    kinds = "doc_id long, source string, name long, n long, octets long, shape string, kind string, ctx2 long, ctx1 long, ctx0 long, word string, tail long, half string, bands array<long>"
+    kinds = "doc_id long, source string, name long, n long, octets long, shape string, kind string, ctx2 long, ctx1 long, ctx0 long, word string, tail long, half string, bands array<long>, shingles int"
     read = cut(docs.mapInArrow(_read, kinds))
-    texts = cut(read.groupBy("name").agg(*[F.min_by(c, "doc_id").alias(c) for c in ("source", "n", "octets", "shape", "kind", "ctx2", "ctx1", "ctx0", "word", "tail", "half", "bands")], F.min("doc_id").alias("doc_id")))
+    texts = cut(read.groupBy("name").agg(*[F.min_by(c, "doc_id").alias(c) for c in ("source", "n", "octets", "shape", "kind", "ctx2", "ctx1", "ctx0", "word", "tail", "half", "bands", "shingles")], F.min("doc_id").alias("doc_id")))
     open_ones = texts.where("shape = 'open'")
 
     contexts = _sieve(open_ones.select(F.explode(F.array("ctx2", "ctx1", "ctx0")).alias("ctx")), "ctx")
@@ -468,16 +476,23 @@ def _ends_early(docs: DataFrame, texts: DataFrame, open_ones: DataFrame, places:
     places: tail, name, next, more - where a text holds a run of words. A text meets all places where a longer text of one of its
     bands holds its last words and goes on, its very last word being the next one or the beginning of it: band and
     words are one join key, so no partner is left out and the rest of a group of copies isn't looked at. First both sides are
-    narrowed to those who meet anybody at all; only their shingles are then read. A semi-join stops at the first partner
+    narrowed to those who meet anybody of about their size, then to those of a common band; only their shingles are then read. A semi-join stops at the first partner
     similar enough.
     """
-    asks = open_ones.where("tail is not null").select("name", "n", "tail", "half", "bands")
+    # sets that share so much differ by so little in size: their classes are the same or next to one another
+    grade = F.floor(F.log(F.col("shingles").cast("double")) / F.log(F.lit(SIMILAR[1] / SIMILAR[0])))
+    asks = open_ones.where("tail is not null").select("name", "n", "tail", "half", "bands", grade.alias("grade"))
+    near = F.explode(F.sequence(F.col("grade") - 1, F.col("grade") + 1))
+    wanted = asks.select("tail", "half", near.alias("their_grade"), "n").groupBy("tail", "half", "their_grade").agg(F.min("n").alias("least"))
     # of the words behind a place only beginnings as long as asked for are formed
     sizes = asks.select("tail", F.length("half").alias("size")).distinct()
     longer = (F.length("next") > F.col("size")) | ((F.length("next") == F.col("size")) & F.col("more"))
     held = places.join(sizes, "tail").where(longer).select("tail", F.expr("substring(next, 1, size)").alias("half"), F.col("name").alias("their")).distinct()
-    held = held.join(asks.select("tail", "half").distinct(), ["tail", "half"], "left_semi")
-    held = cut(held.join(texts.select(F.col("name").alias("their"), F.col("n").alias("their_n"), F.col("bands").alias("their_bands")), "their"))
+    whole = texts.select(F.col("name").alias("their"), F.col("n").alias("their_n"), grade.alias("their_grade"))
+    held = cut(held.join(whole, "their").join(wanted, ["tail", "half", "their_grade"]).where("their_n > least").drop("least"))
+    theirs = held.groupBy("tail", "half", F.col("their_grade").alias("grade_met")).agg(F.max("their_n").alias("most"))
+    asks = asks.select("*", near.alias("grade_met")).join(theirs, ["tail", "half", "grade_met"]).where("most > n").drop("grade_met", "most", "grade").dropDuplicates(["name"])
+    held = held.drop("their_grade").join(texts.select(F.col("name").alias("their"), F.col("bands").alias("their_bands")), "their")
     keyed = lambda df, bands: df.withColumn("band", F.explode(bands)).drop(bands)
 
     def meets(a: DataFrame, b: DataFrame, also: Column) -> DataFrame:
