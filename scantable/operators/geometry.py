@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from itertools import product
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,8 +101,8 @@ def mesh_edges(faces: DataFrame, key: list[str]) -> DataFrame:
     return faces.select(*key, F.explode(each).alias("e")).select(*key, "e.left", "e.right").distinct()
 
 
-def vertex_normals(points: DataFrame, faces: DataFrame, key: list[str]) -> DataFrame:
-    """(key, point_id, nx, ny, nz): mean of the normals of the faces at each vertex, with length 1; a zero mean stays zero."""
+def vertex_normals(points: DataFrame, faces: DataFrame, key: list[str], unit: bool = True) -> DataFrame:
+    """(key, point_id, nx, ny, nz): mean of the normals of the faces at each vertex, with length 1 if unit; a zero mean stays zero."""
     p = lambda i: points.select(*key, F.col("point_id").alias(f"v{i}"), *[F.col(a).alias(f"{a}{i}") for a in "xyz"])
     f = faces.join(p(0), [*key, "v0"]).join(p(1), [*key, "v1"]).join(p(2), [*key, "v2"])
     u, w = ([F.col(f"{a}{i}") - F.col(f"{a}0") for a in "xyz"] for i in (1, 2))
@@ -112,30 +110,77 @@ def vertex_normals(points: DataFrame, faces: DataFrame, key: list[str]) -> DataF
     length = F.sqrt(n[0] ** 2 + n[1] ** 2 + n[2] ** 2)
     each = f.select(*key, F.explode(F.array("v0", "v1", "v2")).alias("point_id"), *[(x / F.greatest(length, F.lit(1e-6))).alias(c) for x, c in zip(n, ("nx", "ny", "nz"))])
     mean = each.groupBy(*key, "point_id").agg(*[F.avg(c).alias(c) for c in ("nx", "ny", "nz")])
-    size = F.greatest(F.sqrt(F.col("nx") ** 2 + F.col("ny") ** 2 + F.col("nz") ** 2), F.lit(1e-6))
+    size = F.greatest(F.sqrt(F.col("nx") ** 2 + F.col("ny") ** 2 + F.col("nz") ** 2), F.lit(1e-6)) if unit else F.lit(1.0)
     return mean.select(*key, "point_id", *[(F.col(c) / size).alias(c) for c in ("nx", "ny", "nz")])
 
 
+def eigenvalues(cxx: Column, cxy: Column, cxz: Column, cyy: Column, cyz: Column, czz: Column) -> list[Column]:
+    """The three eigenvalues of a symmetric 3 x 3 matrix, largest first, in closed form (angles of the characteristic cubic)."""
+    mean = (cxx + cyy + czz) / 3
+    off = cxy * cxy + cxz * cxz + cyz * cyz
+    scale = F.sqrt(((cxx - mean) ** 2 + (cyy - mean) ** 2 + (czz - mean) ** 2 + 2 * off) / 6)
+    x, y, z = cxx - mean, cyy - mean, czz - mean
+    det = x * (y * z - cyz * cyz) - cxy * (cxy * z - cyz * cxz) + cxz * (cxy * cyz - y * cxz)
+    turn = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), det / F.nullif(2 * scale * scale * scale, F.lit(0.0))))) / 3
+    top, low = mean + 2 * scale * F.cos(turn), mean + 2 * scale * F.cos(turn + 2.0943951023931953)
+    flat = scale <= 0
+    return [F.when(flat, mean).otherwise(v) for v in (top, 3 * mean - top - low, low)]
+
+
 def shape_features(points: DataFrame, key: list[str]) -> DataFrame:
-    """(key, n, linearity, planarity, scattering): from the eigenvalues of the covariance, which is aggregated in the JVM.
+    """(key, n, linearity, planarity, scattering, residual, extent_x, extent_y, extent_z, aspect, density) of each set's points.
 
-    Only six sums per set reach Python. Fewer than three points, or no extent, give 0 for all.
+    The first three and the plane residual (square root of the least eigenvalue) come from the covariance, in closed form: no
+    row leaves the JVM. aspect: longest over shortest extent, at least 1e-6; density: points per volume of the box, extents at least 1e-6. Fewer than three
+    points, or no extent, give 0 for the first four.
     """
     pairs = [("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z")]
-    sums = points.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *[F.covar_pop(a, b).alias(f"c{a}{b}") for a, b in pairs])
-
-    @F.pandas_udf("linearity double, planarity double, scattering double")
-    def eigen(cxx: pd.Series, cxy: pd.Series, cxz: pd.Series, cyy: pd.Series, cyz: pd.Series, czz: pd.Series, n: pd.Series) -> pd.DataFrame:
-        m = np.stack([cxx, cxy, cxz, cxy, cyy, cyz, cxz, cyz, czz], axis=1).reshape(-1, 3, 3)
-        v = np.clip(np.linalg.eigvalsh(np.nan_to_num(m))[:, ::-1], 0, None)
-        flat = (v[:, 0] <= 1e-12) | (n.to_numpy() < 3)
-        top = np.where(flat, 1.0, v[:, 0])
-        out = np.stack([(v[:, 0] - v[:, 1]) / top, (v[:, 1] - v[:, 2]) / top, v[:, 2] / top], axis=1)
-        out[flat] = 0.0
-        return pd.DataFrame(out, columns=["linearity", "planarity", "scattering"])
-
-    cols = [F.col(f"c{a}{b}") for a, b in pairs]
-    return sums.withColumn("s", eigen(*cols, F.col("n"))).select(*key, "n", "s.linearity", "s.planarity", "s.scattering")
+    sums = points.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *[F.covar_pop(a, b).alias(f"c{a}{b}") for a, b in pairs], *[(F.max(a) - F.min(a)).alias(f"extent_{a}") for a in "xyz"])
+    e = sums.withColumns({f"__e{i}": F.greatest(v, F.lit(0.0)) for i, v in enumerate(eigenvalues(*[F.col(f"c{a}{b}") for a, b in pairs]))})
+    a, b, c = (F.col(f"__e{i}") for i in range(3))
+    none = (a <= 1e-12) | (F.col("n") < 3)
+    wide = [F.greatest(F.col(f"extent_{x}"), F.lit(1e-6)) for x in "xyz"]
+    each = {"linearity": (a - b) / F.nullif(a, F.lit(0.0)), "planarity": (b - c) / F.nullif(a, F.lit(0.0)), "scattering": c / F.nullif(a, F.lit(0.0)), "residual": F.sqrt(c)}
+    out = e.withColumns({k: F.when(none, F.lit(0.0)).otherwise(v) for k, v in each.items()} | {"aspect": F.greatest(*wide) / F.least(*wide), "density": F.col("n") / (wide[0] * wide[1] * wide[2])})
+    return out.select(*key, "n", *each, *[f"extent_{x}" for x in "xyz"], "aspect", "density")
+
+
+def edge_weights(edges: DataFrame, points: DataFrame, key: list[str], spatial: float = 1.0, normal: float = 1.0, colour: float = 1.0) -> DataFrame:
+    """(key, a, b, weight): distance over the median distance, angle between normals and difference of colours, weighted.
+
+    edges: key, a, b; points: key, point_id, x, y, z, nx, ny, nz, r, g, b_. The normal term is 1 - |cosine|; all edges give the median.
+    """
+    names = ("x", "y", "z", "nx", "ny", "nz", "r", "g", "b_")
+    side = lambda s: points.select(*key, F.col("point_id").alias(s), *[F.col(n).alias(f"{s}_{n}") for n in names])
+    e = edges.select(*key, "a", "b").join(side("a"), [*key, "a"]).join(side("b"), [*key, "b"])
+    apart = lambda cols: F.sqrt(sum(((F.col(f"a_{n}") - F.col(f"b_{n}")) ** 2 for n in cols), F.lit(0.0)))
+    dot = sum((F.col(f"a_{n}") * F.col(f"b_{n}") for n in names[3:6]), F.lit(0.0))
+    e = e.select(*key, "a", "b", apart(names[:3]).alias("__d"), (1 - F.least(F.lit(1.0), F.abs(dot))).alias("__n"), apart(names[6:]).alias("__c"))
+    middle = e.agg(F.percentile("__d", 0.5).alias("__m"))
+    return e.crossJoin(F.broadcast(middle)).select(*key, "a", "b", (spatial * F.col("__d") / F.greatest("__m", F.lit(1e-12)) + normal * F.col("__n") + colour * F.col("__c")).alias("weight"))
+
+
+def mesh_weights(points: DataFrame, faces: DataFrame, key: list[str]) -> DataFrame:
+    """(key, left, right, weight): 1 - the product of the vertices' mean normals for each mesh edge, squared where the edge is convex.
+
+    points: key, point_id, x, y, z. An edge is convex where the second normal points away from the first vertex.
+    """
+    n = vertex_normals(points, faces, key, unit=False).join(points, [*key, "point_id"])
+    side = lambda s: n.select(*key, F.col("point_id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("nx", "ny", "nz", "x", "y", "z")])
+    e = mesh_edges(faces, key).join(side("left"), [*key, "left"]).join(side("right"), [*key, "right"])
+    c = F.col
+    bend = 1 - sum((c(f"left_n{a}") * c(f"right_n{a}") for a in "xyz"), F.lit(0.0))
+    away = sum((c(f"right_n{a}") * (c(f"right_{a}") - c(f"left_{a}")) for a in "xyz"), F.lit(0.0))
+    return e.select(*key, "left", "right", F.when(away > 1e-12, bend * bend).otherwise(bend).alias("weight"))
+
+
+def segment_profile(points: DataFrame, key: list[str]) -> DataFrame:
+    """(key, n, cx, cy, cz, r, g, b_, nx, ny, nz, planarity): centre, mean colour, mean normal with length 1, and planarity of each segment."""
+    mean = points.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *[F.avg(a).alias(f"c{a}") for a in "xyz"], *[F.avg(a).alias(a) for a in ("r", "g", "b_", "nx", "ny", "nz")])
+    size = F.greatest(F.sqrt(F.col("nx") ** 2 + F.col("ny") ** 2 + F.col("nz") ** 2), F.lit(1e-6))
+    out = mean.withColumns({a: F.col(a) / size for a in ("nx", "ny", "nz")})
+    flat = shape_features(points, key).select(*key, "planarity")
+    return out.join(flat, key)
 
 
 def rigid(x: Column, y: Column, z: Column, matrix: list[float]) -> list[Column]:

@@ -131,7 +131,7 @@ def grouped_kernel(df: DataFrame, key: list[str], schema: str, f: Callable[[pd.D
 def admit(df: DataFrame, key: list[str], id_col: str, order: str, source: str, label: str, passes: str, source_cap: int, class_cap: int) -> DataFrame:
     """(key, id, decision): scan in order; caps count accepted rows only and are tested before anything else.
 
-    decision: source_limit, class_limit, rejected (passes is false or null) or accepted. Rows that can't pass never use up a cap, so of those
+    decision: source_limit, class_limit, rejected (passes is false or null) or accepted; rows without a source, or a class, are of one. Rows that can't pass never use up a cap, so of those
     that pass, ranks within (key, source) and (key, class) tell all that the scan does only if one cap is in force; with both, the
     scan is sequential per key and runs as a grouped kernel over narrow columns.
     """
@@ -143,7 +143,8 @@ def admit(df: DataFrame, key: list[str], id_col: str, order: str, source: str, l
         sources: dict = {}
         classes: dict = {}
         out = []
-        for s, c, ok in zip(pdf[source], pdf[label], pdf[passes].fillna(False)):
+        known = lambda name: (None if pd.isna(x) else x for x in pdf[name])
+        for s, c, ok in zip(known(source), known(label), pdf[passes].fillna(False)):
             if sources.get(s, 0) >= source_cap:
                 out.append("source_limit")
             elif classes.get(c, 0) >= class_cap:

@@ -261,7 +261,7 @@ def random_crop(points: DataFrame, key: list[str], id_col: str, axes: list[str],
     """
     centres = None
     for t in range(tries):
-        one = points.groupBy(*key).agg(F.min_by(F.struct(*axes), F.xxhash64(F.lit(seed), F.lit(t), F.col(id_col))).alias("c")).withColumn("attempt", F.lit(t))
+        one = points.groupBy(*key).agg(F.min_by(F.struct(*axes), F.md5(F.concat(F.lit(f"{seed}/{t}/"), F.col(id_col).cast("string")))).alias("c")).withColumn("attempt", F.lit(t))
         centres = one if centres is None else centres.union(one)
     near = None
     for a in axes:

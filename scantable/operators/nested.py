@@ -206,9 +206,18 @@ class Nodes:
         """First byte of each value."""
         return self.data[self.start[nodes]]
 
-    def raw(self, nodes: np.ndarray) -> pa.Array:
-        """JSON texts of values."""
-        return _text(spans(self.data, self.start[nodes], self.end[nodes]))
+    def texts(self, nodes: np.ndarray) -> pa.Array:
+        """Texts of scalars: strings decoded, others as they are written."""
+        text = self.kind(nodes) == ord('"')
+        out = _text(spans(self.data, self.start[nodes] + text, self.end[nodes] - text))
+        slashes = np.concatenate([[0], np.cumsum(self.data == 0x5C)])
+        coded = np.flatnonzero(text & (slashes[self.end[nodes]] > slashes[self.start[nodes]]))
+        if len(coded):
+            plain = pa.array([x.encode("utf-8", "replace").decode() for x in unquoted(self.data, self.start[nodes[coded]], self.end[nodes[coded]])], pa.string())
+            mask = np.zeros(len(nodes), dtype=bool)
+            mask[coded] = True
+            out = pc.replace_with_mask(out, pa.array(mask), plain)
+        return out
 
     def keys(self, nodes: np.ndarray) -> list[str]:
         """Names of members."""
@@ -372,8 +381,8 @@ def shred(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Every value of every JSON text as a row, linked to its container.
 
     (id, node_id, parent_id, depth, key, place, kind, value): node_id counts within its text, the root is 0 and has parent
-    -1; place counts from 0 in the container; kind is object, array, string, number, boolean or null; value is the JSON text of a
-    scalar, NULL for containers. Texts that are null, blank or no JSON give no rows; depth is not limited.
+    -1; place counts from 0 in the container; kind is object, array, string, number, boolean or null; value is the text of a
+    string, of other scalars as they are written, NULL for containers. Texts that are null, blank or no JSON give no rows; depth is not limited.
     """
     id_type = df.schema[id_col].dataType.simpleString()
     names = np.full(256, "number", dtype=object)
@@ -393,7 +402,7 @@ def shred(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 keyed = nodes.key_start[order] >= 0
                 # what has no key or no value of its own becomes an index behind the end, and so a null
                 keys = pa.array(nodes.keys(order[keyed]), pa.string()).take(pa.array(np.cumsum(keyed) - 1, mask=~keyed))
-                texts = nodes.raw(order[scalar]).take(pa.array(np.cumsum(scalar) - 1, mask=~scalar))
+                texts = nodes.texts(order[scalar]).take(pa.array(np.cumsum(scalar) - 1, mask=~scalar))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(id_col).take(pa.array(rows[nodes.text[order]])),

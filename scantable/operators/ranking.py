@@ -75,8 +75,9 @@ def seeded_splits(ids: DataFrame, id_col: str, seed: int, small: int = 48, large
     known = ids.select(id_col).where(F.col(id_col).isNotNull()).distinct()
     if known.limit(2 * large).count() < 2 * large:
         raise ValueError(f"Need at least {2 * large} ids")
-    first = known.orderBy(F.xxhash64(F.lit(seed), id_col), id_col).limit(2 * large)
-    place = F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), F.col(id_col)))
+    order = F.md5(F.concat(F.lit(f"{seed}/"), F.col(id_col).cast("string")))
+    first = known.orderBy(order, id_col).limit(2 * large)
+    place = F.row_number().over(Window.orderBy(order, F.col(id_col)))
     out = first.select(id_col, place.alias("p"))
     return out.select(id_col, (F.col("p") <= small).alias("even_small"), (F.col("p") <= large).alias("even_large"), (F.col("p") > large).alias("odd_large"))
 

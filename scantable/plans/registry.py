@@ -14,7 +14,7 @@ from scantable.plans.rounded import CASTS, COLUMNS
 Query = Callable[[SparkSession, str], DataFrame]
 
 DIGITS = 9
-_MODULES = ("raw_records", "scalars", "evidence", "structure", "tracks", "reports", "ordered")
+_MODULES = ("raw_records", "scalars", "evidence", "structure", "tracks", "reports", "ordered", "paired", "recursions")
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
@@ -31,6 +31,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def state(name: str, sql: str) -> None:
+    """Add the SQL of a query that is registered elsewhere."""
+    _SQL[name] = sql
+
+
 def _load() -> None:
     for name in _MODULES:
         importlib.import_module(f"scantable.plans.{name}")

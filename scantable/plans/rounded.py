@@ -13,6 +13,7 @@ COLUMNS: dict[str, tuple[str, ...]] = {
     "a21_point_vote": ("weight",),
     "a24_edge_aggregation": ("mean_diff",),
     "a26_view_overlap": ("mean_siou", "min_siou", "max_siou"),
+    "a27_projection_consistency": ("mean_iou", "min_iou", "max_iou"),
     "a29_class_iou": ("iou",),
     "a31_ranking_ap": ("ap",),
     "a32_voc_ap": ("ap",),
@@ -44,9 +45,16 @@ COLUMNS: dict[str, tuple[str, ...]] = {
     "f30_softmax_whole": ("first_p", "top_p"),
     "f40_log_metrics": ("mean_ap",),
     "f9_novelty": ("novelty",),
+    "g5_combined_weights": ("weight",),
     "g5_neighbour_weights": ("weight",),
+    "g6_mesh_weights": ("weight",),
+    "g7_view_relations": ("support_score",),
     "g9_cluster_stats": ("mean_weight",),
     "geo_dominant_bin": ("share",),
+    "geo_depth_relation": ("median_error", "p90_error", "consistent_ratio", "inside_consistent_ratio", "conflict_ratio", "inside_conflict_ratio"),
+    "geo_mutual_visible": ("visible_ab", "visible_ba", "inside_ab", "inside_ba", "visible_iou", "visible_containment", "depth_consistency", "mask_consistency"),
+    "geo_shape_features": ("linearity", "planarity", "scattering", "residual", "aspect", "density"),
+    "geo_segment_profile": ("cx", "cy", "cz", "r", "g", "b_", "nx", "ny", "nz"),
     "geo_segment_stats": ("cx", "cy", "cz", "x1", "x2", "y1", "y2", "z1", "z2"),
     "j11_dimension": ("mean_score",),
     "o7_running_sum": ("running",),

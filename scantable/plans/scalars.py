@@ -96,7 +96,7 @@ def f6_first_reason(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def f7_admission(spark: SparkSession, d: str) -> DataFrame:
     """Admission under caps per source and class, by quality."""
-    rows = cand(spark, d).select("scene_name", "record_id", quality().alias("quality"), "kind", "class_id", (F.col("score") >= 0.2).alias("passes"))
+    rows = cand(spark, d).select("scene_name", "record_id", F.round(quality(), 9).alias("quality"), "kind", "class_id", (F.col("score") >= 0.2).alias("passes"))
     return greedy.admit(rows, ["scene_name"], "record_id", "quality", "kind", "class_id", "passes", 30, 5)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scantable.common import cut, table
+from scantable.common import cut, running_totals, table
 from scantable.functions import exprs as X
 from scantable.operators import evaluate, geometry, greedy, ranking, sets, votes
 from scantable.plans.evidence import IOU, PAIRS, box_pairs, seed_pairs
@@ -374,8 +374,7 @@ def geo_grown_range(spark: SparkSession, d: str) -> DataFrame:
     r = p.groupBy("scene_name", "candidate_id").agg((F.min("item") - 5).alias("lo"), (F.max("item") + 5).alias("hi"), F.count(F.lit(1)).alias("n"))
     marks = p.select("scene_name", "item").distinct().select("scene_name", F.col("item").alias("at"), F.lit(1).alias("kind"), F.lit(1).alias("one"), F.lit(None).cast("long").alias("candidate_id"))
     marks = marks.union(r.select("scene_name", "lo", F.lit(0), F.lit(0), "candidate_id")).union(r.select("scene_name", "hi", F.lit(2), F.lit(0), "candidate_id"))
-    w = Window.partitionBy("scene_name").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    counts = marks.withColumn("c", F.sum("one").over(w)).where("candidate_id is not null").groupBy("scene_name", "candidate_id").agg((F.max("c") - F.min("c")).alias("g"))
+    counts = running_totals(marks, ["scene_name"], [F.col("at"), F.col("kind")], {"c": ("sum", "one")}).where("candidate_id is not null").groupBy("scene_name", "candidate_id").agg((F.max("c") - F.min("c")).alias("g"))
     wide = F.col("g") / F.col("n") > 3
     return counts.join(r, ["scene_name", "candidate_id"]).select("scene_name", "candidate_id", "n", F.when(wide, F.col("n")).otherwise(F.col("g")).alias("grown"), F.when(wide, F.lit(1.0)).otherwise(F.col("g") / F.col("n")).alias("ratio"))
 

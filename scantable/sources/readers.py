@@ -199,3 +199,136 @@ def require_complete(expected: DataFrame, present: DataFrame, keys: list[str]) -
     lost = expected.select(*keys).distinct().join(present, keys, "left_anti").limit(10).collect()
     if lost:
         raise ValueError(f"missing: {[tuple(r) for r in lost]}")
+
+
+def read_table(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+    """A CSV table with a header and explicit columns; what doesn't fit its type is NULL."""
+    return spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
+
+
+def read_arrays(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """(scene, row, columns): numeric arrays of .npy files, a file a scene, its rows in order; a 1-D array is one column.
+
+    Files are parsed by map tasks, in slices of rows: convert once to parquet, whose column pruning takes the place of memory maps.
+    """
+    import io
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                data = np.load(io.BytesIO(raw), allow_pickle=False)
+                data = data.reshape(len(data), -1)
+                if data.shape[1] < len(columns):
+                    raise ValueError(f"{p} has {data.shape[1]} columns")
+                scene = p.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+                for at in range(0, len(data), 65536):
+                    part = data[at : at + 65536].astype(np.float64)
+                    yield pa.RecordBatch.from_arrays([pa.array([scene] * len(part)), pa.array(np.arange(at, at + len(part))), *[pa.array(part[:, i]) for i in range(len(columns))]], names=["scene", "row", *columns])
+
+    schema = "scene string, row long, " + ", ".join(f"`{c}` double" for c in columns)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
+
+
+def read_matrices(spark: SparkSession, path: str) -> DataFrame:
+    """(scene, name, rows, columns, values): text files of numbers separated by blanks - poses and intrinsics -, values by rows.
+
+    The scene is the file's folder, the name the file's without suffix. A matrix whose rows differ in length raises ValueError.
+    """
+    raw = spark.read.text(path, wholetext=True).withColumn("f", F.input_file_name())
+    lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
+    m = F.transform(lines, lambda x: F.transform(F.split(F.trim(x), r"\s+"), lambda y: y.try_cast("double")))
+    out = raw.select(F.element_at(F.split("f", "/"), -2).alias("scene"), F.regexp_replace(F.element_at(F.split("f", "/"), -1), r"\.[^.]*$", "").alias("name"), m.alias("m"))
+    even = F.forall("m", lambda r: F.size(r) == F.size(F.get("m", F.lit(0))))
+    rows = F.when(even, F.size("m")).otherwise(F.raise_error(F.concat(F.lit("rows of different length in "), "name")).cast("int"))
+    return out.select("scene", "name", rows.alias("rows"), F.coalesce(F.size(F.get("m", F.lit(0))), F.lit(0)).alias("columns"), F.flatten("m").alias("values"))
+
+
+def read_depth(spark: SparkSession, path: str, scale: float) -> DataFrame:
+    """(scene, frame_id, px, py, depth): depth maps as binary PGM files of 8 or 16 bits, over scale; 0 is no measurement and no row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                kind, width, height, most, start = _pgm_header(raw, p)
+                data = np.frombuffer(raw, dtype=">u2" if most > 255 else "u1", count=width * height, offset=start)
+                at = np.flatnonzero(data)
+                parts = p.rsplit("/", 2)
+                frame = int("".join(c for c in parts[-1].rsplit(".", 1)[0] if c.isdigit()) or -1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([parts[-2]] * len(at)), pa.array(np.full(len(at), frame, dtype=np.int32)), pa.array((at % width).astype(np.int32)), pa.array((at // width).astype(np.int32)), pa.array(data[at].astype(np.float64) / scale)],
+                    names=["scene", "frame_id", "px", "py", "depth"],
+                )
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "scene string, frame_id int, px int, py int, depth double")
+
+
+def _pgm_header(raw: bytes, path: str) -> tuple[str, int, int, int, int]:
+    """(kind, width, height, largest value, where the pixels start) of a binary grey image."""
+    fields, at = [], 0
+    while len(fields) < 4:
+        while raw[at : at + 1].isspace():
+            at += 1
+        if raw[at : at + 1] == b"#":
+            at = raw.index(b"\n", at)
+            continue
+        end = at
+        while end < len(raw) and not raw[end : end + 1].isspace():
+            end += 1
+        fields.append(raw[at:end])
+        at = end
+    if fields[0] != b"P5":
+        raise ValueError(f"{path} is no binary grey image")
+    return fields[0].decode(), int(fields[1]), int(fields[2]), int(fields[3]), at + 1
+
+
+def audit_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, sha256): size and checksum of every file, computed where it is read."""
+    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def read_modes(spark: SparkSession, folder: str, modes: list[str]) -> DataFrame:
+    """Parquet folders of several modes (train, validation, ...) as one table with the mode; fields that a mode lacks are NULL."""
+    parts = [spark.read.parquet(f"{folder}/{m}").withColumn("mode", F.lit(m)) for m in modes]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def write_colourised(points: DataFrame, masks: DataFrame, folder: str, least_score: float = 0.1) -> None:
+    """One binary mesh file a scene: points in the colour of their class, grey without one.
+
+    points: scene, point_id, x, y, z; masks: scene, mask_id, class_id, score, point_ids. Of each class the best mask of at least least_score counts (the smallest id on a
+    tie); a point in several takes the best score. Each scene is written by one task, as a file is one stream: its points are sorted, then passed on in batches.
+    """
+    best = masks.where(F.col("score") >= least_score).groupBy("scene", "class_id").agg(F.max_by(F.struct("mask_id", "score", "point_ids"), F.struct("score", -F.col("mask_id"))).alias("m"))
+    owned = best.select("scene", "class_id", "m.score", F.explode("m.point_ids").alias("point_id")).groupBy("scene", "point_id").agg(F.max_by("class_id", F.struct("score", -F.col("class_id"))).alias("class_id"))
+    hue = lambda shift: F.when(F.col("class_id").isNull(), 128).otherwise(F.pmod(F.shiftright(F.xxhash64("class_id"), shift), F.lit(256))).cast("int")
+    rows = points.select("scene", "point_id", "x", "y", "z").join(owned, ["scene", "point_id"], "left").select("scene", "point_id", "x", "y", "z", hue(0).alias("red"), hue(8).alias("green"), hue(16).alias("blue"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import os
+
+        kind = np.dtype([("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("red", "u1"), ("green", "u1"), ("blue", "u1")])
+        os.makedirs(folder, exist_ok=True)
+        counts: dict[str, int] = {}
+        for batch in batches:
+            scenes = np.array(batch.column("scene").to_pylist(), dtype=object)
+            for scene in dict.fromkeys(scenes):
+                own = batch.filter(pa.array(scenes == scene))
+                body = np.zeros(own.num_rows, dtype=kind)
+                for c in kind.names:
+                    body[c] = own.column(c).to_numpy()
+                with open(f"{folder}/{scene}.body", "ab" if scene in counts else "wb") as f:
+                    f.write(body.tobytes())
+                counts[scene] = counts.get(scene, 0) + own.num_rows
+        for scene, n in counts.items():
+            head = f"ply\nformat binary_little_endian 1.0\nelement vertex {n}\n" + "".join(f"property float {a}\n" for a in "xyz") + "".join(f"property uchar {c}\n" for c in ("red", "green", "blue")) + "end_header\n"
+            with open(f"{folder}/{scene}.ply", "wb") as out, open(f"{folder}/{scene}.body", "rb") as f:
+                out.write(head.encode())
+                while part := f.read(1 << 20):
+                    out.write(part)
+            os.remove(f"{folder}/{scene}.body")
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["scene", "points"])
+
+    rows.repartition("scene").sortWithinPartitions("scene", "point_id").mapInArrow(run, "scene string, points long").write.format("noop").mode("overwrite").save()
