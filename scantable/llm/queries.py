@@ -93,8 +93,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per candidate and set: its class of equal sets, copies and links."""
-    return set_links(_seed_sets(spark, sf_dir))
+    """One row per candidate and set: the smallest candidate with an equal set, copies and links."""
+    found = _seed_sets(spark, sf_dir)
+    first = found.members.groupBy("set_id").agg(F.min("id").alias("first_id"))
+    return set_links(found).join(first, "set_id").select(F.col("id").alias("candidate_id"), "first_id", "n_copies", "n_links")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,6 +243,10 @@ def oracle_sql() -> dict[str, str]:
                 ON a.scene_name = b.scene_name AND a.p = b.p AND a.candidate_id < b.candidate_id GROUP BY 1, 2, 3)
             SELECT candidate_id_a, candidate_id_b FROM j JOIN z x ON x.scene_name = j.scene_name AND x.candidate_id = candidate_id_a
             JOIN z y ON y.scene_name = j.scene_name AND y.candidate_id = candidate_id_b WHERE shared * 10 >= (x.n + y.n - shared) * 8""",
+        "p5_links": """WITH r AS (SELECT DISTINCT scene_name, candidate_id AS id, list_sort(list_distinct(list_filter(point_indices, lambda x: x >= 0))) AS s FROM seed_points WHERE scene_name IS NOT NULL AND candidate_id IS NOT NULL),
+            c AS MATERIALIZED (SELECT scene_name, s, min(id) AS first_id, count(*) AS n_copies, row_number() OVER (ORDER BY scene_name, s) AS k FROM r WHERE len(s) > 0 GROUP BY 1, 2), e AS (SELECT scene_name, k, len(s) AS n, unnest(s) AS p FROM c),
+            j AS (SELECT a.k, b.k AS other, a.n AS na, b.n AS nb, count(*) AS shared FROM e a JOIN e b ON a.scene_name = b.scene_name AND a.p = b.p AND a.k <> b.k GROUP BY 1, 2, 3, 4), l AS (SELECT k, count(*) AS n_links FROM j WHERE shared * 10 >= (na + nb - shared) * 8 GROUP BY 1)
+            SELECT r.id AS candidate_id, first_id, n_copies, coalesce(n_links, 0) AS n_links FROM r JOIN c ON c.scene_name = r.scene_name AND c.s = r.s LEFT JOIN l USING (k)""",
         "p7_found": f"""WITH RECURSIVE r AS (SELECT DISTINCT candidate_id, list_filter(list_distinct(member_observation_ids), lambda x: x IS NOT NULL AND x >= 0) AS m
                 FROM mask_graph_trace WHERE coalesce({name('relation_type')}, '') <> 'conflict'),
             s AS (SELECT candidate_id AS c, list_min(m) AS a, unnest(m) AS b FROM r WHERE len(m) > 0),
