@@ -44,22 +44,34 @@ def voxels(points: DataFrame, key: list[str], axes: list[str], size: float, id_c
     return points.groupBy(*key, *cells).agg(F.min(id_col).alias("first_id"), F.count(F.lit(1)).alias("n"))
 
 
-def near_pairs(a: DataFrame, b: DataFrame, key: list[str], axes: list[str], radius: float, a_id: str = "a", b_id: str = "b") -> DataFrame:
+def _term(metric: str, d: Column) -> Column:
+    """What an axis adds to a distance: squares (l2), amounts (l1), or squares up to 1 and amounts beyond (huber)."""
+    if metric == "l2":
+        return d * d
+    if metric == "l1":
+        return F.abs(d)
+    if metric == "huber":
+        return F.when(F.abs(d) <= 1, d * d / 2).otherwise(F.abs(d) - 0.5)
+    raise ValueError(metric)
+
+
+def near_pairs(a: DataFrame, b: DataFrame, key: list[str], axes: list[str], radius: float, a_id: str = "a", b_id: str = "b", metric: str = "l2") -> DataFrame:
     """(key, a, b, d2): all pairs within the radius, exactly: cells as large as the radius, each point looking into the cells around.
 
-    a: key, a_id, axes; b: key, b_id, axes. An equi-join on (key, cell); only a is multiplied, by 3 per axis.
+    d2: the sum over the axes, see _term(); the squared distance by default. In the radius is what lies no farther than a point at that
+    distance along an axis. a: key, a_id, axes; b: key, b_id, axes. An equi-join on (key, cell); only a is multiplied, by 3 per axis.
     """
     grid = [F.floor(F.col(x) / radius).cast("long") for x in axes]
     steps = F.array(*[F.struct(*[F.lit(s).cast("long").alias(f"s{i}") for i, s in enumerate(step)]) for step in product((-1, 0, 1), repeat=len(axes))])
     left = a.select(*key, a_id, *[F.col(x).alias(f"__a{i}") for i, x in enumerate(axes)], *[g.alias(f"__g{i}") for i, g in enumerate(grid)], F.explode(steps).alias("__s"))
     left = left.select(*key, a_id, *[f"__a{i}" for i in range(len(axes))], *[(F.col(f"__g{i}") + F.col(f"__s.s{i}")).alias(f"__c{i}") for i in range(len(axes))])
     right = b.select(*key, b_id, *[F.col(x).alias(f"__b{i}") for i, x in enumerate(axes)], *[g.alias(f"__c{i}") for i, g in enumerate(grid)])
-    d2 = sum(((F.col(f"__a{i}") - F.col(f"__b{i}")) ** 2 for i in range(len(axes))), F.lit(0.0))
+    d2 = sum((_term(metric, F.col(f"__a{i}") - F.col(f"__b{i}")) for i in range(len(axes))), F.lit(0.0))
     met = left.join(right, [*key, *[f"__c{i}" for i in range(len(axes))]])
-    return met.select(*key, a_id, b_id, d2.alias("d2")).where(F.col("d2") <= radius * radius)
+    return met.select(*key, a_id, b_id, d2.alias("d2")).where(F.col("d2") <= _term(metric, F.lit(float(radius))))
 
 
-def nearest(a: DataFrame, b: DataFrame, key: list[str], axes: list[str], k: int, radius: float, a_id: str = "a", b_id: str = "b") -> DataFrame:
+def nearest(a: DataFrame, b: DataFrame, key: list[str], axes: list[str], k: int, radius: float, a_id: str = "a", b_id: str = "b", metric: str = "l2") -> DataFrame:
     """(key, a, b, d2, place): the k nearest of b for every row of a, exactly; equal distances go to the smaller b.
 
     A row is no neighbour of its own id. Rows that find fewer than k within the radius look again within a larger one, until
@@ -77,7 +89,7 @@ def nearest(a: DataFrame, b: DataFrame, key: list[str], axes: list[str], k: int,
     a, b = placed(a), placed(b)
     place = F.row_number().over(Window.partitionBy(*key, a_id).orderBy("d2", b_id))
     few = cut(b.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") <= k).select(*key))
-    apart = sum(((F.col(f"__a{i}") - F.col(f"__b{i}")) ** 2 for i in range(len(axes))), F.lit(0.0))
+    apart = sum((_term(metric, F.col(f"__a{i}") - F.col(f"__b{i}")) for i in range(len(axes))), F.lit(0.0))
     side = lambda df, name, s: df.select(*key, name, *[F.col(x).alias(f"__{s}{i}") for i, x in enumerate(axes)])
     met = side(a, a_id, "a").join(side(b.join(few, key, "left_semi"), b_id, "b"), key).where(F.col(a_id) != F.col(b_id))
     out = met.select(*key, a_id, b_id, apart.alias("d2")).withColumn("place", place)
@@ -85,7 +97,7 @@ def nearest(a: DataFrame, b: DataFrame, key: list[str], axes: list[str], k: int,
     todo = cut(a.join(known, key, "left_semi"))
     left = todo.count()
     while left:
-        found = near_pairs(todo, b, key, axes, radius, a_id, b_id).where(F.col(a_id) != F.col(b_id))
+        found = near_pairs(todo, b, key, axes, radius, a_id, b_id, metric).where(F.col(a_id) != F.col(b_id))
         best = cut(found.withColumn("place", place).where(F.col("place") <= k))
         done = best.groupBy(*key, a_id).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
         out = out.unionByName(best.join(done, [*key, a_id], "left_semi"))

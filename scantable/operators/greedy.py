@@ -159,11 +159,26 @@ def admit(df: DataFrame, key: list[str], id_col: str, order: str, source: str, l
     return grouped_kernel(df.select(*key, id_col, order, source, label, passes), key, schema, scan)
 
 
+def linked_sets(items: DataFrame, block: list[str], id_col: str, item: str = "item") -> DataFrame:
+    """(block, id, part): sets of a block that are linked over common items, directly or over others, have the same part.
+
+    Sets without a common item never merge, so a part is all that a kernel of merges has to see. Links are a star per
+    item, to its smallest set: linear in the items. items: block, id_col, item; distinct.
+    """
+    from scantable.operators.graph import components
+
+    node = items.withColumn("node", F.struct(*block, id_col))
+    first = node.groupBy(*block, item).agg(F.min("node").alias("first"))
+    ends = node.join(first, [*block, item]).select("first", "node")
+    found = components(ends, "first", "node")
+    return found.select(*[F.col(f"node.{c}").alias(c) for c in (*block, id_col)], F.col(f"component.{id_col}").alias("part"))
+
+
 def merge_sets(df: DataFrame, key: list[str], id_col: str, score: str, values: str, threshold: float) -> DataFrame:
     """(key, id, members): sets are merged to a fixpoint, the first pair of at least threshold IoU into the higher score.
 
-    The scan restarts after every merge, in order of score (descending) and id; a key's sets are held in one task, as each
-    merge changes what follows.
+    The scan starts anew after every merge, in order of score (descending) and id. As only the merged set has changed, only its
+    pairs are looked at again. A key's sets are held in one task, as each merge changes what follows; see linked_sets() for small keys.
     """
     fields = {f.name: f.dataType.simpleString() for f in df.schema}
     schema = ", ".join(f"`{k}` {fields[k]}" for k in [*key, id_col]) + f", members array<{fields[id_col]}>, n_items int"
@@ -171,20 +186,27 @@ def merge_sets(df: DataFrame, key: list[str], id_col: str, score: str, values: s
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([score, id_col], ascending=[False, True], na_position="last")
         sets = [(i, frozenset(v), [i]) for i, v in zip(pdf[id_col], pdf[values])]
-        again = True
-        while again:
-            again = False
-            for a in range(len(sets)):
-                for b in range(a + 1, len(sets)):
-                    x, y = sets[a][1], sets[b][1]
-                    both = len(x & y)
-                    if both and both >= threshold * (len(x) + len(y) - both):
-                        sets[a] = (sets[a][0], x | y, sets[a][2] + sets[b][2])
-                        del sets[b]
-                        again = True
-                        break
-                if again:
-                    break
+
+        def fit(a: int, b: int) -> bool:
+            x, y = sets[a][1], sets[b][1]
+            both = len(x & y)
+            return both > 0 and both >= threshold * (len(x) + len(y) - both)
+
+        def join(a: int, b: int) -> None:
+            sets[a] = (sets[a][0], sets[a][1] | sets[b][1], sets[a][2] + sets[b][2])
+            del sets[b]
+
+        a = 0
+        while a < len(sets):
+            b = next((b for b in range(a + 1, len(sets)) if fit(a, b)), None)
+            if b is None:
+                a += 1
+                continue
+            join(a, b)
+            # the grown set may now fit one before it, the first of which takes it
+            while (low := next((x for x in range(a) if fit(x, a)), None)) is not None:
+                join(low, a)
+                a = low
         head = {k: [pdf[k].iloc[0]] * len(sets) for k in key}
         return pd.DataFrame(head | {id_col: [s[0] for s in sets], "members": [sorted(s[2]) for s in sets], "n_items": [len(s[1]) for s in sets]})
 

@@ -6,6 +6,7 @@ a step can be stated declaratively it is (erosion, crops, depth agreement): no k
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -65,21 +66,39 @@ def merge_best_pairs(df: DataFrame, key: list[str], id_col: str, values: str, th
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets = [([i], set(v)) for i, v in sorted(zip(pdf[id_col], pdf[values])) if v is not None and len(v) >= least]
-        while True:
-            best, at = threshold, None
-            for a in range(len(sets)):
-                for b in range(a + 1, len(sets)):
-                    both = len(sets[a][1] & sets[b][1])
-                    if both and (iou := both / (len(sets[a][1]) + len(sets[b][1]) - both)) >= best:
-                        best, at = iou, (a, b)
-            if at is None:
-                break
-            a, b = sets[at[0]], sets[at[1]]
-            sets = [s for n, s in enumerate(sets) if n not in at]
-            if len(union := a[1] | b[1]) >= least:
-                sets.append((a[0] + b[0], union))
-        return pd.DataFrame(_head(pdf, key, len(sets)) | {id_col: [min(m) for m, _ in sets], "members": [sorted(m) for m, _ in sets], "n_items": [len(s) for _, s in sets]})
+        # sets are numbered in the order of the list; pairs with a common item wait in a heap, the best and then the latest on top
+        rows = sorted(((i, v) for i, v in zip(pdf[id_col], pdf[values]) if v is not None and len(v) >= least), key=lambda r: r[0])
+        sets = {n: ([i], set(v)) for n, (i, v) in enumerate(rows)}
+        holders: dict = {}
+        heap: list[tuple] = []
+
+        def enter(n: int) -> None:
+            shared: dict[int, int] = {}
+            for x in sets[n][1]:
+                for m in holders.setdefault(x, set()):
+                    shared[m] = shared.get(m, 0) + 1
+                holders[x].add(n)
+            for m, both in shared.items():
+                if (iou := both / (len(sets[n][1]) + len(sets[m][1]) - both)) >= threshold:
+                    heapq.heappush(heap, (-iou, -m, -n))
+
+        for n in list(sets):
+            enter(n)
+        count = len(sets)
+        while heap:
+            _, a, b = heapq.heappop(heap)
+            if -a not in sets or -b not in sets:
+                continue
+            old = [sets.pop(-a), sets.pop(-b)]
+            for n, (_, items) in zip((-a, -b), old):
+                for x in items:
+                    holders[x].discard(n)
+            if len(union := old[0][1] | old[1][1]) >= least:
+                sets[count] = (old[0][0] + old[1][0], union)
+                enter(count)
+                count += 1
+        left = list(sets.values())
+        return pd.DataFrame(_head(pdf, key, len(left)) | {id_col: [min(m) for m, _ in left], "members": [sorted(m) for m, _ in left], "n_items": [len(s) for _, s in left]})
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     return grouped_kernel(df.select(*key, id_col, values), key, f"{_types(df, [*key, id_col])}, members array<{kinds[id_col]}>, n_items int", run)

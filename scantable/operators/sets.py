@@ -33,6 +33,28 @@ def overlap_pairs(a: DataFrame, b: DataFrame, block: list[str], a_id: str, b_id:
     )
 
 
+def similar_pairs(sets: DataFrame, block: list[str], id_col: str, threshold: float, item: str = "item") -> DataFrame:
+    """(block, a, b, inter, size_a, size_b, iou) of all pairs a < b of sets of a block with an IoU above threshold, exactly.
+
+    sets: block, id_col, item; rows distinct. Two such sets share one of the rarest items of each: of n items, the
+    n - ceil(threshold n) + 1 that are in the fewest sets. Pairs meet on those, so an item that very many sets hold is joined only
+    where a set has hardly any other; sizes that exclude the threshold drop out, and what is left is counted over all items.
+    """
+    held = sets.groupBy(*block, item).agg(F.count(F.lit(1)).alias("__f"))
+    own = sets.groupBy(*block, id_col).agg(F.count(F.lit(1)).alias("__n"))
+    rare = sets.join(held, [*block, item]).withColumn("__r", F.row_number().over(Window.partitionBy(*block, id_col).orderBy("__f", item))).join(own, [*block, id_col])
+    # the margin keeps rounding on the side of more candidates
+    rare = rare.where(F.col("__r") <= F.col("__n") - F.ceil(F.col("__n") * threshold - 1e-9) + 1).select(*block, item, F.col(id_col).alias("a"), F.col("__n").alias("size_a"))
+    other = rare.select(*block, item, F.col("a").alias("b"), F.col("size_a").alias("size_b"))
+    fits = (F.col("a") < F.col("b")) & (F.least("size_a", "size_b") > F.greatest("size_a", "size_b") * (threshold - 1e-9))
+    pairs = rare.join(other, [*block, item]).where(fits).select(*block, "a", "b", "size_a", "size_b").distinct()
+    side = lambda c: sets.select(*block, F.col(id_col).alias(c), item)
+    met = pairs.join(side("a"), [*block, "a"]).join(side("b"), [*block, "b", item])
+    out = met.groupBy(*block, "a", "b", "size_a", "size_b").agg(F.count(F.lit(1)).alias("inter"))
+    out = out.withColumn("iou", F.col("inter") / (F.col("size_a") + F.col("size_b") - F.col("inter"))).where(F.col("iou") > threshold)
+    return out.select(*block, "a", "b", "inter", "size_a", "size_b", "iou")
+
+
 def best_match(pairs: DataFrame, left: DataFrame, keys: list[str], other: str, by: str = "iou") -> DataFrame:
     """Every row of left with its best partner: the largest by, then the smallest other; id -1 and 0 without one."""
     best = pairs.groupBy(*keys).agg(F.max_by(F.struct(F.col(other).alias("o"), F.col(by).alias("v")), F.struct(F.col(by), -F.col(other))).alias("__best"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scantable.common import cut, same_name, table
@@ -77,31 +77,52 @@ def j6_best_match(spark: SparkSession, d: str) -> DataFrame:
 @query(with_views("obs", """SELECT o.observation_id AS point_id, b.observation_id AS box_id FROM obs o JOIN obs b ON o.scene_name = b.scene_name AND o.frame_index = b.frame_index AND o.observation_id <> b.observation_id
     AND (o.x1 + o.x2) / 2 BETWEEN b.x1 - 4 AND b.x2 + 4 AND (o.y1 + o.y2) / 2 BETWEEN b.y1 - 4 AND b.y2 + 4"""))
 def j7_point_in_box(spark: SparkSession, d: str) -> DataFrame:
-    """Centres of boxes inside other padded boxes of the same frame: an equi-join on the frame, then ranges."""
+    """Centres of boxes inside other padded boxes of the same frame: an equi-join on frame and cell, then ranges."""
     o = obs(spark, d)
     p = o.select("scene_name", "frame_index", F.col("observation_id").alias("point_id"), ((F.col("x1") + F.col("x2")) / 2).alias("px"), ((F.col("y1") + F.col("y2")) / 2).alias("py"))
-    b = o.select("scene_name", "frame_index", F.col("observation_id").alias("box_id"), "x1", "y1", "x2", "y2")
+    p = p.withColumns({"cx": F.floor(F.col("px") / CELL), "cy": F.floor(F.col("py") / CELL)})
+    b = o.select("scene_name", "frame_index", F.col("observation_id").alias("box_id"), "x1", "y1", "x2", "y2", _cells("x1", "x2", "cx", 4.0)).select("*", _cells("y1", "y2", "cy", 4.0))
     inside = F.col("px").between(F.col("x1") - 4, F.col("x2") + 4) & F.col("py").between(F.col("y1") - 4, F.col("y2") + 4)
-    return p.join(b, ["scene_name", "frame_index"]).where(inside & (F.col("point_id") != F.col("box_id"))).select("point_id", "box_id")
+    return p.join(b, ["scene_name", "frame_index", "cx", "cy"]).where(inside & (F.col("point_id") != F.col("box_id"))).select("point_id", "box_id")
 
 
 IOU = """greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) / nullif((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1)
     - greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)), 0)"""
 
 
-def box_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of observations of a frame with their box IoU, a < b."""
+#: Pixels of a cell's side in joins of boxes.
+CELL = 64.0
+
+
+def _cells(low: str, high: str, name: str, pad: float = 0.0) -> Column:
+    """The cells an interval lies in, one row each."""
+    return F.explode(F.sequence(F.floor((F.col(low) - pad) / CELL), F.floor((F.col(high) + pad) / CELL))).alias(name)
+
+
+def box_pairs(spark: SparkSession, d: str, overlapping: bool = False) -> DataFrame:
+    """Pairs of observations of a frame with their box IoU, a < b; all of them, or those that overlap.
+
+    Overlapping boxes meet in the cell of the corner where their overlap begins, so each pair once; a crowded frame isn't squared.
+    """
     o = obs(spark, d)
-    side = lambda s: o.select("scene_name", "frame_index", *[F.col(c).alias(f"{s}_{c}") for c in ("observation_id", "class_id", "score", "x1", "y1", "x2", "y2")])
-    met = side("a").join(side("b"), ["scene_name", "frame_index"]).where("a_observation_id < b_observation_id")
+    names = ("observation_id", "class_id", "score", "x1", "y1", "x2", "y2")
+    if overlapping:
+        o = o.select("scene_name", "frame_index", *names, _cells("x1", "x2", "cx")).select("*", _cells("y1", "y2", "cy"))
+    key = ["scene_name", "frame_index", *(["cx", "cy"] if overlapping else [])]
+    side = lambda s: o.select(*key, *[F.col(c).alias(f"{s}_{c}") for c in names])
+    met = side("a").join(side("b"), key).where("a_observation_id < b_observation_id")
+    if overlapping:
+        begins = lambda axis: F.floor(F.greatest(f"a_{axis}1", f"b_{axis}1") / CELL)
+        met = met.where((begins("x") == F.col("cx")) & (begins("y") == F.col("cy"))).drop("cx", "cy")
     box = lambda s: tuple(F.col(f"{s}_{c}") for c in ("x1", "y1", "x2", "y2"))
-    return met.withColumn("iou", X.box_iou(box("a"), box("b")))
+    out = met.withColumn("iou", X.box_iou(box("a"), box("b")))
+    return out.where("iou > 0") if overlapping else out
 
 
 @query(with_views("obs", f"SELECT * FROM (SELECT a.observation_id AS a, b.observation_id AS b, {IOU} AS iou FROM obs a JOIN obs b ON a.scene_name = b.scene_name AND a.frame_index = b.frame_index AND a.observation_id < b.observation_id) WHERE iou >= 0.05"))
 def j8_box_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Overlapping boxes of a frame."""
-    return box_pairs(spark, d).where("iou >= 0.05").select(F.col("a_observation_id").alias("a"), F.col("b_observation_id").alias("b"), "iou")
+    return box_pairs(spark, d, overlapping=True).where("iou >= 0.05").select(F.col("a_observation_id").alias("a"), F.col("b_observation_id").alias("b"), "iou")
 
 
 @query(with_views("links obs", """SELECT a.observation_id AS a, b.observation_id AS b, count(*) AS shared FROM links a JOIN links b ON a.trace_id = b.trace_id AND a.observation_id < b.observation_id

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scantable.operators import kernels
+from scantable.common import cut
+from scantable.operators import greedy, kernels
 from scantable.plans.registry import query
 from scantable.plans.structure import _seed_scores
 from scantable.plans.tracks import _members
@@ -26,7 +27,9 @@ def n6_absorb(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def n8_best_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Seeds of a scene and class merged by best pairs."""
-    out = kernels.merge_best_pairs(_seed_sets(spark, d), ["scene_name", "class_id"], "candidate_id", "items", 0.4, 5)
+    rows = cut(_seed_sets(spark, d))
+    parts = greedy.linked_sets(rows.select("scene_name", "class_id", "candidate_id", F.explode("items").alias("item")), ["scene_name", "class_id"], "candidate_id")
+    out = kernels.merge_best_pairs(rows.join(parts, ["scene_name", "class_id", "candidate_id"]), ["scene_name", "class_id", "part"], "candidate_id", "items", 0.4, 5).drop("part")
     return out.withColumn("members", F.concat_ws(",", F.col("members").cast("array<string>")))
 
 

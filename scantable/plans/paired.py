@@ -169,7 +169,7 @@ def v12_point_sample(spark: SparkSession, d: str) -> DataFrame:
     SELECT trace_id, count(*) AS views, avg(iou) AS mean_iou, min(iou) AS min_iou, max(iou) AS max_iou FROM v GROUP BY 1"""))
 def a27_projection_consistency(spark: SparkSession, d: str) -> DataFrame:
     """Best box of each view of a trace, then mean, least and best over the views."""
-    p = box_pairs(spark, d).where("iou > 0")
+    p = box_pairs(spark, d, overlapping=True)
     best = p.select(F.col("a_observation_id").alias("observation_id"), "iou").union(p.select("b_observation_id", "iou")).groupBy("observation_id").agg(F.max("iou").alias("iou"))
     m = links(spark, d).join(obs(spark, d).where("frame_index is not null").select("observation_id", "frame_index"), "observation_id").join(best, "observation_id")
     views = m.groupBy("trace_id", "frame_index").agg(F.max("iou").alias("iou"))

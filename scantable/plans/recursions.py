@@ -3,27 +3,13 @@
 from __future__ import annotations
 
 from scantable.plans.evidence import IOU, PAIRS
-from scantable.plans.registry import state
+from scantable.plans.registry import recursive, state, suppression
 from scantable.plans.scalars import QUALITY
 from scantable.plans.structure import RANKED
 from scantable.plans.tracks import MEMBERS
 from scantable.plans.views import with_views
 
 
-def recursive(names: str, body: str) -> str:
-    """SQL over the named relations that recurses."""
-    return "WITH RECURSIVE" + with_views(names, body)[4:]
-
-
-def suppression(key: str, order: str) -> str:
-    """CTEs kept(key, id): rows(key, id, ...) in order, each kept if no kept one is among those it conflicts with (pair(key, a, b))."""
-    return f""", ends AS (SELECT {key}, a AS id, b AS other FROM pair UNION ALL SELECT {key}, b, a FROM pair), nb AS (SELECT {key}, id, list(other) AS others FROM ends GROUP BY ALL),
-    q AS (SELECT r.*, coalesce(others, []) AS others, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS i FROM rows r LEFT JOIN nb USING ({key}, id)),
-    w AS (SELECT DISTINCT {key}, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS ids FROM rows UNION ALL SELECT {', '.join('w.' + k.strip() for k in key.split(','))}, q.i, CASE WHEN list_has_any(w.ids, q.others) THEN w.ids ELSE list_append(w.ids, q.id) END
-        FROM w JOIN q ON {' AND '.join(f'q.{k.strip()} = w.{k.strip()}' for k in key.split(','))} AND q.i = w.i + 1),
-    kept AS (SELECT {key}, unnest(ids) AS id FROM (SELECT {key}, arg_max(ids, i) AS ids FROM w GROUP BY ALL))"""
-
-
 SEEDS = PAIRS + RANKED + ", rows AS (SELECT scene_name, candidate_id AS id, n, class_id, score FROM s)"
 
 state("n1_mask_suppression", recursive("cand pts", SEEDS + ", pair AS (SELECT scene_name, a, b FROM pairs WHERE iou > 0.5)" + suppression("scene_name", "score DESC, id") + " SELECT scene_name, id AS candidate_id, score FROM kept JOIN rows USING (scene_name, id)"))

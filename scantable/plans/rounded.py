@@ -57,6 +57,8 @@ COLUMNS: dict[str, tuple[str, ...]] = {
     "geo_segment_profile": ("cx", "cy", "cz", "r", "g", "b_", "nx", "ny", "nz"),
     "geo_segment_stats": ("cx", "cy", "cz", "x1", "x2", "y1", "y2", "z1", "z2"),
     "j11_dimension": ("mean_score",),
+    "j15_amounts": ("distance",),
+    "j15_huber": ("distance",),
     "o7_running_sum": ("running",),
     "q11_oracle_recall": ("recall25", "recall50", "class_recall50", "mean_iou"),
     "q12_methods": ("mean_size", "weighted_purity"),

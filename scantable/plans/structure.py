@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scantable.common import cut, table
 from scantable.operators import evaluate, geometry, graph, greedy, ranking, sets
 from scantable.plans.evidence import IOU, PAIRS, box_pairs, seed_pairs
-from scantable.plans.registry import query
+from scantable.plans.registry import query, recursive, suppression
 from scantable.plans.views import cand, links, obs, pts, vec, with_views
 
 
@@ -31,7 +31,7 @@ def n1_mask_suppression(spark: SparkSession, d: str) -> DataFrame:
     """Seeds left by greedy suppression at IoU over 0.5, best score first."""
     s = cut(_seed_scores(spark, d))
     rank = lambda c: s.select("scene_name", F.col("candidate_id").alias(c), F.struct(-F.col("score"), F.col("candidate_id")).alias(f"r{c}"))
-    pairs = seed_pairs(spark, d).where("iou > 0.5").select("scene_name", "a", "b").join(rank("a"), ["scene_name", "a"]).join(rank("b"), ["scene_name", "b"])
+    pairs = sets.similar_pairs(pts(spark, d), ["scene_name"], "candidate_id", 0.5).select("scene_name", "a", "b").join(rank("a"), ["scene_name", "a"]).join(rank("b"), ["scene_name", "b"])
     conflicts = greedy.directed(pairs, ["scene_name"], "a", "b", F.col("ra"), F.col("rb"))
     return greedy.suppress(s.withColumnRenamed("candidate_id", "worse"), ["scene_name"], conflicts, "better", "worse").select("scene_name", F.col("worse").alias("candidate_id"), "score")
 
@@ -50,7 +50,7 @@ def n4_duplicate_removal(spark: SparkSession, d: str) -> DataFrame:
 def n3_box_suppression(spark: SparkSession, d: str) -> DataFrame:
     """Boxes of a frame left by suppression of the same class at IoU of 0.3 or more."""
     o = obs(spark, d).where("class_id is not null and score is not null and frame_index is not null")
-    pairs = box_pairs(spark, d).where("a_class_id = b_class_id and iou >= 0.3 and a_score is not null and b_score is not null")
+    pairs = box_pairs(spark, d, overlapping=True).where("a_class_id = b_class_id and iou >= 0.3 and a_score is not null and b_score is not null")
     rank = lambda s: F.struct(-F.col(f"{s}_score"), F.col(f"{s}_observation_id"))
     conflicts = greedy.directed(pairs, ["scene_name", "frame_index"], "a_observation_id", "b_observation_id", rank("a"), rank("b"))
     rows = o.select("scene_name", "frame_index", F.col("observation_id").alias("worse"))
@@ -82,9 +82,14 @@ def n12_ownership(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def n7_merge_sets(spark: SparkSession, d: str) -> DataFrame:
     """Seeds of a scene and class merged to a fixpoint at IoU 0.5."""
-    rows = _seed_scores(spark, d).where("class_id is not null")
-    arrays = pts(spark, d).groupBy("scene_name", "candidate_id").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    return greedy.merge_sets(rows.join(arrays, ["scene_name", "candidate_id"]), ["scene_name", "class_id"], "candidate_id", "score", "items", 0.5).withColumn("members", F.concat_ws(",", F.col("members").cast("array<string>")))
+    p = cut(pts(spark, d))
+    rows = _seed_scores(spark, d, p).where("class_id is not null")
+    labelled = p.join(rows.select("scene_name", "candidate_id", "class_id"), ["scene_name", "candidate_id"])
+    parts = greedy.linked_sets(labelled, ["scene_name", "class_id"], "candidate_id")
+    arrays = p.groupBy("scene_name", "candidate_id").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    sets_ = rows.join(arrays, ["scene_name", "candidate_id"]).join(parts, ["scene_name", "class_id", "candidate_id"])
+    out = greedy.merge_sets(sets_, ["scene_name", "class_id", "part"], "candidate_id", "score", "items", 0.5)
+    return out.drop("part").withColumn("members", F.concat_ws(",", F.col("members").cast("array<string>")))
 
 
 @query(with_views("pts", """, z AS (SELECT scene_name, candidate_id, count(*) AS n FROM pts GROUP BY 1, 2) SELECT p.scene_name, item, arg_min(candidate_id, (n, candidate_id)) AS candidate_id FROM pts p JOIN z USING (scene_name, candidate_id) GROUP BY 1, 2"""))
@@ -95,6 +100,17 @@ def geo_smallest_owner(spark: SparkSession, d: str) -> DataFrame:
     return sets.smallest_owner(p.join(size, ["scene_name", "candidate_id"]), ["scene_name", "item"], "n", "candidate_id")
 
 
+@query(recursive("pts", PAIRS + ", rows AS (SELECT scene_name, candidate_id AS id, n FROM z), pair AS (SELECT scene_name, a, b FROM pairs WHERE iou > 0.8)" + suppression("scene_name", "n, id") + " SELECT p.scene_name, p.item, arg_min(k.id, (r.n, k.id)) AS candidate_id FROM kept k JOIN rows r USING (scene_name, id) JOIN pts p ON p.scene_name = k.scene_name AND p.candidate_id = k.id GROUP BY 1, 2"))
+def geo_distinct_owner(spark: SparkSession, d: str) -> DataFrame:
+    """Every point belongs to the smallest seed over it, after seeds that nearly equal a smaller one have gone."""
+    p = cut(pts(spark, d))
+    size = cut(p.groupBy("scene_name", "candidate_id").agg(F.count(F.lit(1)).alias("n")))
+    rank = lambda c: F.struct(f"size_{c}", c)
+    conflicts = greedy.directed(sets.similar_pairs(p, ["scene_name"], "candidate_id", 0.8), ["scene_name"], "a", "b", rank("a"), rank("b"))
+    kept = greedy.suppress(size.withColumnRenamed("candidate_id", "worse"), ["scene_name"], conflicts, "better", "worse").withColumnRenamed("worse", "candidate_id")
+    return sets.smallest_owner(p.join(kept, ["scene_name", "candidate_id"]), ["scene_name", "item"], "n", "candidate_id")
+
+
 # ---- graphs
 
 
@@ -359,7 +375,7 @@ def e15_box_ap(spark: SparkSession, d: str) -> DataFrame:
     key = ["scene_name", "frame_index", "class_id"]
     truth = o.where("sam_score >= 0.5")
     preds = o.where("score is not null").select(*key, F.col("observation_id").alias("pred_id"), "score")
-    p = box_pairs(spark, d).where("a_class_id = b_class_id and iou > 0").select("scene_name", "frame_index", F.col("a_class_id").alias("class_id"), F.col("a_observation_id").alias("a"), F.col("b_observation_id").alias("b"), "iou")
+    p = box_pairs(spark, d, overlapping=True).where("a_class_id = b_class_id").select("scene_name", "frame_index", F.col("a_class_id").alias("class_id"), F.col("a_observation_id").alias("a"), F.col("b_observation_id").alias("b"), "iou")
     both = p.toDF(*key, "pred_id", "gt_id", "iou").union(p.select(*key, "b", "a", "iou"))
     pairs = both.join(truth.select(F.col("observation_id").alias("gt_id")), "gt_id", "left_semi")
     out = cut(evaluate.box_outcomes(pairs, preds, key, (0.25, 0.5)))
@@ -461,10 +477,15 @@ def q16_relation_truth(spark: SparkSession, d: str) -> DataFrame:
     from scantable.common import same_name
 
     rel = table(spark, d, "mask_graph_trace").select("trace_id", same_name("relation_type").alias("relation")).where("relation is not null").distinct()
-    seen = links(spark, d).select("trace_id", "observation_id").join(obs(spark, d).select("observation_id", "class_id"), "observation_id").select("trace_id", "observation_id", "class_id")
-    met = seen.toDF("trace_id", "a", "ca").join(seen.toDF("trace_id", "b", "cb"), "trace_id").where("a < b").join(rel, "trace_id")
-    truth = F.when(F.col("ca").isNull() | F.col("cb").isNull(), "unknown").when(F.col("ca") == F.col("cb"), "same_class").otherwise("different_class")
-    return met.groupBy("relation", truth.alias("truth")).agg(F.count(F.lit(1)).alias("n"))
+    seen = links(spark, d).select("trace_id", "observation_id").join(obs(spark, d).select("observation_id", "class_id"), "observation_id")
+    # pairs are counted, not formed: n (n - 1) / 2 of n observations, by class and altogether
+    per_class = seen.groupBy("trace_id", "class_id").agg(F.count(F.lit(1)).alias("n"))
+    two = lambda n: n * (n - 1) / 2
+    known = F.coalesce(F.sum(F.when(F.col("class_id").isNotNull(), F.col("n"))), F.lit(0))
+    t = per_class.groupBy("trace_id").agg(two(F.sum("n")).alias("all"), two(known).alias("known"), F.coalesce(F.sum(F.when(F.col("class_id").isNotNull(), two(F.col("n")))), F.lit(0.0)).alias("same"))
+    each = F.array(*[F.struct(F.lit(k).alias("truth"), v.cast("long").alias("n")) for k, v in (("unknown", F.col("all") - F.col("known")), ("same_class", F.col("same")), ("different_class", F.col("known") - F.col("same")))])
+    counts = t.join(rel, "trace_id").select("relation", F.explode(each).alias("c")).groupBy("relation", F.col("c.truth").alias("truth")).agg(F.sum("c.n").alias("n"))
+    return counts.where("n > 0")
 
 
 @query(with_views("cand", """, g AS (SELECT s / 10.0 AS min_score, i / 10.0 AS min_iou FROM range(2, 9) a(s), range(1, 7) b(i)) SELECT min_score, min_iou, count(*) FILTER (WHERE is_base) AS helpful, count(*) FILTER (WHERE NOT is_base) AS harmful, count(*) AS fired

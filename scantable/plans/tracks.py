@@ -83,7 +83,7 @@ def f35_proposal_score(spark: SparkSession, d: str) -> DataFrame:
     SELECT m.trace_id, coalesce(avg(t.iou) FILTER (WHERE t.iou > 0), 0) AS mean_iou, count(t.iou) FILTER (WHERE t.iou > 0) AS views FROM m LEFT JOIN t USING (observation_id) GROUP BY 1"""))
 def a3_mean_best_iou(spark: SparkSession, d: str) -> DataFrame:
     """Mean of the best box IoU over the views of a trace that have one."""
-    p = box_pairs(spark, d)
+    p = box_pairs(spark, d, overlapping=True)
     each = p.select(F.col("a_observation_id").alias("observation_id"), "iou").union(p.select("b_observation_id", "iou"))
     best = each.groupBy("observation_id").agg(F.max("iou").alias("iou"))
     rows = links(spark, d).select("trace_id", "observation_id").join(obs(spark, d).select("observation_id"), "observation_id").join(best, "observation_id", "left")
@@ -273,7 +273,7 @@ def n14_capped_suppression(spark: SparkSession, d: str) -> DataFrame:
     """Suppression within classes in order of score, then ten seeds a class and scene, fifty a scene."""
     s = cut(_seed_scores(spark, d).where("class_id is not null"))
     side = lambda c: s.select("scene_name", "class_id", F.col("candidate_id").alias(c), F.struct(-F.col("score"), F.col("candidate_id")).alias(f"r{c}"))
-    pairs = seed_pairs(spark, d).where("iou > 0.5").select("scene_name", "a", "b").join(side("a"), ["scene_name", "a"]).join(side("b"), ["scene_name", "class_id", "b"])
+    pairs = sets.similar_pairs(pts(spark, d), ["scene_name"], "candidate_id", 0.5).select("scene_name", "a", "b").join(side("a"), ["scene_name", "a"]).join(side("b"), ["scene_name", "class_id", "b"])
     conflicts = greedy.directed(pairs, ["scene_name"], "a", "b", F.col("ra"), F.col("rb"))
     left = greedy.suppress(s.withColumnRenamed("candidate_id", "worse"), ["scene_name"], conflicts, "better", "worse")
     order = [F.desc("score"), F.col("worse")]
@@ -336,6 +336,25 @@ def j15_both_directions(spark: SparkSession, d: str) -> DataFrame:
     return one(left, right, True).union(one(right, left, False))
 
 
+def _other_side(spark: SparkSession, d: str, metric: str) -> DataFrame:
+    v = vec(spark, d)
+    left, right = v.where("x < 0"), v.where("x >= 0")
+    one = lambda a, b: geometry.nearest(a.withColumnRenamed("vec_id", "a"), b.withColumnRenamed("vec_id", "b"), ["label"], ["x", "y", "z"], 1, 0.05, metric=metric).select("label", "a", F.col("d2").alias("distance"))
+    return one(left, right).union(one(right, left))
+
+
+@query(with_views("vec", "SELECT p.label, p.vec_id AS a, min(abs(p.x - q.x) + abs(p.y - q.y) + abs(p.z - q.z)) AS distance FROM vec p JOIN vec q ON p.label = q.label AND (p.x < 0) <> (q.x < 0) GROUP BY 1, 2"))
+def j15_amounts(spark: SparkSession, d: str) -> DataFrame:
+    """Sum of amounts to the nearest point of the other side, both ways."""
+    return _other_side(spark, d, "l1")
+
+
+@query(with_views("vec", ", h AS (SELECT p.label, p.vec_id AS a, list_sum(list_transform([p.x - q.x, p.y - q.y, p.z - q.z], lambda t: CASE WHEN abs(t) <= 1 THEN t * t / 2 ELSE abs(t) - 0.5 END)) AS distance FROM vec p JOIN vec q ON p.label = q.label AND (p.x < 0) <> (q.x < 0)) SELECT label, a, min(distance) AS distance FROM h GROUP BY 1, 2"))
+def j15_huber(spark: SparkSession, d: str) -> DataFrame:
+    """Smoothed sum of amounts to the nearest point of the other side, both ways."""
+    return _other_side(spark, d, "huber")
+
+
 @query(with_views("obs", """SELECT o.observation_id, arg_min(b.class_id, ((b.x2 - b.x1) + (b.y2 - b.y1), b.observation_id)) AS label FROM obs o JOIN obs b ON o.scene_name = b.scene_name AND o.frame_index = b.frame_index AND b.class_id IS NOT NULL
     AND (o.x1 + o.x2) / 2 >= b.x1 AND (o.x1 + o.x2) / 2 < b.x2 AND (o.y1 + o.y2) / 2 >= b.y1 AND (o.y1 + o.y2) / 2 < b.y2 GROUP BY 1"""))
 def geo_label_map(spark: SparkSession, d: str) -> DataFrame:
@@ -431,7 +450,7 @@ def e10_average_recall(spark: SparkSession, d: str) -> DataFrame:
 def e11_class_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Share of a scene's base classes with a seed that another one matches."""
     g = cut(_seed_scores(spark, d).join(F.broadcast(table(spark, d, "classes").where("is_base").select("class_id")), "class_id", "left_semi").select("scene_name", "candidate_id", "class_id"))
-    q = seed_pairs(spark, d).where("iou > 0.5")
+    q = sets.similar_pairs(pts(spark, d), ["scene_name"], "candidate_id", 0.5)
     hit = q.select("scene_name", F.explode(F.array("a", "b")).alias("candidate_id")).join(g, ["scene_name", "candidate_id"]).groupBy("scene_name").agg(F.count_distinct("class_id").alias("m"))
     return g.groupBy("scene_name").agg(F.count_distinct("class_id").alias("k")).join(hit, "scene_name", "left").select("scene_name", (F.coalesce("m", F.lit(0)) / F.col("k")).alias("pcdc"))
 

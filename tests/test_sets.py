@@ -61,3 +61,18 @@ def test_ambiguous_owner_is_nobody(spark, rows):
 def test_explode_sets_cleans(spark, rows):
     df = spark.createDataFrame([(1, [3, 3, None, -2, 5]), (2, None), (3, [])], "id long, v array<long>")
     assert rows(sets.explode_sets(df, "v", "id")) == [(1, 3), (1, 5)]
+
+
+def test_similar_pairs_equal_all_pairs(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = {(rng.choice("ab"), i, x) for i in range(60) for x in [1, 2] + random.Random(i // 5).sample(range(40), 12) if rng.random() > 0.12}
+    df = spark.createDataFrame(sorted(rows), "k string, id long, item long")
+    held = {}
+    for k, i, x in rows:
+        held.setdefault((k, i), set()).add(x)
+    for t in (0.5, 0.8):
+        want = {(k, i, j) for k, i in held for m, j in held if k == m and i < j and len(held[k, i] & held[k, j]) > t * len(held[k, i] | held[k, j])}
+        assert {(r.k, r.a, r.b) for r in sets.similar_pairs(df, ["k"], "id", t).collect()} == want
+    assert sets.similar_pairs(df.limit(0), ["k"], "id", 0.5).count() == 0
