@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from scantable.operators import evaluate, geometry, pairs
 from scantable.sources import readers
@@ -82,6 +83,17 @@ def test_mesh_weights_square_convex_edges(spark):
     assert convex and set(got) == set(want) and {k: (got[k], want[k]) for k in want if not math.isclose(got[k], want[k], abs_tol=1e-9)} == {}
 
 
+def test_oriented_boxes(spark):
+    turn = math.pi / 4
+    rows = [
+        ((0, 0, 0, 2, 2, 2, 0), (0, 0, 0, 2, 2, 2, 0), 1.0), ((0, 0, 0, 2, 2, 2, 0), (1, 0, 0, 2, 2, 2, 0), 1 / 3), ((0, 0, 0, 2, 2, 2, 0), (5, 0, 0, 2, 2, 2, turn), 0.0), ((0, 0, 0, 2, 2, 2, 0), (0, 0, 3, 2, 2, 2, 0), 0.0),
+        ((0, 0, 0, 4, 2, 1, 0), (0, 0, 0, 4, 2, 1, 2 * turn), 4 / 12), ((0, 0, 0, 2, 2, 2, 0), (0, 0, 0, 2, 2, 2, turn), 8 * (math.sqrt(2) - 1) / (8 - 8 * (math.sqrt(2) - 1))), ((0, 0, 0, 0, 0, 0, 0), (0, 0, 0, 0, 0, 0, 0), 0.0),
+    ]
+    df = spark.createDataFrame([(*map(float, a), *map(float, b), w) for a, b, w in rows], ", ".join(f"a{i} double" for i in range(7)) + ", " + ", ".join(f"b{i} double" for i in range(7)) + ", w double")
+    got = df.select("w", geometry.oriented_iou([F.col(f"a{i}") for i in range(7)], [F.col(f"b{i}") for i in range(7)]).alias("iou")).collect()
+    assert all(abs(r.iou - r.w) < 1e-9 for r in got)
+
+
 def test_box_outcomes_and_eleven_points(spark):
     p = spark.createDataFrame([("s", 1, 10, 0.6), ("s", 2, 10, 0.7), ("s", 3, 10, 0.3)], "k string, pred_id long, gt_id long, iou double")
     preds = spark.createDataFrame([("s", 1, 0.9), ("s", 2, 0.8), ("s", 3, 0.7), ("s", 4, 0.95)], "k string, pred_id long, score double")
