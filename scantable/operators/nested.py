@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,7 +35,7 @@ class Bitmaps:
 
     position, depth (of the container a character belongs to) and text of each; inside: bytes of strings with their opening
     quote; quote: quotes that aren't escaped; escape: backslashes that escape the byte behind them; sound: per text, quotes and
-    brackets are balanced.
+    brackets are balanced; live: the texts that are looked at.
     """
 
     data: np.ndarray
@@ -46,6 +47,23 @@ class Bitmaps:
     quote: np.ndarray
     escape: np.ndarray
     sound: np.ndarray
+    live: np.ndarray
+
+    @functools.cached_property
+    def levels(self) -> np.ndarray:
+        """The structural characters by text, depth and position: one container's stand behind one another."""
+        key = self.text * (int(self.depth.max(initial=0)) + 2) + self.depth
+        return np.argsort(key, kind="stable")
+
+    @functools.cached_property
+    def solid(self) -> np.ndarray:
+        """Places of all bytes that aren't blank."""
+        return np.flatnonzero(~_BLANK[self.data])
+
+    @functools.cached_property
+    def before(self) -> np.ndarray:
+        """How many such bytes come before each place."""
+        return np.concatenate([[0], np.cumsum(~_BLANK[self.data], dtype=np.int32)])
 
 
 def structure(data: np.ndarray, offsets: np.ndarray) -> Bitmaps:
@@ -70,14 +88,14 @@ def structure(data: np.ndarray, offsets: np.ndarray) -> Bitmaps:
         escaped[active + 1] = True
         escaped[offsets] = False
     quote = (data == 0x22) & ~escaped[:n]
-    count = np.zeros(n + 1, dtype=np.int64)
-    np.cumsum(quote, out=count[1:])
-    base = count[offsets[:-1]]
-    inside = ((count[1:] - np.repeat(base, lengths)) & 1).astype(bool)
-    sound = (count[offsets[1:]] - base) % 2 == 0
+    # parity of the quotes so far, less that at the begin of the text
+    odd = np.zeros(n + 1, dtype=bool)
+    np.logical_xor.accumulate(quote, out=odd[1:])
+    inside = odd[1:] ^ np.repeat(odd[offsets[:-1]], lengths)
+    sound = odd[offsets[1:]] == odd[offsets[:-1]]
     position = np.flatnonzero(_STRUCTURAL[data] & ~inside)
     kind = data[position]
-    text = np.searchsorted(offsets, position, side="right") - 1
+    text = np.repeat(np.arange(texts), np.diff(np.searchsorted(position, offsets)))
     step = _OPEN[kind].astype(np.int64) - _CLOSE[kind]
     total = np.concatenate([[0], np.cumsum(step)])
     edge = np.searchsorted(position, offsets)
@@ -87,7 +105,7 @@ def structure(data: np.ndarray, offsets: np.ndarray) -> Bitmaps:
         lowest = np.full(texts, 0)
         np.minimum.at(lowest, text, total[1:] - total[edge[:-1]][text])
         sound &= lowest >= 0
-    return Bitmaps(data, offsets, position, depth, text, inside, quote, escape, sound)
+    return Bitmaps(data, offsets, position, depth, text, inside, quote, escape, sound, np.ones(texts, dtype=bool))
 
 
 def spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.BinaryArray:
@@ -110,16 +128,18 @@ def grammatical(maps: Bitmaps) -> np.ndarray:
         return good
     # a byte 1 and 2 stand for the begin and the end of each text
     edges = np.arange(texts)
-    p = np.concatenate([offsets[:-1] - 1, maps.position, offsets[1:]])
-    t = np.concatenate([edges, maps.text, edges])
-    role = np.concatenate([np.full(texts, 0), np.full(len(maps.position), 1), np.full(texts, 2)])
-    order = np.lexsort((p, role, t))
-    p, t, role = p[order], t[order], role[order]
+    cut = np.searchsorted(maps.position, offsets)
+    m = len(maps.position) + 2 * texts
+    p, t, role = np.empty(m, dtype=np.int64), np.empty(m, dtype=np.int64), np.ones(m, dtype=np.int8)
+    begin, end_, inner = cut[:-1] + 2 * edges, cut[1:] + 2 * edges + 1, np.arange(len(maps.position)) + 2 * maps.text + 1
+    p[begin], p[end_], p[inner] = offsets[:-1] - 1, offsets[1:], maps.position
+    t[begin], t[end_], t[inner] = edges, edges, maps.text
+    role[begin], role[end_] = 0, 2
     k = np.where(role == 1, data[np.clip(p, 0, max(0, len(data) - 1))] if len(data) else 0, role + 1)
     k[role == 0] = 1
     k[role == 2] = 2
     # kind of the container of every structural character: that of the opening bracket at its depth before it
-    mine = np.lexsort((maps.position, maps.depth, maps.text))
+    mine = maps.levels
     kinds = data[maps.position][mine] if len(mine) else np.zeros(0, dtype=np.uint8)
     seq = np.arange(len(mine))
     opened = np.maximum.accumulate(np.where(_OPEN[kinds], seq, 0)) if len(mine) else seq
@@ -130,11 +150,11 @@ def grammatical(maps: Bitmaps) -> np.ndarray:
     deep = np.ones(len(p), dtype=bool)
     deep[role == 1] = maps.depth >= 1
 
-    solid = np.flatnonzero(~_BLANK[data])
+    solid = maps.solid
     a, b = slice(0, len(p) - 1), slice(1, len(p))
     pair = t[a] == t[b]
-    first = np.searchsorted(solid, p[a] + 1)
-    last = np.searchsorted(solid, p[b]) - 1
+    first = maps.before[np.minimum(p[a] + 1, len(data))]
+    last = maps.before[p[b]] - 1
     has = (first <= last) & pair
     x, y, obj = k[a], k[b], in_object[a]
     closing = (y == ord("}")) | (y == ord("]"))
@@ -160,8 +180,8 @@ def grammatical(maps: Bitmaps) -> np.ndarray:
     # scalars: one span each
     at = np.flatnonzero(has)
     start, end, of = solid[first[at]], solid[last[at]] + 1, t[a][at]
-    quotes = np.concatenate([[0], np.cumsum(maps.quote)])
-    n_quotes = quotes[end] - quotes[start]
+    quotes = np.flatnonzero(maps.quote)
+    n_quotes = np.searchsorted(quotes, end) - np.searchsorted(quotes, start)
     string = (data[start] == 0x22) & maps.quote[end - 1] & (n_quotes == 2) & (end - start >= 2)
     plain = np.flatnonzero(~string)
     if len(plain):
@@ -192,6 +212,7 @@ class Nodes:
     """The values of a batch of JSON texts, as columns. Node i spans data[start[i]:end[i]]; roots have parent -1."""
 
     data: np.ndarray
+    escapes: np.ndarray
     text: np.ndarray
     start: np.ndarray
     end: np.ndarray
@@ -210,10 +231,9 @@ class Nodes:
         """Texts of scalars: strings decoded, others as they are written."""
         text = self.kind(nodes) == ord('"')
         out = _text(spans(self.data, self.start[nodes] + text, self.end[nodes] - text))
-        slashes = np.concatenate([[0], np.cumsum(self.data == 0x5C)])
-        coded = np.flatnonzero(text & (slashes[self.end[nodes]] > slashes[self.start[nodes]]))
+        coded = np.flatnonzero(text & (np.searchsorted(self.escapes, self.end[nodes]) > np.searchsorted(self.escapes, self.start[nodes])))
         if len(coded):
-            plain = pa.array([x.encode("utf-8", "replace").decode() for x in unquoted(self.data, self.start[nodes[coded]], self.end[nodes[coded]])], pa.string())
+            plain = pa.array([x.encode("utf-8", "replace").decode() for x in unquoted(self.data, self.escapes, self.start[nodes[coded]], self.end[nodes[coded]])], pa.string())
             mask = np.zeros(len(nodes), dtype=bool)
             mask[coded] = True
             out = pc.replace_with_mask(out, pa.array(mask), plain)
@@ -221,7 +241,7 @@ class Nodes:
 
     def keys(self, nodes: np.ndarray) -> list[str]:
         """Names of members."""
-        return unquoted(self.data, self.key_start[nodes], self.key_end[nodes])
+        return unquoted(self.data, self.escapes, self.key_start[nodes], self.key_end[nodes])
 
     def named(self, name: str) -> np.ndarray:
         """Whether each value is a member of that name, compared over the key's bytes."""
@@ -273,11 +293,10 @@ def _text(array: pa.Array) -> pa.Array:
         return pa.array([x.as_py().decode("utf-8", "replace") for x in array], pa.string())
 
 
-def unquoted(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[str]:
-    """Contents of the string spans; only those with a backslash are decoded one by one."""
+def unquoted(data: np.ndarray, escapes: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[str]:
+    """Contents of the string spans; only those with an escape (escapes: their places) are decoded one by one."""
     texts = _text(spans(data, start + 1, end - 1)).to_pylist()
-    slashes = np.concatenate([[0], np.cumsum(data == 0x5C)])
-    for i in np.flatnonzero(slashes[end] > slashes[start]):
+    for i in np.flatnonzero(np.searchsorted(escapes, end) > np.searchsorted(escapes, start)):
         texts[i] = json.loads(data[start[i] : end[i]].tobytes(), strict=False)
     return texts
 
@@ -297,9 +316,9 @@ def values(maps: Bitmaps) -> Nodes:
     data, offsets = maps.data, maps.offsets
     position, depth, text = maps.position, maps.depth, maps.text
     kind = data[position] if len(position) else np.zeros(0, dtype=np.uint8)
-    solid = np.flatnonzero(~_BLANK[data])
+    solid = maps.solid
     # within one text and depth, in order: open, (key, colon,) value, comma, ..., close, open, ...
-    order = np.lexsort((position, depth, text))
+    order = maps.levels
     p, k, t, d = position[order], kind[order], text[order], depth[order]
     opens, closes = _OPEN[k], _CLOSE[k]
     same = np.zeros(len(p), dtype=bool)
@@ -313,8 +332,8 @@ def values(maps: Bitmaps) -> Nodes:
     value = np.flatnonzero(same & np.where(in_object, colon, ~colon))
     begin, stop = p[value] + 1, p[np.minimum(value + 1, len(p) - 1)] if len(p) else p[value]
     if len(value):
-        first = np.searchsorted(solid, begin)
-        last = np.searchsorted(solid, stop) - 1
+        first = maps.before[begin]
+        last = maps.before[stop] - 1
         real = first <= last  # nothing between brackets: no value
         value, first, last = value[real], first[real], last[real]
         start, end = solid[first], solid[last] + 1
@@ -324,33 +343,33 @@ def values(maps: Bitmaps) -> Nodes:
     keyed = np.flatnonzero(in_object[value])
     if len(keyed):
         v = value[keyed]
-        key_start[keyed] = solid[np.searchsorted(solid, p[v - 1] + 1)]
-        key_end[keyed] = solid[np.searchsorted(solid, p[v]) - 1] + 1
+        key_start[keyed] = solid[maps.before[p[v - 1] + 1]]
+        key_end[keyed] = solid[maps.before[p[v]] - 1] + 1
     bracket = p[opened[value]]  # where the container opens
     seq = np.arange(len(value))
     new = np.ones(len(value), dtype=bool)
     new[1:] = bracket[1:] != bracket[:-1]
     place = seq - np.maximum.accumulate(np.where(new, seq, 0)) if len(value) else seq
-    full = np.flatnonzero(np.diff(offsets) > 0)
-    root_first = np.searchsorted(solid, offsets[full])
-    root_last = np.searchsorted(solid, offsets[full + 1]) - 1
+    full = np.flatnonzero((np.diff(offsets) > 0) & maps.live)
+    root_first = maps.before[offsets[full]]
+    root_last = maps.before[offsets[full + 1]] - 1
     start, end = np.concatenate([start, solid[root_first]]), np.concatenate([end, solid[root_last] + 1])
     by_start = np.argsort(start, kind="stable")
     holder = by_start[np.searchsorted(start[by_start], bracket)] if len(value) else bracket
     pad = np.full(len(full), -1)
     return Nodes(
-        data, np.concatenate([t[value], full]), start, end, np.concatenate([holder, pad]),
+        data, np.flatnonzero(maps.escape), np.concatenate([t[value], full]), start, end, np.concatenate([holder, pad]),
         np.concatenate([key_start, pad]), np.concatenate([key_end, pad]), np.concatenate([place, np.zeros(len(full), dtype=np.int64)]),
         np.concatenate([d[value], np.zeros(len(full), dtype=np.int64)]).astype(np.int32), np.arange(len(value), len(value) + len(full)),
     )
 
 
 def only(maps: Bitmaps, good: np.ndarray) -> Bitmaps:
-    """The index of the texts marked good, without the others' bytes."""
+    """The index of the texts marked good; the others' bytes stay, but hold no values."""
     if good.all():
         return maps
-    lengths = np.diff(maps.offsets)
-    return structure(maps.data[np.repeat(good, lengths)], np.concatenate([[0], np.cumsum(lengths[good])]).astype(np.int64))
+    keep = good[maps.text]
+    return Bitmaps(maps.data, maps.offsets, maps.position[keep], maps.depth[keep], maps.text[keep], maps.inside, maps.quote, maps.escape, maps.sound, good)
 
 
 def chunks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[np.ndarray, Bitmaps]]:
@@ -362,7 +381,7 @@ def chunks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[np.ndarray, Bit
         maps = structure(*joined(held))
         good = grammatical(maps)
         if good.any():
-            yield np.array(rows)[good], only(maps, good)
+            yield np.array(rows), only(maps, good)
 
     for i, x in enumerate(texts):
         if not x or not x.strip():
@@ -435,7 +454,7 @@ def _strings(nodes: Nodes, at: np.ndarray) -> np.ndarray:
     out = np.full(len(at), None, dtype=object)
     text = np.flatnonzero((at >= 0) & (nodes.data[nodes.start[at]] == ord('"'))) if len(at) else np.zeros(0, dtype=np.int64)
     if len(text):
-        out[text] = [x or None for x in unquoted(nodes.data, nodes.start[at[text]], nodes.end[at[text]])]
+        out[text] = [x or None for x in unquoted(nodes.data, nodes.escapes, nodes.start[at[text]], nodes.end[at[text]])]
     return out
 
 
@@ -464,7 +483,7 @@ def _unfold(held: _Held) -> Iterator[tuple[Nodes, np.ndarray, np.ndarray, np.nda
     quoted = np.flatnonzero(kind == ord('"'))
     if len(quoted):
         lists = held.lists[quoted]
-        inner = [x.strip().encode("utf-8", "surrogatepass") for x in unquoted(held.nodes.data, held.nodes.start[lists], held.nodes.end[lists])]
+        inner = [x.strip().encode("utf-8", "surrogatepass") for x in unquoted(held.nodes.data, held.nodes.escapes, held.nodes.start[lists], held.nodes.end[lists])]
         real = np.array([bool(x) for x in inner])
         quoted, inner = quoted[real], [x for x in inner if x]
         maps = structure(*joined(inner))
@@ -475,7 +494,7 @@ def _unfold(held: _Held) -> Iterator[tuple[Nodes, np.ndarray, np.ndarray, np.nda
         if good.any():
             deeper = values(only(maps, good))
             for nodes, found, places, of in _unfold(_Held(deeper, deeper.roots, deeper.text[deeper.roots], np.full(len(deeper.roots), None, dtype=object))):
-                yield nodes, found, places, quoted[good][of]
+                yield nodes, found, places, quoted[deeper.text[deeper.roots[of]]]
 
 
 def candidate_views(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
