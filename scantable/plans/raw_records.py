@@ -73,11 +73,36 @@ def p4_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consistent_table(files, rows).withColumn("others", F.to_json("others"))
 
 
+_UNIFIED = "(CASE WHEN replace({0}, '_', '') IN ('sourcejson', 'candidatesourcejson', 'sourcepath') THEN 'source_path' ELSE {0} END)".format(
+    r"regexp_replace(lower(regexp_replace({0}, '([a-z0-9])([A-Z])', '\1_\2', 'g')), '^_+|_+$', '', 'g')"
+)
+# renames chained file by file to the last one; names that renames link are one, under the name most files use
+CORE = (
+    CHANGES.split("\n    SELECT file_id, 'renamed'")[0].replace("WITH", "WITH RECURSIVE", 1)
+    + f""", nx AS (SELECT prev AS file_id, file_id AS next_id FROM p), hop AS (SELECT k.file_id, k.field, nx.next_id, coalesce(q.n, k.field) AS nf FROM known k JOIN nx USING (file_id) LEFT JOIN q ON q.file_id = nx.next_id AND q.o = k.field),
+    lk AS (SELECT h.* FROM hop h SEMI JOIN known k2 ON k2.file_id = h.next_id AND k2.field = h.nf), wk(file_id, field, last_id, nm) AS (SELECT file_id, field, file_id, field FROM known UNION ALL SELECT w2.file_id, w2.field, l2.next_id, l2.nf FROM wk w2 JOIN lk l2 ON l2.file_id = w2.last_id AND l2.field = w2.nm),
+    fin AS (SELECT file_id, field, {_UNIFIED.format('nm')} AS name FROM wk ANTI JOIN lk ON lk.file_id = wk.last_id AND lk.field = wk.nm), used AS (SELECT {_UNIFIED.format('field')} AS name, count(*) AS k FROM known GROUP BY 1), al AS (SELECT DISTINCT {_UNIFIED.format('o')} AS a, {_UNIFIED.format('n')} AS b FROM q),
+    ed AS (SELECT a, b FROM al UNION SELECT b, a FROM al), rc(name, g) AS (SELECT name, name FROM used UNION SELECT ed.b, rc.g FROM rc JOIN ed ON ed.a = rc.name), rep AS (SELECT rc.name, first(g ORDER BY coalesce(used.k, 0) DESC, g) AS best FROM rc LEFT JOIN used ON used.name = rc.g GROUP BY 1),
+    ln AS (SELECT f.file_id, f.line_no, f.cand, coalesce(rep.best, fin.name) AS name, f.field, f.type, CASE WHEN f.type = 'string' THEN f.v ->> '$' WHEN f.type IS NOT NULL THEN CAST(f.v AS VARCHAR) END AS t, TRY_CAST(f.v ->> '$.value' AS DOUBLE) AS inn FROM f JOIN fin USING (file_id, field) LEFT JOIN rep ON rep.name = fin.name),
+    pk AS (SELECT file_id, line_no, name, first(struct_pack(t := t, inn := inn) ORDER BY type IS NULL, field) AS e FROM ln GROUP BY 1, 2, 3), tl AS (SELECT o.file_id, o.line_no, nullif(regexp_replace(o.j ->> '$.candidate_id', '[^0-9]', '', 'g'), '') AS cand FROM o),
+    pv AS (SELECT file_id, line_no, """
+    + ", ".join(f"max(CASE WHEN name = '{n}' THEN e.t END) AS {n}" for n in ("scene_name", "source_path", "class_name", "score", "support_view_count", "num_seed_points"))
+    + """, max(CASE WHEN name = 'score' THEN e.inn END) AS inn FROM pk GROUP BY 1, 2)
+    SELECT tl.file_id, tl.line_no, TRY_CAST(cand AS BIGINT) AS candidate_id, scene_name, source_path, class_name, coalesce(TRY_CAST(score AS DOUBLE), inn) AS score, CASE WHEN regexp_full_match(support_view_count, '[+-]?[0-9]+') THEN TRY_CAST(support_view_count AS INT) END AS support_view_count,
+        CASE WHEN regexp_full_match(num_seed_points, '[+-]?[0-9]+') THEN TRY_CAST(num_seed_points AS INT) END AS num_seed_points FROM tl LEFT JOIN pv USING (file_id, line_no)"""
+)
+
 VERSIONS = f"""WITH {FIELDS}, h AS (SELECT file_id, sha256('[' || string_agg('{{"field":' || to_json(field) || coalesce(',"type":"' || type || '"', '') || '}}', ',' ORDER BY field) || ']') AS fingerprint, count(*) AS n_fields FROM known GROUP BY 1),
     n AS (SELECT file_id, series_name, exported_at, fingerprint, coalesce(n_fields, 0) AS n_fields, row_number() OVER w AS i, lag(fingerprint) OVER w AS before FROM candidate_files LEFT JOIN h USING (file_id) WINDOW w AS (PARTITION BY series_name ORDER BY exported_at NULLS FIRST, file_id))
     SELECT file_id, series_name, sum(CASE WHEN i = 1 THEN CASE WHEN fingerprint IS NULL THEN 0 ELSE 1 END WHEN fingerprint IS DISTINCT FROM before THEN 1 ELSE 0 END) OVER (PARTITION BY series_name ORDER BY i) AS version, fingerprint, n_fields FROM n"""
 
 
+@query(CORE)
+def p4_core(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields of that table which have a type of their own."""
+    return p4_table(spark, sf_dir).drop("others", "series_name")
+
+
 @query(VERSIONS)
 def p4_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Schema fingerprint and version of every file."""
