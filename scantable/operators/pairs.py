@@ -97,18 +97,15 @@ def bucket_pairs(members: DataFrame, segment: str, id_col: str, frame: str, conf
     kind = members.schema[id_col].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(id_col, kind="stable")
-        bucket: list[tuple] = []
+        waiting: dict = {}  # id -> (confidence, arrival, frame) of what the bucket holds
         a, b = [], []
-        for i, f, s in zip(pdf[id_col], pdf[frame], pdf[confidence].fillna(-np.inf)):
-            for _, j, g in bucket:
-                if not f == g and j != i:
-                    a.append(min(i, j))
-                    b.append(max(i, j))
-            bucket.append((s, i, f))
-            if len(bucket) > cap:
-                bucket.sort(key=lambda r: -r[0])
-                del bucket[cap:]
+        for at, (i, f, s) in enumerate(sorted(zip(pdf[id_col], pdf[frame], pdf[confidence].fillna(-np.inf)), key=lambda r: r[0])):
+            met = [j for j, (_, _, other) in waiting.items() if j != i and not f == other]
+            a += [min(i, j) for j in met]
+            b += [max(i, j) for j in met]
+            waiting[i] = (s, -at, f)
+            if len(waiting) > cap:
+                waiting.pop(min(waiting, key=lambda j: waiting[j][:2]))
         return pd.DataFrame({"a": a, "b": b})
 
     return grouped_kernel(rows.select(segment, id_col, frame, confidence), [segment], f"a {kind}, b {kind}", run).distinct()
