@@ -6,10 +6,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scantable.common import cut
+from scantable.common import cut, running_totals
 
 
 #: Once so few conflicts are left, they are decided in one task (24 bytes each).
@@ -311,6 +311,5 @@ def overlap_filter(pairs: DataFrame, rows: DataFrame, key: list[str], id_col: st
 
 
 def running_budget(df: DataFrame, group: list[str], order: list[Column], cost: str, budget: float) -> DataFrame:
-    """Rows of each group, in order, while the running sum of cost stays within the budget."""
-    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("__sum", F.sum(cost).over(w)).where(F.col("__sum") <= budget).drop("__sum")
+    """Rows of each group, in order, while the running sum of cost stays within the budget; a hot group isn't brought into one task."""
+    return running_totals(df, group, order, {"__sum": ("sum", cost)}).where(F.col("__sum") <= budget).drop("__sum")

@@ -55,8 +55,7 @@ def review_list(df: DataFrame, id_col: str, lists: list[tuple[str, Column, int]]
 
 def every_nth(df: DataFrame, group: list[str], order: str, stride: int, most: int | None = None) -> DataFrame:
     """Every stride-th row of each group in order, from the first; at most so many."""
-    place = F.row_number().over(Window.partitionBy(*group).orderBy(order)) - 1
-    out = df.withColumn("__at", place).where(F.col("__at") % stride == 0)
+    out = distributed_rank(df, group, [F.col(order)], "__at").withColumn("__at", F.col("__at") - 1).where(F.col("__at") % stride == 0)
     if most is not None:
         out = out.where(F.col("__at") < stride * most)
     return out.drop("__at")

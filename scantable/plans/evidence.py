@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scantable.common import cut, same_name, table
+from scantable.common import cut, running_totals, same_name, table
 from scantable.functions import exprs as X
 from scantable.operators import ranking, sets, votes
 from scantable.plans.registry import query
@@ -393,8 +393,8 @@ def o6_seed_merge(spark: SparkSession, d: str) -> DataFrame:
 @query(with_views("cand", "SELECT record_id, sum(score) OVER (PARTITION BY scene_name ORDER BY score DESC, record_id ROWS UNBOUNDED PRECEDING) AS running FROM cand"))
 def o7_running_sum(spark: SparkSession, d: str) -> DataFrame:
     """Running sum by score."""
-    w = Window.partitionBy("scene_name").orderBy(F.desc("score"), "record_id").rowsBetween(Window.unboundedPreceding, 0)
-    return cand(spark, d).select("record_id", F.sum("score").over(w).alias("running"))
+    rows = cand(spark, d).select("record_id", "scene_name", "score")
+    return running_totals(rows, ["scene_name"], [F.desc("score"), F.col("record_id")], {"running": ("sum", "score")}).select("record_id", "running")
 
 
 @query("SELECT scene_name, row_number() OVER (ORDER BY try_cast(regexp_extract(scene_name, '([0-9]+)', 1) AS BIGINT) NULLS FIRST, scene_name) AS place FROM (SELECT DISTINCT scene_name FROM observations WHERE scene_name IS NOT NULL)")
