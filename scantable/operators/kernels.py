@@ -161,45 +161,66 @@ def accept_frames(df: DataFrame, key: list[str], frame: str, segment: str, value
 def constrained_clusters(nodes: DataFrame, edges: DataFrame, key: list[str], id_col: str, quality: str, seed_share: float = 0.3, support: int = 1) -> DataFrame:
     """(key, id, cluster): nodes in order of quality join the one cluster that supports them and doesn't conflict with them.
 
-    edges: key, a, b, conflict. Only the best seed_share of the nodes start clusters. A node that several clusters would take is deferred: it is asked
-    again at the end and goes to the cluster of most support, to none if two have equally much. Nodes without a cluster get NULL.
+    nodes: ids not repeated in a key. edges: key, a, b, conflict. Only the best seed_share of the nodes start clusters. A node that several clusters would take is deferred: it is asked
+    again at the end and goes to the cluster of most support, to none if two have equally much. Nodes without a cluster get NULL. A node asks
+    only its own neighbours for their clusters, so a key takes time in proportion to its edges, however many clusters it has (support below 1: to nodes times clusters).
     """
-    kinds = {f.name: f.dataType.simpleString() for f in nodes.schema}
-    n = nodes.select(*key, id_col, F.col(quality).cast("double").alias("q"), F.lit(None).cast(kinds[id_col]).alias("b"), F.lit(None).cast("boolean").alias("conflict"))
-    e = edges.select(*key, F.col("a").alias(id_col), F.lit(None).cast("double").alias("q"), "b", "conflict")
+    e = edges.where("a is not null and b is not null").select(*key, F.col("a").alias(id_col), "b", F.lit(None).cast("double").alias("q"), F.when(F.col("conflict"), 2).otherwise(1).alias("kind"))
+    n = nodes.select(*key, id_col, F.col(id_col).alias("b"), F.col(quality).cast("double").alias("q"), F.lit(0).alias("kind"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        links = pdf[pdf.b.notna()]
-        own = pdf[pdf.b.isna()].sort_values(["q", id_col], ascending=[False, True], na_position="last")
-        good: dict = {}
-        bad: dict = {}
-        for a, b, c in zip(links[id_col], links.b, links.conflict):
-            for x, y in ((a, b), (b, a)):
-                (bad if c else good).setdefault(x, set()).add(y)
-        ids = list(own[id_col])
-        seeds = set(ids[: max(1, int(np.ceil(len(ids) * seed_share)))])
-        clusters: dict = {}
-        placed: dict = {}
-        late = []
-
-        def fits(i):
-            return {c: n for c, m in clusters.items() if not bad.get(i, set()) & m and (n := len(good.get(i, set()) & m)) >= support}
-
-        for i in ids:
+        left, right, kind = pdf[id_col].to_numpy(), pdf["b"].to_numpy(), pdf["kind"].to_numpy()
+        own = np.flatnonzero(kind == 0)
+        own = own[np.lexsort((left[own], -pdf["q"].to_numpy()[own]))]
+        ids, size = left[own], len(own)
+        if not size:
+            return pd.DataFrame(columns=[*key, id_col, "cluster"])
+        # nodes are named by their place in the order; links lie in both directions, each once, by their first end
+        by_id = np.argsort(ids)
+        links = np.flatnonzero(kind > 0)
+        ends = []
+        for x in (left[links], right[links]):
+            at = by_id[np.minimum(np.searchsorted(ids, x, sorter=by_id), size - 1)]
+            ends.append(np.where(ids[at] == x, at, -1))
+        known = (ends[0] >= 0) & (ends[1] >= 0)
+        (x, y), bad = (end[known] for end in ends), kind[links][known] == 2
+        both = np.unique(np.concatenate([(x * size + y) * 2 + bad, (y * size + x) * 2 + bad]))
+        start = np.searchsorted(both, np.arange(size + 1) * size * 2).tolist()
+        near, hard = (both // 2 % size).tolist(), (both % 2).tolist()
+        home = [-1] * size  # the first node of a node's cluster
+        heads: list[int] = []
+
+        def fits(i: int) -> dict[int, int]:
+            found = dict.fromkeys(heads, 0) if support < 1 else {}
+            barred = set()
+            for k in range(start[i], start[i + 1]):
+                if (c := home[near[k]]) < 0:
+                    continue
+                if hard[k]:
+                    barred.add(c)
+                else:
+                    found[c] = found.get(c, 0) + 1
+            return {c: m for c, m in found.items() if m >= support and c not in barred}
+
+        seeds = max(1, int(np.ceil(size * seed_share)))
+        late, rest = [], []
+        for i in range(size):
             found = fits(i)
             if len(found) == 1:
-                placed[i] = next(iter(found))
-                clusters[placed[i]].add(i)
+                home[i] = next(iter(found))
             elif found:
                 late.append(i)
-            elif i in seeds:
-                clusters[i], placed[i] = {i}, i
-        for i in late + [i for i in ids if i not in placed and i not in late]:
-            found = sorted(fits(i).items(), key=lambda x: (-x[1], x[0]))
+            elif i < seeds:
+                home[i] = i
+                heads.append(i)
+            else:
+                rest.append(i)
+        for i in late + rest:
+            found = sorted(fits(i).items(), key=lambda x: -x[1])
             if found and (len(found) == 1 or found[0][1] > found[1][1]):
-                placed[i] = found[0][0]
-                clusters[placed[i]].add(i)
-        return pd.DataFrame(_head(pdf, key, len(ids)) | {id_col: ids, "cluster": pd.array([placed.get(i) for i in ids], dtype="Int64")})
+                home[i] = found[0][0]
+        at = np.array(home)
+        return pd.DataFrame(_head(pdf, key, size) | {id_col: ids, "cluster": pd.arrays.IntegerArray(ids[at].astype(np.int64), at < 0)})
 
     return grouped_kernel(n.unionByName(e), key, f"{_types(nodes, [*key, id_col])}, cluster long", run)
 
